@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, neardup, pii, quality_rules, token_files
+from . import ann, bayes_quality, bpe, langid, mixing, neardup, pii, quality_rules, site_tree, token_files
 
 SQL: dict[str, str] = {}
 
@@ -30,6 +30,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "iban")
@@ -56,10 +60,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, parts)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_personal_data, op4_near_duplicates, op5_quality_rules, op6_nearest_vectors, op7_token_files, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_main_text, op3_personal_data, op4_near_duplicates, op5_quality_rules, op6_nearest_vectors, op7_token_files, op8_quality_classifier, op9_mixing, op10_bpe_round_trip)}

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a task works on at a time; a longer text comes alone.
 BATCH_BYTES = 2 << 20
@@ -49,5 +50,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 start = i
 
 
-def records(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
+def carried(docs: DataFrame, run, names: dict[str, str]) -> DataFrame:
+    """All columns of docs with what run(text column) returns for each batch beside them, as the columns `names` (to type); a column of that name gives way."""
+    kept = [f for f in docs.schema.fields if f.name not in names or f.name == "text"]
+    out = [f for f in kept if f.name not in names]
+
+    def each(batches):
+        for batch in slices(batches):
+            new = run(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in out), *new], names=[*(f.name for f in out), *names])
+
+    ddl = StructType([*out, *(StructField(n, StructType.fromDDL(f"x {t}")["x"].dataType) for n, t in names.items())])
+    return docs.select(*(f.name for f in kept)).mapInArrow(each, ddl)

@@ -1,6 +1,84 @@
-STAGES = []
+"""The corpus pipeline: language ID, near-duplicate removal, PII redaction, mixing to target weights, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm import bpe, langid, mixing, neardup, pii
+from cairn.llm.queries import held_out, table, vocabulary
+from cairn.llm.shared import carried, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A text that is mostly in no language: under this share of its letters for the best one.
+LEAST_LANGUAGE = 0.4
+PII_SCORE = 0.5
+FRACTION = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or whose best language has under LEAST_LANGUAGE of their letters, go; lang becomes the predicted language."""
+    model = langid.train(langid.training_samples(docs.filter(~held_out())))
+
+    def run(text):
+        found = langid.predict(model, text)
+        return [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+
+    out = carried(docs.select(*COLUMNS), run, {"lang_pred": "string", "lang_score": "double"})
+    kept = out.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity 0.8) stays, the one of smallest doc_id; repeated rows of it count once."""
+    found = neardup.near_duplicates(docs, words=5, percent=80)
+    kept = docs.select(*COLUMNS).join(found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL")).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind in brackets; n_chars follows."""
+
+    def run(text):
+        return [pa.array([pii.redact(t, pii.find(t), PII_SCORE) if t else t for t in text.to_pylist()], pa.string())]
+
+    out = carried(docs.select(*COLUMNS), run, {"text": "string"})
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled to the target shares of sources, languages and topics; FRACTION of the tokens are expected to stay."""
+    drawn = mixing.mix(docs, fraction=FRACTION).filter("sampled").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(drawn.filter("doc_id IS NOT NULL"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document: doc_id, n_tokens, ids, and whether they decode to the text."""
+    path = vocabulary("byte_bpe_50k.json")
+
+    def run(text):
+        t = bpe.tokenizer(path)
+        texts = [x or "" for x in text.to_pylist()]
+        flat, sizes = t.encode_batch(texts)
+        at = [0, *sizes.cumsum().tolist()]
+        same = [t.decode(flat[a:b].tolist()) == x for a, b, x in zip(at[:-1], at[1:], texts, strict=True)]
+        return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())), pa.array(same)]
+
+    out = carried(docs.select("doc_id", "text"), run, {"ids": "array<int>", "round_trip": "boolean"})
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing_weights), ("bpe_tokens", bpe_tokens)]
+#: The language model, the sampling hash and BPE have no SQL form; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
