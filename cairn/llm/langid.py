@@ -132,8 +132,9 @@ def marginals(e: np.ndarray, first: np.ndarray, steps: np.ndarray) -> np.ndarray
 
 def word_marginals(model: Model, column: pa.Array) -> tuple[Words, np.ndarray]:
     w = Words(column, lower=True)
-    hashes = w.hashes()
-    distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    if not model.languages:
+        return w, np.zeros((len(w.starts), 0), np.float32)
+    distinct, where, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
     s = model.scores(w.data, w.starts[where], w.ends[where], distinct)
     e = np.exp(s - s.max(-1, keepdims=True)).astype(np.float32) if len(s) else s.astype(np.float32)
     e = np.maximum(e, 1e-6)
@@ -148,7 +149,7 @@ def predict(model: Model, column: pa.Array) -> list[tuple[str, float]]:
     w, p = word_marginals(model, column)
     letters = np.concatenate([[0], np.cumsum(IS_LETTER[w.data])])
     weight = (letters[w.ends] - letters[w.starts]).astype(np.float64)
-    share = np.concatenate([np.zeros((1, p.shape[1] if p.ndim == 2 else 1)), np.cumsum(p * weight[:, None], axis=0, dtype=np.float64)])
+    share = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p * weight[:, None], axis=0, dtype=np.float64)])
     total = np.concatenate([[0.0], np.cumsum(weight)])
     out = []
     for text, a, b in zip(column.to_pylist(), w.first[:-1], w.first[1:], strict=True):
