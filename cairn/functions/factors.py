@@ -15,7 +15,8 @@ BAND_EDGES_KM = (5.0, 15.0, 40.0, 100.0)
 
 
 def smoothstep(t: Column) -> Column:
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+    """0 up to 0, 1 from 1 on; null stays null."""
+    t = F.when(t.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), t)))
     return t * t * (3 - 2 * t)
 
 
