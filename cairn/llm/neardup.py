@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import slices, written
+from .shared import new_path, slices, written
 from .words import Words, mix
 
-LOW, WIDE, NARROW, BLOCK = 24, 512, 128, 1024
+LOW, WIDE, NARROW, BLOCK = 24, 256, 128, 1024
+#: Bits of the table that spares most texts the way to the sets, per document that needs one, and at most: 16 MB, beyond which it spares fewer.
+BITS_EACH, MOST_BITS = 16, 1 << 27
 DEVIATIONS = 4.5
 
 
@@ -34,6 +36,44 @@ def _distinct(column: pa.Array, words: int, lower: bool) -> Iterator[np.ndarray]
         yield np.unique(s[a:b])
 
 
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A packed table of bits, one set for each id: which documents surely need no set."""
+    bits = min(MOST_BITS, max(64, 1 << (BITS_EACH * ids.count()).bit_length()))
+
+    def place(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bit(batch.column(0).to_numpy(), bits))], names=["bit"])
+
+    words = ids.mapInArrow(place, "bit long").groupBy(F.shiftright("bit", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("b")).toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
+    return out
+
+
+def _needed(table: np.ndarray):
+    bits = 32 * len(table)
+
+    def run(batches):
+        for batch in batches:
+            at = _bit(batch.column("doc_id").fill_null(0).to_numpy(), bits)
+            yield batch.filter(pa.array((table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
+
+    return run
+
+
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """df, which is dealt by id into that many partitions, as a table in the shared folder that joins on id read without a shuffle."""
+    spark = df.sparkSession
+    path = new_path(spark, "sets")
+    name = "cairn_" + path.rpartition("-")[2]
+    df.write.bucketBy(buckets, "id").sortBy("id").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def _sketches(words: int, lower: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("low", pa.list_(pa.int64()))])
 
@@ -165,7 +205,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: b
     A null, empty or blank text has no shingles and no links. Rows with a null doc_id are returned with component_id null and kept true.
     Repeated rows of one doc_id are one document and come back as often as given. Other columns are not read. An empty table gives no rows.
     """
-    share = percent / 100
+    share, spark = percent / 100, docs.sparkSession
     run, ddl = _sketches(words, lower)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = written(own.mapInArrow(run, ddl), "sketches")
@@ -186,10 +226,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: b
     pivots = rows.groupBy("value").agg(F.count("*").alias("members"), F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("p")).filter("members > 1").select("value", (-F.col("p.id")).alias("a"))
     met = rows.join(pivots, "value").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
     met = written(met, "met")
-    involved = met.select(F.col("b").alias("doc_id")).distinct()
+    involved = written(met.select(F.col("b").alias("doc_id")).distinct(), "involved")
     run, ddl = _full_sets(words, lower)
-    texts = own.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(texts.mapInArrow(run, ddl), "sets")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = own.mapInArrow(_needed(_marked(involved)), "doc_id long, text string").repartition(buckets, "doc_id")
+    texts = texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = _bucketed(texts.mapInArrow(run, ddl), buckets)
 
     best = met.filter("a <> b").groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
     edges = written(_confirmed(best, sets, percent), "links")
