@@ -28,8 +28,13 @@ def usable(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place[fine], ids.take(pa.array(place[fine])).to_numpy(zero_copy_only=False), v[fine]
 
 
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows with rows, summed from the first component to the last wherever the rows stand, so that equal vectors give equal numbers."""
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
 def norms(v: np.ndarray) -> np.ndarray:
-    return np.sqrt((v * v).sum(1))
+    return np.sqrt(dots(v, v))
 
 
 def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,8 +56,7 @@ def first_copies(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows with rows, summed in one order wherever they stand, so that equal vectors give equal numbers."""
-    return np.clip((a * b).sum(1) / (norms(a) * norms(b)), -1.0, 1.0)
+    return np.clip(dots(a, b) / (norms(a) * norms(b)), -1.0, 1.0)
 
 
 def tile(q_ids, q, ids, v, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,20 @@ from pyspark.sql import functions as F
 
 from . import ann, bayes_quality, bpe, langid, mixing, neardup, pii, quality_rules, site_tree, token_files
 
-SQL: dict[str, str] = {}
+#: Statements for a SQL engine; the other operators have no SQL form and are tested against brute force.
+SQL: dict[str, str] = {
+    "op4_near_duplicates": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, md5(array_to_string(s, ' ')) AS s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) END) AS s FROM w)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    b AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS (SELECT x, y FROM b JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+    r AS (SELECT doc_id AS a, doc_id AS z FROM documents UNION SELECT r.a, CASE WHEN e.x = r.z THEN e.y ELSE e.x END FROM r JOIN e ON r.z IN (e.x, e.y)),
+    k AS (SELECT a AS doc_id, min(z) AS component_id FROM r GROUP BY a)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN k ON k.doc_id = d.doc_id""",
+    "op6_nearest_vectors": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id, least(1.0::DOUBLE, greatest(-1.0::DOUBLE, list_dot_product(q.e, c.e) / (q.n * c.n))) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id WHERE q.n > 0 AND c.n > 0),
+    r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p) SELECT * FROM r WHERE rank <= 5""",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
