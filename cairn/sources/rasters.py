@@ -29,8 +29,9 @@ def directories(data: bytes) -> list[dict]:
     if big is None:
         raise ValueError("not a TIFF")
     word, entry = ("<Q", 20) if big else ("<I", 12)
-    at, out = struct.unpack_from(word, data, 8 if big else 4)[0], []
-    while at:
+    at, out, seen = struct.unpack_from(word, data, 8 if big else 4)[0], [], set()
+    while at and at not in seen:
+        seen.add(at)
         n = struct.unpack_from("<Q" if big else "<H", data, at)[0]
         at += 8 if big else 2
         tags = {}
@@ -104,7 +105,7 @@ def decode_block(data: bytes, width: int, height: int, compression: int, predict
         values = np.frombuffer(raw, kind).reshape(height, width)
     out = values.astype(np.float32)
     if nodata is not None:
-        out[values.astype(np.float64) == nodata] = np.nan
+        out[values == (kind.type(nodata) if kind.kind == "f" else nodata)] = np.nan
     return out
 
 

@@ -33,7 +33,7 @@ def unstale(replies: DataFrame) -> DataFrame:
 
 def stream(spark, folder: str, schema: str, late: str = "10 minutes") -> DataFrame:
     """Events that arrive as Parquet files in a folder, with a watermark."""
-    return spark.readStream.schema(schema).parquet(folder).withWatermark("ts", late)
+    return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 def stream_debounced(events: DataFrame, gap: str) -> DataFrame:
