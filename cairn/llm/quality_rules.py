@@ -1,8 +1,9 @@
 """Quality rules with risk-controlled thresholds.
 
-Counts of each text give ratios; a rule rejects a text whose ratio passes a cutoff. For every stratum (language) and rule, labelled good documents are counted on both
-sides of a fixed grid of cutoffs, and the strictest cutoff is taken whose exact (Clopper-Pearson) upper bound of the false rejection rate is within `risk`.
-All bounds hold at once with probability 1 - delta: delta is shared by all strata, rules and cutoffs (Bonferroni). Where no cutoff can be guaranteed, the rule is off.
+Counts of each text give ratios; a rule rejects a text whose ratio passes a cutoff. For every stratum (language) and rule, labelled good documents are counted over a fixed grid of
+cutoffs. Cutoffs are tested in a fixed sequence, from the most lenient to the strictest, and the last one before the first failure is taken: its exact (Clopper-Pearson) upper bound of the
+false rejection rate is within the rule's share of `risk`. A fixed sequence needs no correction of its own; strata and rules share delta (Bonferroni), so that all guarantees hold at once with
+probability 1 - delta. Where the first cutoff cannot be guaranteed, the rule is off.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 from .shared import slices, written
 from .words import Words
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper")
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
+MARK, UPPER = np.zeros(256, bool), np.zeros(256, bool)
+MARK[list(b"!?")] = UPPER[65:91] = True
 BLANK = " \t\n\v\f\r"
 
 #: Rules: a text is rejected if the ratio is over the cutoff.
@@ -28,6 +31,8 @@ RATIOS = {
     "dup_lines": lambda: F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
     "repeats": lambda: F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)),
     "word_length": lambda: F.col("word_chars") / F.greatest("n_words", F.lit(1)) / 20,
+    "marks": lambda: F.col("n_marks") / F.greatest("n_words", F.lit(1)),
+    "upper": lambda: F.col("n_upper") / F.greatest("word_chars", F.lit(1)),
 }
 GRID = tuple(round(0.05 * k, 2) for k in range(2, 41))
 
@@ -63,10 +68,10 @@ def text_counts(docs: DataFrame) -> DataFrame:
             w = Words(batch.column("text"))
             s, first = w.shingles(3)
             inside = np.concatenate([[0], np.cumsum(w.inside & ((w.data & 0xC0) != 0x80))])[w.at]
-            symbols = np.concatenate([[0], np.cumsum(SYMBOL[w.data])])[w.at]
+            symbols, marks, upper = (np.diff(np.concatenate([[0], np.cumsum(kind[w.data])])[w.at]) for kind in (SYMBOL, MARK, UPPER))
             repeats = [repeated_words(s[a:b], 3, n) for a, b, n in zip(first[:-1], first[1:], w.counts.tolist(), strict=True)]
             lines = [duplicate_lines(t or "") for t in batch.column("text").to_pylist()]
-            columns = [w.counts, np.diff(inside), np.diff(symbols), [x[1] for x in lines], repeats, [x[0] for x in lines]]
+            columns = [w.counts, np.diff(inside), symbols, [x[1] for x in lines], repeats, [x[0] for x in lines], marks, upper]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -87,8 +92,8 @@ def within_risk(k: int, n: int, risk: float, delta: float) -> bool:
     return n > 0 and k < n * risk and log_binomial_cdf(k, n, risk) <= math.log(delta)
 
 
-def cutoffs(counts: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05, max_strata: int = 1000) -> dict[tuple[str, str], float]:
-    """(stratum, rule) to the smallest cutoff that is guaranteed to reject at most `risk` of the stratum's good documents.
+def cutoffs(counts: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, max_strata: int = 1000) -> dict[tuple[str, str], float]:
+    """(stratum, rule) to the strictest cutoff that is guaranteed to reject at most `risk` of the stratum's good documents.
 
     Holdouts are the documents with labels(doc_id, quality) of quality 1; a document with conflicting labels is none. The table that reaches the driver has
     strata x rules x grid numbers at most; more than max_strata strata are an error.
@@ -99,14 +104,14 @@ def cutoffs(counts: DataFrame, labels: DataFrame, risk: float = 0.01, delta: flo
     table = seen.groupBy("stratum").agg(F.count("*").alias("n"), *over).limit(max_strata + 1).collect()
     if len(table) > max_strata:
         raise ValueError(f"more than {max_strata} strata")
-    share = delta / max(1, len(table) * len(RATIOS) * len(GRID))
+    share = delta / max(1, len(table) * len(RATIOS))
     out = {}
     for row in table:
         for rule in RATIOS:
-            for i, c in enumerate(GRID):
-                if within_risk(row[f"{rule}@{i}"], row["n"], risk / len(RATIOS), share):
-                    out[row["stratum"], rule] = c
+            for i in reversed(range(len(GRID))):
+                if not within_risk(row[f"{rule}@{i}"], row["n"], risk / len(RATIOS), share):
                     break
+                out[row["stratum"], rule] = GRID[i]
     return out
 
 
@@ -115,7 +120,7 @@ def _limit(found: dict[tuple[str, str], float], rule: str) -> Column:
     return F.create_map(*pairs)[F.coalesce("lang", F.lit(""))] if pairs else F.lit(None).cast("double")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """docs(doc_id, text, lang, ...) and labels(doc_id, quality, ...) to doc_id, COUNTS, base_failed, rejected_by (array of rules) and kept.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows. One row for each row given; nulls in text count as empty,
