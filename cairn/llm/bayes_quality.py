@@ -46,7 +46,11 @@ def train(texts: list[str], labels: list[int], rounds: int = 150, decay: float =
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return weights
-    row, key, value = features(pa.array(texts))
+    parts = []
+    for at in range(0, len(texts), 256):  # a few texts at a time, to keep the driver's memory low
+        row, key, value = features(pa.array(texts[at : at + 256]))
+        parts.append(((row + at).astype(np.int32), key.astype(np.int32), value.astype(np.float32)))
+    row, key, value = (np.concatenate(x) for x in zip(*parts, strict=True))
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[key] * value, len(y)), -30, 30)))
