@@ -11,7 +11,10 @@ from ..sources import views
 from ..sources.views import table, with_views
 
 OBSERVER, RAYS, HOME, RADIUS = 200.0, 360, (46.5, 8.5), 80_000.0
-K = [F.col(c).cast("long").alias(c) for c in ("scene", "ray")]
+
+
+def _key():
+    return [F.col(c).cast("long").alias(c) for c in ("scene", "ray")]
 
 
 def _seen(spark, sf_dir):
@@ -23,30 +26,30 @@ def _crests(spark, sf_dir):
 
 
 def wn01_visible(spark, sf_dir):
-    return _seen(spark, sf_dir).select(*K, F.col("i").cast("long").alias("i"), F.round("t", 9).alias("t"), "sea", "visible")
+    return _seen(spark, sf_dir).select(*_key(), F.col("i").cast("long").alias("i"), F.round("t", 9).alias("t"), "sea", "visible")
 
 
 def wn02_crests(spark, sf_dir):
-    return _crests(spark, sf_dir).select(*K, F.col("seq").cast("long").alias("seq"), "dist", F.round("angle", 6).alias("angle"), F.round("elev", 6).alias("elev"))
+    return _crests(spark, sf_dir).select(*_key(), F.col("seq").cast("long").alias("seq"), "dist", F.round("angle", 6).alias("angle"), F.round("elev", 6).alias("elev"))
 
 
 def wn03_sea(spark, sf_dir):
-    return rays.sea_intervals(_seen(spark, sf_dir)).select(*K, F.col("seq").cast("long").alias("seq"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "lo_dist", "hi_dist")
+    return rays.sea_intervals(_seen(spark, sf_dir)).select(*_key(), F.col("seq").cast("long").alias("seq"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "lo_dist", "hi_dist")
 
 
 def wn04_horizon(spark, sf_dir):
-    return rays.horizon(_seen(spark, sf_dir)).select(*K, F.round("angle", 6).alias("angle"), "dist")
+    return rays.horizon(_seen(spark, sf_dir)).select(*_key(), F.round("angle", 6).alias("angle"), "dist")
 
 
 def wn05_next_lower(spark, sf_dir):
-    return rays.next_lower(_crests(spark, sf_dir)).select(*K, F.col("seq").cast("long").alias("seq"), F.round("next_lower", 6).alias("next_lower"))
+    return rays.next_lower(_crests(spark, sf_dir)).select(*_key(), F.col("seq").cast("long").alias("seq"), F.round("next_lower", 6).alias("next_lower"))
 
 
 def wn07_offsets(spark, sf_dir):
     """Where each ray's crests begin and end in one list of all of a scene."""
     by = _crests(spark, sf_dir).groupBy("scene", "ray").agg(F.count("*").alias("n"))
     end = F.sum("n").over(Window.partitionBy("scene").orderBy("ray"))
-    return by.withColumn("end", end).select(*K, (F.col("end") - F.col("n")).alias("begin"), "end")
+    return by.withColumn("end", end).select(*_key(), (F.col("end") - F.col("n")).alias("begin"), "end")
 
 
 def hz01_samples(spark, sf_dir):
@@ -66,13 +69,13 @@ def hz02_tiles(spark, sf_dir):
 
 def jn03_asof(spark, sf_dir):
     probes = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") / 30000).cast("long").alias("scene"), (F.col("l_orderkey") % 360).cast("int").alias("ray"), F.col("l_partkey").alias("id")).agg((F.max("l_quantity") * 400).cast("double").alias("limit"))
-    return rays.running_angle(_crests(spark, sf_dir), probes).select(*K, "id", F.round("blocking", 6).alias("blocking"))
+    return rays.running_angle(_crests(spark, sf_dir), probes).select(*_key(), "id", F.round("blocking", 6).alias("blocking"))
 
 
 def jn04_band_min(spark, sf_dir):
     q = F.max("l_quantity").cast("double")
     probes = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") / 30000).cast("long").alias("scene"), (F.col("l_orderkey") % 360).cast("int").alias("ray"), F.col("l_partkey").alias("id")).agg((q * 280).alias("lo"), (q * 520).alias("hi"))
-    return rays.lowest_in_band(_crests(spark, sf_dir), probes).select(*K, "id", F.round("low", 6).alias("low"))
+    return rays.lowest_in_band(_crests(spark, sf_dir), probes).select(*_key(), "id", F.round("low", 6).alias("low"))
 
 
 def _sightings(spark, sf_dir):
