@@ -101,17 +101,19 @@ def areas_at(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def distances(cells: DataFrame, marks: DataFrame, cell: float, keys: tuple[str, ...] = ("grid",), band: int = 16) -> DataFrame:
-    """Adds distance, metres to the nearest marked cell's centre; infinite where there is none. cells: all (keys, row, col); marks: (keys, row, col), a subset.
+    """Adds distance, metres to the nearest marked cell's centre; infinite where there is none. cells: (keys, row, col) of a full rectangle; marks: (keys, row, col), which may lie above or below it too.
 
     Exact: the vertical distance comes from windows down and up each column; then every row takes the least of vertical² + horizontal² in NumPy, a band of rows at a time.
     """
-    marked = cells.join(marks.withColumn("_m", F.lit(1)), [*keys, "row", "col"], "left")
+    place = [*keys, "row", "col"]
+    both = cells.select(*place, F.lit(1).alias("_c"), F.lit(0).alias("_m")).unionByName(marks.select(*place, F.lit(0).alias("_c"), F.lit(1).alias("_m")))
+    marked = both.groupBy(*place).agg(F.max("_c").alias("_c"), F.max("_m").alias("_m"))
     w = Window.partitionBy(*keys, "col").orderBy("row")
     at = F.when(F.col("_m") == 1, F.col("row"))
     above = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     gap = F.least(F.col("row") - above, below - F.col("row"))  # least passes over a null
-    lines = marked.withColumn("_gap", F.coalesce(gap.cast("double"), F.lit(float("inf")))).drop("_m").withColumn("_band", F.floor(F.col("row") / band))
+    lines = marked.withColumn("_gap", F.coalesce(gap.cast("double"), F.lit(float("inf")))).filter("_c = 1").drop("_m", "_c").withColumn("_band", F.floor(F.col("row") / band))
 
     def envelope(part: pd.DataFrame) -> pd.DataFrame:
         out = []
