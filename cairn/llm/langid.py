@@ -55,8 +55,11 @@ class Model:
     steps: np.ndarray  # (languages, languages) transition scores
 
     def scores(self, data, starts, ends, hashes) -> np.ndarray:
-        flat, begin = ngram_features(data, starts, ends)
-        s = np.add.reduceat(self.weights[flat], begin, axis=0) if len(begin) else np.zeros((0, len(self.languages)), np.float32)
+        s = np.zeros((len(starts), len(self.languages)), np.float32)
+        for at in range(0, len(starts), 8192):  # a part of the words at a time: their features take a hundred times a word's place
+            part = slice(at, at + 8192)
+            flat, begin = ngram_features(data, starts[part], ends[part])
+            s[part] = np.add.reduceat(self.weights[flat], begin, axis=0)
         return s + self.lexicon_odds(hashes) @ self.mixing
 
     def lexicon_odds(self, hashes: np.ndarray) -> np.ndarray:
