@@ -99,7 +99,7 @@ VIEW_SQL = {
       SELECT grid, area, rank, part, unnest([0, 1, 2, 3]) AS i, CASE part WHEN 0 THEN
         [{'e': e, 'n': n}, {'e': e + w, 'n': n + 3}, {'e': e + w + 4, 'n': n - h}, {'e': e - 2, 'n': n - h - 1}] ELSE
         [{'e': e + 4, 'n': n - 4}, {'e': e + 9, 'n': n - 4}, {'e': e + 9, 'n': n - 9}, {'e': e + 4, 'n': n - 9}] END AS r FROM (
-        SELECT n_nationkey % 2 AS grid, n_nationkey AS area, n_regionkey % 3 AS rank, 2722000.0::DOUBLE + (n_nationkey * 29) % 150 AS e, 1204980.0::DOUBLE - (n_nationkey * 41) % 150 AS n,
+        SELECT (n_nationkey % 2)::BIGINT AS grid, n_nationkey::BIGINT AS area, (n_regionkey % 3)::BIGINT AS rank, 2722000.0::DOUBLE + (n_nationkey * 29) % 150 AS e, 1204980.0::DOUBLE - (n_nationkey * 41) % 150 AS n,
           15 + (n_nationkey * 7) % 30 AS w, 12 + (n_nationkey * 11) % 25 AS h, unnest(CASE WHEN n_nationkey % 5 = 0 THEN [0, 1] ELSE [0] END) AS part FROM nation))""",
     "samples": """SELECT scene, ray, i, (i + 1) * 500.0::DOUBLE AS dist, CASE WHEN floor(p)::BIGINT % 89 = 3 THEN NULL WHEN floor(p)::BIGINT % 7 = 0 THEN 0.0::DOUBLE ELSE p / 40 END AS h FROM (
       SELECT l_orderkey // 30000 AS scene, l_orderkey % 360 AS ray, (l_orderkey * 7 + l_linenumber * 13) % 40 AS i, min(l_extendedprice)::DOUBLE AS p FROM lineitem GROUP BY 1, 2, 3)""",
