@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +59,14 @@ def terrain(cells: DataFrame, layer: str = "z", cell: float = 2.0, grid: Sequenc
     return out.select(*(c for c in cells.columns if c not in ("slope", "roughness") and c != layer), F.col("_kept").alias(layer), "slope", "roughness")
 
 
-def box_aggregate(cells: DataFrame, radius: int, grid: Sequence[str] = (), **parts) -> DataFrame:
-    """Adds name=(function, value) over the (2 radius + 1)² cells around each, all of them in one pass along the rows and one along the columns."""
-    along, across = (w.rangeBetween(-radius, radius) for w in (_rows(grid), _cols(grid)))
-    out = cells.withColumns({f"_{n}": how(value).over(along) for n, (how, value) in parts.items()})
-    return out.withColumns({n: how(f"_{n}").over(across) for n, (how, _) in parts.items()}).drop(*(f"_{n}" for n in parts))
+def box_aggregate(cells: DataFrame, radius: int, grid: Sequence[str] = (), down_first: bool = False, **parts) -> DataFrame:
+    """Adds name=(function, value) over the (2 radius + 1)² cells around each, all of them in one pass along the rows and one along the columns.
+
+    The passes commute: one that begins as the operator before it ended needs no shuffle there.
+    """
+    one, two = (w.rangeBetween(-radius, radius) for w in ((_cols(grid), _rows(grid)) if down_first else (_rows(grid), _cols(grid))))
+    out = cells.withColumns({f"_{n}": how(value).over(one) for n, (how, value) in parts.items()})
+    return out.withColumns({n: how(f"_{n}").over(two) for n, (how, _) in parts.items()}).drop(*(f"_{n}" for n in parts))
 
 
 def _col(x) -> Column:
@@ -74,7 +79,7 @@ def on_border(width: Column, height: Column, radius: int) -> Column:
 
 def flat_surface(cells: DataFrame, width, height, layer: str = "z", grid: Sequence[str] = ()) -> DataFrame:
     """Adds flat: 1 where the heights around differ by less than FLAT_RANGE, else 0; null on the border and without data. Unknown neighbours don't count."""
-    out = box_aggregate(cells, FLAT_RADIUS, grid, _high=(F.max, F.col(layer)), _low=(F.min, F.col(layer)))
+    out = box_aggregate(cells, FLAT_RADIUS, grid, True, _high=(F.max, F.col(layer)), _low=(F.min, F.col(layer)))
     border = on_border(_col(width), _col(height), FLAT_RADIUS)
     return out.withColumn("flat", F.when(border | F.col(layer).isNull(), None).otherwise((F.col("_high") - F.col("_low") < FLAT_RANGE).cast("int"))).drop("_high", "_low")
 
@@ -87,7 +92,7 @@ def dilate(cells: DataFrame, layer: str, radius: int = SHORE, grid: Sequence[str
 
 def patch_minimum(cells: DataFrame, layer: str, width, height, radius: int = 1, grid: Sequence[str] = ()) -> DataFrame:
     """The smallest value of the patch around each cell: unknown counts as 0, and so does everything beyond the border."""
-    out = box_aggregate(cells, radius, grid, _least=(F.min, F.coalesce(F.col(layer), F.lit(0.0))))
+    out = box_aggregate(cells, radius, grid, True, _least=(F.min, F.coalesce(F.col(layer), F.lit(0.0))))
     return out.withColumn(layer, F.when(on_border(_col(width), _col(height), radius), 0.0).otherwise(F.col("_least"))).drop("_least")
 
 
@@ -127,21 +132,20 @@ def block_best(cells: DataFrame, score: str, block: int, grid: Sequence[str] = (
 def pick_spots(cells: DataFrame, score: str = "score", cell: float = 2.0, count: int = 3, separation: float = 300.0, least: float = 0.5, grid: Sequence[str] = ()) -> DataFrame:
     """The best spots that keep their distance from better ones: rank, row, col, score for each grid.
 
-    Greedy choice equals `count` rounds of taking each grid's best candidate and dropping what is too near to it; candidates are one cell a block of 10 m.
+    Candidates are one cell a block of 10 m, picked before the shuffle; the greedy choice among a grid's candidates, a twenty-fifth of its cells at most, is one small task.
     """
     block = max(1, int(10 / cell + 0.5))
     left = block_best(cells, score, block, grid).filter(F.col(score) >= least)
-    key = F.struct(F.col(score), (-F.col("block_row")).alias("r"), (-F.col("block_col")).alias("c"), "row", "col")
-    out = None
-    for rank in range(1, count + 1):
-        best = left.groupBy(*grid).agg(F.max(key).alias("_b")).filter("_b IS NOT NULL")
-        pick = best.select(*grid, F.lit(rank).alias("rank"), F.col("_b.row").alias("row"), F.col("_b.col").alias("col"), F.col(f"_b.{score}").alias(score))
-        out = pick if out is None else out.unionByName(pick)
-        if rank < count:
-            taken = pick.select(*(F.col(g).alias(f"_{g}") for g in grid), F.col("row").alias("_row"), F.col("col").alias("_col"))
-            near = F.hypot((F.col("row") - F.col("_row")) * cell, (F.col("col") - F.col("_col")) * cell) < separation
-            same = near
-            for g in grid:
-                same = same & (F.col(g) == F.col(f"_{g}"))
-            left = left.join(taken if grid else F.broadcast(taken), same, "left_anti")
-    return out
+    keys = list(grid)
+
+    def greedy(part: pd.DataFrame) -> pd.DataFrame:
+        part, out = part.sort_values([score, "block_row", "block_col"], ascending=[False, True, True]), []
+        while len(part) and len(out) < count:
+            best = part.iloc[0]
+            out.append((*(best[k] for k in keys), len(out) + 1, best["row"], best["col"], best[score]))
+            part = part[np.hypot((part["row"] - best["row"]) * cell, (part["col"] - best["col"]) * cell) >= separation]
+        return pd.DataFrame(out, columns=[*keys, "rank", "row", "col", score])
+
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+    ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "rank int", "row int", "col int", f"`{score}` double"])
+    return left.groupBy(*keys).applyInPandas(greedy, ddl)
