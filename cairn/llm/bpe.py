@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -210,7 +211,7 @@ class ByteBPE:
             self.begin, self.many, self.flat = np.arange(len(ids), dtype=np.int32), np.ones(len(ids), np.int32), np.array([i for _, i in ids], np.int32)
         self.learn(set().union(*words))
         counts = [len(w) for w in words]
-        number = np.fromiter((self.table[w] for p in words for w in p), np.int64, sum(counts))
+        number = np.fromiter(map(self.table.__getitem__, chain.from_iterable(words)), np.int64, sum(counts))
         many = self.many[number].astype(np.int64)
         before = np.cumsum(many) - many
         place = np.arange(many.sum()) - np.repeat(before - self.begin[number], many)
