@@ -373,3 +373,22 @@ def test_digest_columns(spark, sf):
 def test_words():
     w = Words(pa.array(["a b", None, "", " x y\x0bz ", "A"]), lower=True)
     assert w.counts.tolist() == [2, 0, 0, 2, 1]
+
+
+def test_carried_columns_and_clashing_names(spark):
+    from cairn.llm.shared import carried
+
+    df = spark.createDataFrame([(1, "a b", "old", 2.5), (2, None, None, None)], "doc_id long, text string, words string, extra double")
+    out = carried(df, lambda text: [pa.array([len((t or "").split()) for t in text.to_pylist()], pa.int64())], {"words": "long"})
+    assert out.columns == ["doc_id", "text", "extra", "words"] and rows(out) == sorted([(1, "a b", 2.5, 2), (2, None, None, 0)], key=str)
+    out = carried(df.select("doc_id", "text"), lambda text: [pa.array(["x"] * len(text))], {"text": "string"})
+    assert [r["text"] for r in out.collect()] == ["x", "x"]
+
+
+def test_large_equal_groups_keep_every_row(spark):
+    """A third of all rows are one text, another third one near copy each: nothing is lost and no pair is made twice."""
+    base = [f"word{i}" for i in range(80)]
+    texts = [" ".join(base)] * 300 + [" ".join([*base[:40], f"new{i}", *base[41:]]) for i in range(300)] + [f"other {i} text {i * 7} here {i}" for i in range(300)]
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(documents(spark, texts), 3, 85).collect()}
+    assert len(got) == 900 and all(got[i]["component_id"] == 0 for i in range(600)) and all(got[i]["component_id"] == i for i in range(600, 900))
+    assert sum(r["kept"] for r in got.values()) == 301
