@@ -24,7 +24,7 @@ from .components import connected_components
 from .shared import new_path, slices, written
 from .words import Words, mix
 
-LOW, WIDE, NARROW, BLOCK = 24, 256, 128, 1024
+LOW, WIDE, NARROW, BLOCK = 24, 256, 128, 512
 #: Bits of the table that spares most texts the way to the sets, per document that needs one, and at most: 16 MB, beyond which it spares fewer.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 DEVIATIONS = 4.5
@@ -65,13 +65,13 @@ def _needed(table: np.ndarray):
     return run
 
 
-def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+def _bucketed(df: DataFrame, buckets: int) -> tuple[DataFrame, str]:
     """df, which is dealt by id into that many partitions, as a table in the shared folder that joins on id read without a shuffle."""
     spark = df.sparkSession
     path = new_path(spark, "sets")
     name = "cairn_" + path.rpartition("-")[2]
     df.write.bucketBy(buckets, "id").sortBy("id").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def _sketches(words: int, lower: bool):
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: b
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = own.mapInArrow(_needed(_marked(involved)), "doc_id long, text string").repartition(buckets, "doc_id")
     texts = texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = _bucketed(texts.mapInArrow(run, ddl), buckets)
+    sets, table_name = _bucketed(texts.mapInArrow(run, ddl), buckets)
 
     best = met.filter("a <> b").groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
     edges = written(_confirmed(best, sets, percent), "links")
@@ -251,6 +251,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: b
     more = written(spread.mapInArrow(run, ddl), "pairs")
     edges = edges.unionByName(_confirmed(more, sets, percent))
     part = connected_components(edges)
+    spark.sql(f"DROP TABLE {table_name}")  # its rows are not needed any more
 
     named = classes.join(part, "id", "left").select(*sig, place.alias("component_id"))
     full = usable.drop("low").join(named, sig).select("doc_id", "n_shingles", "component_id")
