@@ -71,7 +71,7 @@ def test_spots_equal_greedy(spark):
     assert got == want
 
 
-def reference_crests(h, dist, obs):
+def walked_crests(h, dist, obs):
     top, run, out, low = -math.inf, None, [], None
     for x, d in zip(h, dist, strict=True):
         if x is None:
@@ -93,7 +93,7 @@ def test_crests_equal_a_walk(spark):
     got = {}
     for r in rays.crests(rays.visible(df, 150.0)).orderBy("ray", "seq").collect():
         got.setdefault(r["ray"], []).append(r["dist"])
-    assert got == {ray: want for ray, hs in data.items() if (want := reference_crests(hs, [(i + 1) * 500.0 for i in range(30)], 150.0))}
+    assert got == {ray: want for ray, hs in data.items() if (want := walked_crests(hs, [(i + 1) * 500.0 for i in range(30)], 150.0))}
 
 
 def test_ring_ridge_is_one_line_and_gaps_part_it(spark):
