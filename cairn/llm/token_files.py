@@ -11,7 +11,7 @@ import os
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 
 from .shared import new_path, slices, written
 
-TABLE_WORDS = 600_000
+TABLE_WORDS = 1_000_000
+#: Marks that stand apart from a letter before them.
+TAIL = ".,!?#%*&$"
 
 
 class WordTable:
     """Encodes as the tokenizers library does for this vocabulary: the library encodes every new word once, and a table of words gives the rest.
 
-    Right for tokenizers that split at a space and at a newline and drop them, and that split a final full stop or comma from a letter.
+    Right for tokenizers that split at a space and at a newline and drop them, and that split final marks (TAIL) from a letter; new words are encoded as one text and told apart by
+    their offsets.
     """
 
     def __init__(self, path: str):
@@ -54,9 +57,10 @@ class WordTable:
         new = [w for w in words if w not in self.table]
         if not new:
             return
-        got = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
-        where = np.array([-1 if x is None else x for x in got.word_ids], np.int64)
-        self.learn(new, np.array(got.ids, np.int64), np.bincount(where, minlength=len(new)) if len(where) else np.zeros(len(new), np.int64))
+        starts = np.cumsum([0, *(len(w) + 1 for w in new)])[:-1]
+        got = self.library.encode(" ".join(new), add_special_tokens=False)
+        first = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+        self.learn(new, np.array(got.ids, np.int64), np.bincount(np.searchsorted(starts, first, "right") - 1, minlength=len(new)))
 
     def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         many = self.many[number]
@@ -69,14 +73,20 @@ class WordTable:
         if len(self.table) > TABLE_WORDS:
             self.forget()
         new = set().union(*split).difference(self.table)
-        two = [w for w in new if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and w[-2].isascii()]
-        self.by_library(new.difference(two) | {w[:-1] for w in two} | {".", ","})
+        two, heads, tails = [], [], []
+        for w in new:
+            head = w.rstrip(TAIL)
+            if len(head) < len(w) and head and head[-1].isascii() and head[-1].isalpha():
+                two.append(w)
+                heads.append(head)
+                tails.append(w[len(head) :])
+        self.by_library(new.difference(two).union(heads, tails))
         if two:
-            number = np.fromiter((self.table[x] for w in two for x in (w[:-1], w[-1])), np.int64, 2 * len(two))
+            number = np.fromiter((self.table[x] for pair in zip(heads, tails, strict=True) for x in pair), np.int64, 2 * len(two))
             ids, many = self.gather(number)
             self.learn(two, ids, many[::2] + many[1::2])
         counts = [len(s) for s in split]
-        number = np.fromiter((self.table[w] for s in split for w in s), np.int64, sum(counts))
+        number = np.fromiter(map(self.table.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
         ids, many = self.gather(number)
         totals = np.concatenate([[0], np.cumsum(many)])
         return ids, np.diff(totals[np.concatenate([[0], np.cumsum(counts)])])
