@@ -8,6 +8,7 @@ it, is a prefix sum over the parts' totals. Files get their name only when they
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -24,13 +25,15 @@ from .shared import new_path, slices, written
 TABLE_WORDS = 1_000_000
 #: Marks that stand apart from a letter before them.
 TAIL = ".,!?#%*&$"
+#: Words of letters that stay one letter each in lower case: the library takes each of them as one word.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 class WordTable:
     """Encodes as the tokenizers library does for this vocabulary: the library encodes every new word once, and a table of words gives the rest.
 
     Right for tokenizers that split at a space and at a newline and drop them, and that split final marks (TAIL) from a letter; new words are encoded as one text and told apart by
-    their offsets.
+    their number, if they are plain, or their offsets.
     """
 
     def __init__(self, path: str):
@@ -57,10 +60,14 @@ class WordTable:
         new = [w for w in words if w not in self.table]
         if not new:
             return
-        starts = np.cumsum([0, *(len(w) + 1 for w in new)])[:-1]
-        got = self.library.encode(" ".join(new), add_special_tokens=False)
+        plain = [w for w in new if PLAIN(w)]
+        got = self.library.encode(" ".join(plain), add_special_tokens=False)
+        self.learn(plain, np.array(got.ids, np.int64), np.bincount(np.array(got.word_ids, np.int64), minlength=len(plain)))
+        other = [w for w in new if w not in self.table]
+        starts = np.cumsum([0, *(len(w) + 1 for w in other)])[:-1]
+        got = self.library.encode(" ".join(other), add_special_tokens=False)
         first = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
-        self.learn(new, np.array(got.ids, np.int64), np.bincount(np.searchsorted(starts, first, "right") - 1, minlength=len(new)))
+        self.learn(other, np.array(got.ids, np.int64), np.bincount(np.searchsorted(starts, first, "right") - 1, minlength=len(other)))
 
     def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         many = self.many[number]
