@@ -6,6 +6,8 @@ a proven error; only pairs whose upper bound reaches the k-th best lower bound o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,17 +17,17 @@ from pyspark.sql import functions as F
 QUERY_BLOCK, BLOCK = 4096, 2048
 
 
-def usable(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, ids and vectors (double) of the rows that take part, all of the first usable row's size."""
+def usable(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors (double) of the rows that take part, one pair of arrays for each length of vector."""
     ids, column = batch.column("vec_id"), batch.column("embedding")
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     there = ids.is_valid().to_numpy(zero_copy_only=False) & (sizes > 0)
-    if not there.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0))
-    place = np.flatnonzero(there & (sizes == sizes[np.argmax(there)]))
-    v = column.take(pa.array(place)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(place), -1)  # a null component becomes NaN
-    fine = np.isfinite(v).all(1) & (v != 0).any(1)
-    return place[fine], ids.take(pa.array(place[fine])).to_numpy(zero_copy_only=False), v[fine]
+    for width in np.unique(sizes[there]):
+        place = np.flatnonzero(there & (sizes == width))
+        v = column.take(pa.array(place)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(place), -1)  # a null component becomes NaN
+        fine = np.isfinite(v).all(1) & (v != 0).any(1)
+        if fine.any():
+            yield ids.take(pa.array(place[fine])).to_numpy(zero_copy_only=False), v[fine]
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,14 +86,13 @@ def tile(q_ids, q, ids, v, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pack(size: int, spread: int | None):
-    """Blocks of at most `size` rows: block number, ids and vectors as bytes."""
+    """Blocks of at most `size` rows of one length: ids and vectors as bytes, and the length."""
     schema = pa.schema([("ids", pa.binary()), ("vectors", pa.binary()), ("width", pa.int32())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, size):
-                _, ids, v = usable(batch.slice(at, size))
-                if len(ids):
+                for ids, v in usable(batch.slice(at, size)):
                     yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([v.astype(np.float64).tobytes()], pa.binary()), pa.array([v.shape[1]], pa.int32())], schema=schema)
 
     return run, "ids binary, vectors binary, width int"
@@ -120,8 +121,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         for batch in batches:
             q = batch.column("q").to_numpy()
             for g in np.unique(q):
-                _, ids, v = usable(batch.filter(pa.array(q == g)))
-                if len(ids):
+                for ids, v in usable(batch.filter(pa.array(q == g))):
                     yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([v.shape[1]], pa.int32())], schema=query_schema)
 
     queries = gathered.mapInArrow(pack_queries, "q int, " + ddl).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
