@@ -304,6 +304,22 @@ def test_main_text_with_many_keys(spark, monkeypatch):
     assert rows(site_tree.extract(df)) == want
 
 
+def test_main_text_keeps_branches_that_differ_whatever_their_names(spark):
+    names = """<div class="content-with-sidebar"><article class="post has-share"><h2 id="related-work">Related work %d</h2><section id="form-of-government"><p>Form %d</p></section>
+    <div class="notice"><p>Notice %d</p></div><div class="share"><p>Share this</p></div></article></div><div class="sidebar"><article><p>Teaser %d</p></article></div>"""
+    plain = '<div class="text"><p>Body %d</p></div><div class="social-history"><p>History %d</p></div><div class="social"><p>Follow us</p></div><div id="cookie-notice"><p>We use cookies</p></div>'
+    pages = [(i, f"http://h.example.com/{i}", PAGE % (names % (i, i, i, i), i)) for i in range(12)]
+    pages += [(100 + i, f"http://g.example.com/{i}", PAGE % (plain % (i, i), i)) for i in range(12)]
+    pages += [(200, "http://one.example.com/", names % (1, 1, 1, 1)), (201, "http://two.example.com/", '<div class="widget-page"><article><p>Only one</p><div class="share">Share</div></article></div>')]
+    pages += [(300 + i, "http://rare.example.com/", PAGE % ('<div class="text"><p>Body %d</p>%s</div>' % (i, '<div class="related-work">Once</div>' if i == 5 else ""), i)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == f"Related work {i}\nForm {i}\nNotice {i}"
+        assert got[100 + i] == f"Body {i}\nHistory {i}"
+        assert got[300 + i] == f"Body {i}" + "\nOnce" * (i == 5)
+    assert got[200] == "Related work 1\nForm 1" and got[201] == "Only one"
+
+
 def test_classifier(spark):
     rng = random.Random(1)
     texts, sources, labels = [], [], []
