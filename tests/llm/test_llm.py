@@ -304,6 +304,18 @@ def test_main_text_with_many_keys(spark, monkeypatch):
     assert rows(site_tree.extract(df)) == want
 
 
+def test_main_text_of_bad_urls_with_many_keys(spark, monkeypatch):
+    """URLs that do not parse, null and repeated pages have the same text whatever the number of keys, and hosts are read the same way."""
+    plain = "<div class='content'><p>Body %d of the page</p></div>"
+    urls = ["http://G.example.com/a b|c", "http://g.example.com/[", "http://u:p@g.example.com:80/", "http://[::1", "::bad::[", "http://a b/", "//g.example.com/x", None]
+    pages = [(i, urls[i % 8], PAGE % (plain % i, i)) for i in range(48)] + [(3, urls[0], None), (4, urls[0], ""), (5, urls[5], PAGE % (plain % 5, 5)), (5, urls[5], PAGE % (plain % 5, 5)), (None, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = rows(site_tree.extract(df))
+    assert len(want) == len(pages) and any(r[2] == "Body 0 of the page" for r in want)
+    monkeypatch.setattr(site_tree, "MOST_SENT", 0)
+    assert rows(site_tree.extract(df)) == want
+
+
 def test_main_text_keeps_branches_that_differ_whatever_their_names(spark):
     names = """<div class="content-with-sidebar"><article class="post has-share"><h2 id="related-work">Related work %d</h2><section id="form-of-government"><p>Form %d</p></section>
     <div class="notice"><p>Notice %d</p></div><div class="share"><p>Share this</p></div></article></div><div class="sidebar"><article><p>Teaser %d</p></article></div>"""
