@@ -316,6 +316,19 @@ def test_main_text_of_bad_urls_with_many_keys(spark, monkeypatch):
     assert rows(site_tree.extract(df)) == want
 
 
+def test_main_text_at_any_depth():
+    deep = "<article><p>One</p>" + "<div>" * 300 + "<p>Deep</p><nav>Menu</nav>" + "</div>" * 300 + "<p>After</p></article><div>Outside</div>"
+    assert site_tree.main_text(deep, "", frozenset()) == "One\nDeep\nAfter"
+    fonts = "<main><div>" + "<font>" * 50_000 + "<div>x<b>" * 500 + "</i>" * 50_000 + "</div>" * 500 + "</div><p>Last</p></main><p>Outside</p>"
+    assert site_tree.main_text(fonts, "", frozenset()) == "\n".join(["x"] * 500 + ["Last"])
+    icons = '<article><p>One <svg class="i"/>two <math/>three</p><p>Let <math><mi>a</mi><mspace/><mo>=</mo><mn>1</mn><annotation>a=1</annotation></math> be</p><svg><text>icon</text></svg><p>Last</p></article>'
+    assert site_tree.main_text(icons, "", frozenset()) == "One two three\nLet a=1 be\nLast"
+    paths = {x[0] for x in site_tree.page_nodes('<div class="a b c d e">1</div><div class="a b c d f">2</div>')}
+    assert len(paths) == 3
+    one, two = (site_tree.page_nodes(f"<div><p>a</p></div><div><p>{x}</p><p>c</p></div>") for x in "bd")
+    assert [x[0] for x in one] == [x[0] for x in two] and all(x[2] != y[2] for x, y in zip(one[1:], two[1:], strict=True))
+
+
 def test_main_text_keeps_branches_that_differ_whatever_their_names(spark):
     names = """<div class="content-with-sidebar"><article class="post has-share"><h2 id="related-work">Related work %d</h2><section id="form-of-government"><p>Form %d</p></section>
     <div class="notice"><p>Notice %d</p></div><div class="share"><p>Share this</p></div></article></div><div class="sidebar"><article><p>Teaser %d</p></article></div>"""
