@@ -149,19 +149,27 @@ def word_marginals(model: Model, column: pa.Array) -> tuple[Words, np.ndarray]:
 
 
 def predict(model: Model, column: pa.Array) -> list[tuple[str, float]]:
+    """The language of each text and its share of the letters."""
+    return [x[:2] for x in judged(model, column)]
+
+
+def judged(model: Model, column: pa.Array) -> list[tuple[str, float, float]]:
+    """The language of each text, its share of the letters, and the evidence for any language: the mean over the letters of the likeliest language of their word, whichever it is."""
     w, p = word_marginals(model, column)
     letters = np.concatenate([[0], np.cumsum(IS_LETTER[w.data])])
     weight = (letters[w.ends] - letters[w.starts]).astype(np.float64)
     share = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p * weight[:, None], axis=0, dtype=np.float64)])
     total = np.concatenate([[0.0], np.cumsum(weight)])
+    sure = np.concatenate([[0.0], np.cumsum(p.max(1) * weight, dtype=np.float64)]) if p.shape[1] else total * 0
     out = []
     for text, a, b in zip(column.to_pylist(), w.first[:-1], w.first[1:], strict=True):
         if not model.languages or not text or not LETTER.search(text):
-            out.append(("und", 0.0))
+            out.append(("und", 0.0, 0.0))
             continue
         x = share[b] - share[a]
         best = int(np.argmax(x))
-        out.append((model.languages[best], min(1.0, max(0.0, float(x[best] / max(total[b] - total[a], 1.0))))))
+        letters_here = max(total[b] - total[a], 1.0)
+        out.append((model.languages[best], *(min(1.0, max(0.0, float(y / letters_here))) for y in (x[best], sure[b] - sure[a]))))
     return out
 
 

@@ -14,22 +14,22 @@ from cairn.llm.queries import held_out, table, vocabulary
 from cairn.llm.shared import carried, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text that is mostly in no language: under this share of its letters for the best one.
+#: A text that is mostly in no language: under this evidence, over its letters, for the likeliest language of each word.
 LEAST_LANGUAGE = 0.4
 PII_SCORE = 0.5
 FRACTION = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or whose best language has under LEAST_LANGUAGE of their letters, go; lang becomes the predicted language."""
+    """Documents without letters, or with evidence under LEAST_LANGUAGE for any language, go; those that switch between languages stay. lang becomes the language of most letters."""
     model = langid.train(langid.training_samples(docs.filter(~held_out())))
 
     def run(text):
-        found = langid.predict(model, text)
-        return [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+        found = langid.judged(model, text)
+        return [pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, _, x in found], pa.float64())]
 
-    out = carried(docs.select(*COLUMNS), run, {"lang_pred": "string", "lang_score": "double"})
-    kept = out.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE))
+    out = carried(docs.select(*COLUMNS), run, {"lang_pred": "string", "lang_evidence": "double"})
+    kept = out.filter((F.col("lang_pred") != "und") & (F.col("lang_evidence") >= LEAST_LANGUAGE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
@@ -51,9 +51,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to the target shares of sources, languages and topics; FRACTION of the tokens are expected to stay."""
-    drawn = mixing.mix(docs, fraction=FRACTION).filter("sampled").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(drawn.filter("doc_id IS NOT NULL"), "doc_id", "left_semi").select(*COLUMNS)
+    """Documents are sampled to the target shares of sources, languages and topics, those without doc_id too; FRACTION of the tokens are expected to stay."""
+    drawn = mixing.mix(docs, fraction=FRACTION, carry=COLUMNS).filter("sampled")
+    return drawn.select(*(F.col(mixing.CARRIED + c).alias(c) for c in COLUMNS))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -414,6 +414,28 @@ def test_pipeline_stages_against_brute_force(spark, sf):
         stage(spark, nulls, sf).collect()
 
 
+def test_pipeline_keeps_switching_texts_and_null_ids(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("text IS NOT NULL")
+    by = {}
+    for r in docs.orderBy("doc_id").collect():
+        by.setdefault(r["lang"], []).extend(r["text"].split()[:60])
+    words = [w for w in list(by.values()) if len(w) > 300]
+    assert len(words) >= 3
+    switching = " ".join(" ".join(w[i * 25 : i * 25 + 25]) for i in range(12) for w in words)
+    added = spark.createDataFrame([(10**9, switching, None, "s", len(switching)), (10**9 + 1, "12 34", None, "s", 5)], DOC)
+    kept = {r["doc_id"]: r for r in p.language_id(spark, docs.select(*p.COLUMNS).unionByName(added), sf).filter(F.col("doc_id") >= 10**9).collect()}
+    assert list(kept) == [10**9] and kept[10**9]["text"] == switching
+    nameless = docs.select(*p.COLUMNS).withColumn("doc_id", F.lit(None).cast("long"))
+    drawn = p.mixing_weights(spark, nameless, sf)
+    share = drawn.count() / nameless.count()
+    assert drawn.columns == list(p.COLUMNS) and 0.2 < share < 0.9 and drawn.exceptAll(nameless).count() == 0
+    named = p.mixing_weights(spark, docs, sf)
+    sampled = mixing.mix(docs, p.FRACTION).filter("sampled").select("doc_id")
+    assert rows(named.select("doc_id")) == rows(sampled) and named.exceptAll(docs.select(*p.COLUMNS)).count() == 0
+
+
 def test_digest_columns(spark, sf):
     r = QUERIES["op3_personal_data"](spark, sf).filter("n_email > 0").first()
     base = [x for x in r["spans"].split(",") if not x.startswith("iban")]
