@@ -63,7 +63,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def _ips(text: str) -> Iterator[tuple[int, int]]:
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.groups()):
+        if all(len(x) <= 3 and int(x or 0) <= 255 for x in (x.lstrip("0") for x in m.groups())):
             yield m.span()
 
 

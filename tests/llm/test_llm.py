@@ -133,6 +133,12 @@ def test_pii_iban_context_redaction_and_long_texts(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_pii_addresses_with_many_zeros():
+    zeros = "0" * 5000
+    assert [x[:3] for x in pii.find(f"{zeros}.1.2.3") if x[0] == "ip"] == [("ip", 0, 5006)]
+    assert [x[0] for x in pii.find(f"1.2.{zeros}255.3 and 1.2.{zeros}256.3")] == ["ip"]
+
+
 def test_quality_counts_equal_brute_force(spark):
     texts = noisy_texts(60, 9) + ["a b c a b c a\na b c\n\na b c\n a b c\n", "# $ %\n# $ %", "É é #*"]
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(documents(spark, texts), spark.createDataFrame([], "doc_id long, quality int")).collect()}
