@@ -5,19 +5,23 @@
 3. Inverted lists of the retained values: two sets whose similarity reaches the threshold share well over a third of their retained values, so each set enters only the lists of its rarest ones, two thirds and one more (the prefix filter; no list is cut).
    What is common to many unlike texts, such as a license passage, thereby leaves the lists.
 4. First pass: each set meets the list member that shares the most with others (its pivot); the exact Jaccard similarity of the full sets confirms the link. Components follow.
-5. Second pass: in every list with more than one component, all pairs of different components are compared by union sketches of `WIDE` values, block by block inside the tasks; only pairs that can reach the threshold leave a task, each from one list. Exact Jaccard confirms them, and components follow.
+5. Second pass, over the groups of sets that met one pivot and are not all connected: every pair of sets that share a list is in such a group. In groups of up to `BLOCK` sets all pairs
+   of different components are compared by union sketches of `WIDE` values inside the tasks; only pairs that can reach the threshold leave a task. Exact Jaccard confirms them.
+6. Larger groups are thinned first, by exact bounds from counts that are combined before each shuffle (`able`): what a set has for itself alone in its group, and how far it is from the pivot,
+   says how near any other member can come. What is left is compared in blocks; blocks of one component do not meet.
 
-Pairs that are already connected are never compared again, so a large group of copies costs one comparison each.
+Pairs that are already connected are never compared again, so a large group of copies costs one comparison each, and so does a large group of near copies of one text, linked with it or not.
 A linked pair is missed only when its sketches deviate by more than 4.5 standard deviations from its similarity.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -25,6 +29,8 @@ from .shared import new_path, slices, written
 from .words import Words, mix
 
 LOW, WIDE, NARROW, BLOCK = 24, 256, 128, 512
+#: Pairs of one set for each of which a copy of the set is made, so that a set with many partners is no single task's.
+PARTNERS = 256
 #: Bits of the table that spares most texts the way to the sets, per document that needs one, and at most: 16 MB, beyond which it spares fewer.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 DEVIATIONS = 4.5
@@ -119,8 +125,8 @@ def _close(a, b, n_a: int, n_b: int, share: float) -> bool:
     return estimate >= share - (DEVIATIONS * (share * (1 - share) / size) ** 0.5 if size else 0.02)
 
 
-def _crossing(rows: dict, value: int, same: bool, share: float) -> Iterator[tuple[int, int]]:
-    """Pairs of one list, or of two blocks of a large one, that may reach the threshold and are in different components."""
+def _crossing(rows: dict, pivot: int, same: bool, share: float) -> Iterator[tuple[int, int]]:
+    """Pairs of one group, or of two blocks of a large one, that may reach the threshold and are in different components; of the groups that both are in, the first has them."""
     ids, part, n, block = rows["id"], rows["component"], rows["n"], rows["block"]
     m = len(ids)
     if m < 2 or len(set(part.tolist())) < 2:
@@ -151,8 +157,8 @@ def _crossing(rows: dict, value: int, same: bool, share: float) -> Iterator[tupl
             least = np.where(whole[others] & whole[i], (held[others] + held[i]) * (share / (1 + share)) - 1, np.minimum(held[others], held[i]) * 0.6)
             others = others[shared[i][others] >= least]
         for j in others:
-            a, b = rows["prefix"][i], set(rows["prefix"][j])
-            if next(x for x in a if x in b) == value and _close(wide[i], wide[j], n[i], n[j], share):
+            a, b = rows["pivots"][i], set(rows["pivots"][j])
+            if next(x for x in a if x in b) == pivot and _close(wide[i], wide[j], n[i], n[j], share):
                 yield (int(ids[i]), int(ids[j])) if ids[i] < ids[j] else (int(ids[j]), int(ids[i]))
 
 
@@ -160,13 +166,13 @@ def _second_pass(share: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def groups(batches):
-        """Rows of one (value, i, j) after another; rows arrive sorted by these. A group has at most 2 blocks."""
+        """Rows of one (pivot, i, j) after another; rows arrive sorted by these. A group has at most 2 blocks."""
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if held is not None:
                 table = pa.concat_tables([held, table])
-            key = np.stack([table.column(c).to_numpy() for c in ("value", "i", "j")])
+            key = np.stack([table.column(c).to_numpy() for c in ("pivot", "i", "j")])
             cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
             edges = [0, *cut.tolist()]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -174,13 +180,13 @@ def _second_pass(share: float):
                     yield key[:, a], table.slice(a, b - a)
             held = table.slice(edges[-1]).combine_chunks()
         if held is not None and held.num_rows > 1:
-            yield np.array([held.column(c)[0].as_py() for c in ("value", "i", "j")]), held
+            yield np.array([held.column(c)[0].as_py() for c in ("pivot", "i", "j")]), held
 
     def run(batches):
         found: list[tuple[int, int]] = []
-        for (value, i, j), t in groups(batches):
-            rows = {c: t.column(c).to_numpy() for c in ("id", "component", "n", "block")} | {c: t.column(c).to_pylist() for c in ("wide", "prefix")}
-            found += _crossing(rows, int(value), i == j, share)
+        for (pivot, i, j), t in groups(batches):
+            rows = {c: t.column(c).to_numpy() for c in ("id", "component", "n", "block")} | {c: t.column(c).to_pylist() for c in ("wide", "pivots")}
+            found += _crossing(rows, int(pivot), i == j, share)
             if len(found) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
                 found = []
@@ -189,12 +195,90 @@ def _second_pass(share: float):
     return run, "a long, b long"
 
 
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b) with both, n_a and n_b: the sizes of the common and the full sets. Of a set that is the a of many pairs there is a copy for every PARTNERS of them."""
+    hot = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("copies")).filter("copies > 1"), "hot")
+    left = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("copies")), F.lit(0)).cast("int").alias("copy"))
+    left = left.join(sets.select(F.col("id").alias("b"), F.col("all").alias("all_b")), "b")
+    right = sets.select(F.col("id").alias("a"), F.col("all").alias("all_a")).join(pairs.select("a").distinct(), "a", "left_semi").join(hot, "a", "left")
+    right = right.select("a", "all_a", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    return left.join(right, ["a", "copy"]).select("a", "b", F.size(F.array_intersect("all_a", "all_b")).alias("both"), F.size("all_a").alias("n_a"), F.size("all_b").alias("n_b"))
+
+
+def _linked(percent: int) -> Column:
+    return 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as edges."""
-    left = sets.select(F.col("id").alias("b"), F.col("all").alias("all_b"))
-    right = sets.select(F.col("id").alias("a"), F.col("all").alias("all_a"))
-    met = pairs.join(left, "b").join(right, "a").select("a", "b", F.size(F.array_intersect("all_a", "all_b")).alias("both"), (F.size("all_a") + F.size("all_b")).alias("sizes"))
-    return met.filter(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return _met(pairs, sets).filter(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def able(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """members(a, b, component, own, main) of large groups, a being the group's pivot, own its component and main the group's largest, to those that may have a link which no component holds yet, and the links with the pivots.
+
+    Two sets X and Y are linked if their symmetric difference has at most r * (|X| + |Y|) elements, r = (1 - s) / (1 + s) at similarity s. Let d(X) be the size of X's difference from the
+    pivot and u(X) the number of elements that X alone has in the group. X and Y differ in d(X) + d(Y) - 2c elements, c being common to both differences, and c is at most d(X) - u(X) and
+    d(Y) - u(Y). So linked sets have overlapping ranges from d - r|X| to d - 2u + r|X|: low(X) <= high(Y) and low(Y) <= high(X). Members go whose range meets that of no member of a like size
+    outside their component (or, for those outside main, of any member), by the extremes of each class of sizes. With independent changes high is about r|X| for all, which only sets linked with the pivot reach.
+    """
+    share = percent / 100
+    r = (1 - share) / (1 + share)
+    elements = members.select("a", "b").join(sets.select(F.col("id").alias("b"), "all"), "b").select("a", "b", F.explode("all").alias("e"))
+    alone = elements.groupBy("a", "e").agg(F.count("*").alias("c"), F.min("b").alias("b")).filter("c = 1").groupBy("a", "b").agg(F.count("*").alias("u"))
+    met = written(_met(members.select("a", "b"), sets), "met")
+    d, n = F.col("n_a") + F.col("n_b") - 2 * F.col("both"), F.col("n_b")
+    component = F.when(_linked(percent), F.col("own")).otherwise(F.col("component"))
+    u = F.when(F.col("a") == F.col("b"), 0).otherwise(F.coalesce("u", F.lit(0)))  # what the pivot has alone is in all other differences
+    found = members.join(met, ["a", "b"]).join(alone, ["a", "b"], "left").select(
+        "a", "b", n.alias("n"), component.alias("component"), (component == F.col("main")).alias("inside"),
+        F.floor(F.log(n) / math.log(1 / share)).alias("class"), (d - r * n).alias("low"), (d - 2 * u + r * n).alias("high"),
+    )
+    found = written(found, "ranges")
+    each = found.groupBy("a", "class", "inside").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    each = each.withColumn("class", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))))
+    outer = lambda c: F.when(~F.col("inside"), F.col(c))
+    ends = written(each.groupBy("a", "class").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.min(outer("low")).alias("least_outside"), F.max(outer("high")).alias("most_outside")), "ends")
+    least, most = (F.when(F.col("inside"), F.col(f"{c}_outside")).otherwise(F.col(c)) for c in ("least", "most"))
+    kept = found.join(ends, ["a", "class"]).filter((F.col("low") <= most + 1e-6) & (F.col("high") >= least - 1e-6))
+    return written(kept.select("a", "b", "n", "component", "inside"), "able"), met.filter(_linked(percent) & (F.col("a") != F.col("b"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """members(a, b, n, component, inside) to a row for each pair of blocks (i, j) in which a member is compared: blocks of the largest component meet all others but not one another."""
+    count = members.groupBy("a").agg(*(F.ceil(F.count(F.when(F.col("inside") == x, 1)) / BLOCK).cast("int").alias(c) for c, x in (("ins", True), ("outs", False)))).filter("outs > 0")
+    first = lambda x: F.when(x, F.col("ins")).otherwise(0)
+    block = F.pmod(F.xxhash64("b"), F.when(F.col("inside"), F.col("ins")).otherwise(F.col("outs"))).cast("int") + first(~F.col("inside"))
+    other = F.explode(F.sequence(first(F.col("inside")), F.col("ins") + F.col("outs") - 1))
+    placed = members.join(written(count, "counts"), "a").withColumn("block", block).withColumn("other", other)
+    return placed.select("a", "b", "n", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def _components(entries: DataFrame, met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of all sets with links, by the two passes."""
+    share = percent / 100
+    best = met.filter("a <> b").groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+    edges = written(_confirmed(best, sets, percent), "links")
+    part = connected_components(edges)
+
+    place = F.coalesce("component", "id")
+    labels = entries.select("id", "n").join(part, "id", "left").select(F.col("id").alias("b"), "n", place.alias("component"))
+    members = met.select("a", "b").join(labels, "b")
+    parts = members.groupBy("a", "component").agg(F.count("*").alias("c"), F.max(F.col("a") == F.col("b")).alias("own"))
+    mixed = parts.groupBy("a").agg(F.sum("c").alias("m"), F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("most"), F.max(F.when(F.col("own"), F.col("component"))).alias("own")).filter("parts > 1")
+    mixed = written(mixed.select("a", "m", "own", F.col("most.component").alias("main")), "mixed")
+    members = written(members.join(mixed, "a"), "members")
+    placed = members.filter(F.col("m") <= BLOCK).select("a", "b", "n", "component", *(F.lit(0).alias(c) for c in ("block", "i", "j")))
+    if (mixed.agg(F.max("m")).first()[0] or 0) > BLOCK:
+        large, links = able(members.filter(F.col("m") > BLOCK), sets, percent)
+        edges, placed = edges.unionByName(links), placed.unionByName(_in_blocks(large))
+    payload = met.groupBy("b").agg(F.sort_array(F.collect_list("a")).alias("pivots")).join(sets.select(F.col("id").alias("b"), "wide"), "b")
+    spread = placed.join(payload, "b").select(F.col("a").alias("pivot"), "i", "j", "block", F.col("b").alias("id"), "component", "n", "wide", "pivots")
+    run, ddl = _second_pass(share)
+    spread = spread.repartition(F.col("pivot"), F.col("i"), F.col("j")).sortWithinPartitions("pivot", "i", "j")
+    more = written(spread.mapInArrow(run, ddl), "pairs")
+    edges = edges.unionByName(_confirmed(more, sets, percent))
+    return connected_components(edges)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -203,9 +287,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: b
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of distinct shingles of `words` words (A-Z lower-cased if `lower`);
     component_id is the smallest doc_id that links reach, kept says that it is the document's own.
     A null, empty or blank text has no shingles and no links. Rows with a null doc_id are returned with component_id null and kept true.
-    Repeated rows of one doc_id are one document and come back as often as given. Other columns are not read. An empty table gives no rows.
+    Repeated rows of one doc_id are one document and come back as often as given; if their texts differ, links are confirmed on the smallest text of a doc_id.
+    Other columns are not read. An empty table gives no rows.
     """
-    share, spark = percent / 100, docs.sparkSession
+    spark = docs.sparkSession
     run, ddl = _sketches(words, lower)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = written(own.mapInArrow(run, ddl), "sketches")
@@ -224,36 +309,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: b
 
     rows = entries.select("id", "weight", F.explode("prefix").alias("value"))
     pivots = rows.groupBy("value").agg(F.count("*").alias("members"), F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("p")).filter("members > 1").select("value", (-F.col("p.id")).alias("a"))
-    met = rows.join(pivots, "value").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+    met = rows.join(written(pivots, "pivots"), "value").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
     met = written(met, "met")
     involved = written(met.select(F.col("b").alias("doc_id")).distinct(), "involved")
     run, ddl = _full_sets(words, lower)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = own.mapInArrow(_needed(_marked(involved)), "doc_id long, text string").repartition(buckets, "doc_id")
-    texts = texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = texts.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets, table_name = _bucketed(texts.mapInArrow(run, ddl), buckets)
+    try:
+        part = _components(entries, met, sets, percent)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table_name}")  # its rows are not needed any more
 
-    best = met.filter("a <> b").groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-    edges = written(_confirmed(best, sets, percent), "links")
-    part = connected_components(edges)
-
-    place = F.coalesce("component", "id")
-    labelled = written(entries.join(part, "id", "left").join(involved.withColumnRenamed("doc_id", "id"), "id", "left_semi").select("id", "n", "prefix", place.alias("component")), "labelled")
-    rows = labelled.select("id", "component", F.explode("prefix").alias("value"))
-    mixed = rows.groupBy("value").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = rows.select("id", "value").join(mixed, "value").withColumn("block", block).withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select("id", "value", "block", "i", "j")
-    payload = labelled.join(sets.select("id", "wide"), "id")
-    spread = placed.join(payload, "id").select("value", "i", "j", "block", "id", "component", F.col("n"), "wide", "prefix")
-    run, ddl = _second_pass(share)
-    spread = spread.repartition(F.col("value"), F.col("i"), F.col("j")).sortWithinPartitions("value", "i", "j")
-    more = written(spread.mapInArrow(run, ddl), "pairs")
-    edges = edges.unionByName(_confirmed(more, sets, percent))
-    part = connected_components(edges)
-    spark.sql(f"DROP TABLE {table_name}")  # its rows are not needed any more
-
-    named = classes.join(part, "id", "left").select(*sig, place.alias("component_id"))
+    named = classes.join(part, "id", "left").select(*sig, F.coalesce("component", "id").alias("component_id"))
     full = usable.drop("low").join(named, sig).select("doc_id", "n_shingles", "component_id")
     rest = sketches.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
