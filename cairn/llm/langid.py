@@ -3,6 +3,9 @@
 A word's features are its affixes and inner n-grams (byte n-grams of the lower-cased word between two end marks, hashed) and its entry in a lexicon of the training words.
 Transitions between the languages of neighbouring words are learned with them, on sequences that switch between languages. Forward-backward gives every word's
 label distribution, also in code-switched text; a document's language is the one with the largest share of its letters.
+
+Memory follows neither a text's length times the number of languages nor the training sample's: features are taken of a part of the words at a time, training goes in small steps, and with many
+languages a text goes through forward-backward block by block, from the vectors at the blocks' borders.
 """
 
 from __future__ import annotations
@@ -20,15 +23,16 @@ from .shared import slices
 from .words import Words, mix, text_bytes
 
 ORDERS, DIMENSION, CHUNK = (1, 2, 3, 4, 5), 1 << 16, 32
+#: Up to so many languages chunks run side by side; beyond it, whole texts do, in blocks of about so many numbers, and features have FEWER places.
+SIDE_BY_SIDE, BLOCK, FEWER = 16, 1 << 20, 1 << 14
 FIRST, LAST = 2, 3  # marks of a word's ends
 LETTER = re.compile(r"[^\W\d_]")
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = True  # a lead byte stands for its character
-MAX_LANGUAGES = 64
 
 
-def ngram_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of words given by byte positions: all of them word by word, and where each word's begin."""
+def ngram_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, dimension: int = DIMENSION) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words given by byte positions: all of them word by word, and where each word's begin. dimension: a power of two."""
     length = ends - starts + 2
     begin = np.cumsum(length) - length
     total = int(length.sum())
@@ -40,15 +44,15 @@ def ngram_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     h = np.zeros(total, np.uint64)
     for k, n in enumerate(ORDERS):
         h[: total - n + 1] = mix(h[: total - n + 1] * np.uint64(31) + text[n - 1 :] + np.uint64(n))
-        out[:, k] = (h & np.uint64(DIMENSION - 1)).astype(np.int32)
-        out[left < n, k] = DIMENSION  # a row of zeros
+        out[:, k] = (h & np.uint64(dimension - 1)).astype(np.int32)
+        out[left < n, k] = dimension  # a row of zeros
     return out.reshape(-1), begin * len(ORDERS)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # (DIMENSION + 1, languages), the last row zero
+    weights: np.ndarray  # (features + 1, languages), the last row zero
     lexicon: np.ndarray  # sorted word hashes
     odds: np.ndarray  # (words, languages) clipped log odds of the lexicon's words
     mixing: np.ndarray  # (languages, languages) from odds to scores
@@ -56,9 +60,10 @@ class Model:
 
     def scores(self, data, starts, ends, hashes) -> np.ndarray:
         s = np.zeros((len(starts), len(self.languages)), np.float32)
-        for at in range(0, len(starts), 8192):  # a part of the words at a time: their features take a hundred times a word's place
-            part = slice(at, at + 8192)
-            flat, begin = ngram_features(data, starts[part], ends[part])
+        many = max(64, min(8192, (1 << 16) // max(1, len(self.languages))))
+        for at in range(0, len(starts), many):  # a part of the words at a time: their features take a hundred times a word's place
+            part = slice(at, at + many)
+            flat, begin = ngram_features(data, starts[part], ends[part], len(self.weights) - 1)
             s[part] = np.add.reduceat(self.weights[flat], begin, axis=0)
         return s + self.lexicon_odds(hashes) @ self.mixing
 
@@ -133,19 +138,41 @@ def marginals(e: np.ndarray, first: np.ndarray, steps: np.ndarray) -> np.ndarray
     return p[live]
 
 
-def word_marginals(model: Model, column: pa.Array) -> tuple[Words, np.ndarray]:
+def marginals_in_blocks(e: np.ndarray, which: np.ndarray, first: np.ndarray, steps: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """What `marginals` gives of e[which], as (first word, distributions of the words from it on), text by text and block by block from each text's end: only the vectors at borders are kept."""
+    k = e.shape[1]
+    size = max(16, BLOCK // k)
+    even = np.full((1, k), 1 / k, e.dtype)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        borders, vectors = list(range(a, b, size)), [even]
+        live = np.ones((1, size), bool)
+        for at in borders[:-1]:
+            vectors.append(forward(e[which[at : at + size]][None], live, steps, vectors[-1])[:, -1])
+        after = even
+        for at, before in zip(reversed(borders), reversed(vectors), strict=False):
+            x = e[which[at : min(b, at + size)]][None]
+            back = backward(x, live[:, : x.shape[1]], steps, after)
+            p = forward(x, live[:, : x.shape[1]], steps, before) * back
+            yield at, (p / p.sum(-1, keepdims=True))[0]
+            after = (back[:, 0] * x[:, 0]) @ steps.T
+            after = after / after.sum(-1, keepdims=True)
+
+
+def word_marginals(model: Model, column: pa.Array) -> tuple[Words, Iterator[tuple[int, np.ndarray]]]:
+    """The words of all texts, and (first word, label distributions of the words from it on) until each word has had its own."""
     w = Words(column, lower=True)
     if not model.languages:
-        return w, np.zeros((len(w.starts), 0), np.float32)
+        return w, iter([(0, np.zeros((len(w.starts), 0), np.float32))])
     distinct, where, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
     s = model.scores(w.data, w.starts[where], w.ends[where], distinct)
     e = np.exp(s - s.max(-1, keepdims=True)).astype(np.float32) if len(s) else s.astype(np.float32)
     e = np.maximum(e, 1e-6)
     letters = np.concatenate([[0], np.cumsum(IS_LETTER[w.data])])
-    silent = (letters[w.ends] - letters[w.starts]) == 0
-    e = e[inverse]
-    e[silent] = 1  # no letters, no evidence
-    return w, marginals(e, w.first, np.exp(model.steps).astype(np.float32))
+    e[(letters[w.ends[where]] - letters[w.starts[where]]) == 0] = 1  # no letters, no evidence
+    steps = np.exp(model.steps).astype(np.float32)
+    if len(model.languages) > SIDE_BY_SIDE:
+        return w, marginals_in_blocks(e, inverse, w.first, steps)
+    return w, iter([(0, marginals(e[inverse], w.first, steps))])
 
 
 def predict(model: Model, column: pa.Array) -> list[tuple[str, float]]:
@@ -155,96 +182,119 @@ def predict(model: Model, column: pa.Array) -> list[tuple[str, float]]:
 
 def judged(model: Model, column: pa.Array) -> list[tuple[str, float, float]]:
     """The language of each text, its share of the letters, and the evidence for any language: the mean over the letters of the likeliest language of their word, whichever it is."""
-    w, p = word_marginals(model, column)
+    w, parts = word_marginals(model, column)
     letters = np.concatenate([[0], np.cumsum(IS_LETTER[w.data])])
     weight = (letters[w.ends] - letters[w.starts]).astype(np.float64)
-    share = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p * weight[:, None], axis=0, dtype=np.float64)])
-    total = np.concatenate([[0.0], np.cumsum(weight)])
-    sure = np.concatenate([[0.0], np.cumsum(p.max(1) * weight, dtype=np.float64)]) if p.shape[1] else total * 0
+    text = np.repeat(np.arange(len(w.counts)), w.counts)
+    share, sure = np.zeros((len(w.counts), len(model.languages))), np.zeros(len(w.counts))
+    for at, p in parts:
+        if p.size:
+            here, by = text[at : at + len(p)], weight[at : at + len(p)]
+            begin = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
+            share[here[begin]] += np.add.reduceat(p * by[:, None], begin)
+            sure[here[begin]] += np.add.reduceat(p.max(1) * by, begin)
+    total = np.bincount(text, weight, len(w.counts))
     out = []
-    for text, a, b in zip(column.to_pylist(), w.first[:-1], w.first[1:], strict=True):
-        if not model.languages or not text or not LETTER.search(text):
+    for i, t in enumerate(column.to_pylist()):
+        if not model.languages or not t or not LETTER.search(t):
             out.append(("und", 0.0, 0.0))
             continue
-        x = share[b] - share[a]
-        best = int(np.argmax(x))
-        letters_here = max(total[b] - total[a], 1.0)
-        out.append((model.languages[best], *(min(1.0, max(0.0, float(y / letters_here))) for y in (x[best], sure[b] - sure[a]))))
+        best = int(np.argmax(share[i]))
+        out.append((model.languages[best], *(min(1.0, max(0.0, float(y / max(total[i], 1.0)))) for y in (share[i, best], sure[i]))))
     return out
 
 
-def train(samples: list[tuple[str, str]], rounds: int = 60, length: int = 48, seed: int = 7) -> Model:
-    """A model of (language, passage) samples; sequences are made of runs of 4 to 24 words of one language after another."""
+def train(samples: list[tuple[str, str]], rounds: int = 240, length: int = 48, batch: int = 96, seed: int = 7) -> Model:
+    """A model of (language, passage) samples; sequences are made of runs of 4 to 24 words of one language after another, and each of `rounds` steps takes a batch of them."""
     rng = np.random.default_rng(seed)
     samples = sorted((lang, text) for lang, text in samples if LETTER.search(text))
     languages = sorted({lang for lang, _ in samples})
     k = len(languages)
+    size = DIMENSION if k <= SIDE_BY_SIDE else FEWER
     zero = np.zeros((0,), np.uint64)
-    model = Model(languages, np.zeros((DIMENSION + 1, k), np.float32), zero, np.zeros((0, k), np.float32), np.eye(k, dtype=np.float32) * 0.5, np.zeros((k, k), np.float32))
+    model = Model(languages, np.zeros((size + 1, k), np.float32), zero, np.zeros((0, k), np.float32), np.eye(k, dtype=np.float32) * 0.5, np.zeros((k, k), np.float32))
     if not samples:
         return model
-    w = Words(pa.array([t for _, t in samples]), lower=True)
-    hashes = w.hashes()
-    label = np.repeat([languages.index(x) for x, _ in samples], w.counts)
+    number = {x: i for i, x in enumerate(languages)}
+    data, starts, ends, hashes, first, at = [], [], [], [], [0], 0
+    for a in range(0, len(samples), 128):  # a few passages at a time, to keep the driver's memory low
+        w = Words(pa.array([t for _, t in samples[a : a + 128]]), lower=True)
+        hashes.append(w.hashes())
+        data.append(w.data)
+        starts.append(w.starts + at)
+        ends.append(w.ends + at)
+        first += (first[-1] + w.first[1:]).tolist()
+        at += len(w.data)
+    data, starts, ends, hashes = (np.concatenate(x) for x in (data, starts, ends, hashes))
+    label = np.repeat([number[x] for x, _ in samples], np.diff(first))
     distinct, where, inverse, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    flat, begin = ngram_features(w.data, w.starts[where], w.ends[where])
-    sizes = np.diff(np.append(begin, len(flat)))
-    by = np.zeros((len(distinct), k))
-    np.add.at(by, (inverse, label), 1)
-    rate = (by + 0.2) / (by.sum(0) + 0.2)
     known = count >= 3
-    odds = np.log(rate / rate.mean(-1, keepdims=True))
-    model.lexicon, model.odds = distinct[known], np.clip(odds[known], -3, 3).astype(np.float32)
-    lex = np.where(known[:, None], np.clip(odds, -3, 3), 0).astype(np.float32)
+    place = np.cumsum(known) - 1
+    by = np.zeros((int(known.sum()), k), np.float32)
+    seen = known[inverse]
+    np.add.at(by, (place[inverse[seen]], label[seen]), 1)
+    rate = (by + 0.2) / (np.bincount(label, minlength=k) + 0.2)
+    model.lexicon, model.odds = distinct[known], np.clip(np.log(rate / rate.mean(-1, keepdims=True)), -3, 3).astype(np.float32)
 
     runs = []  # (first word, words) of one language
-    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+    for a, b in zip(first[:-1], first[1:], strict=True):
         while a < b:
             n = int(rng.integers(4, 25))
             runs.append((a, min(b, a + n) - a))
             a += n
     word = np.concatenate([np.arange(runs[i][0], runs[i][0] + runs[i][1]) for i in rng.permutation(len(runs))])
     word = np.resize(word, max(1, len(word) // length) * length).reshape(-1, length)
-    seen, truth, live = inverse[word], label[word], np.ones(word.shape, bool)
-    gold = np.zeros((k, k))
-    np.add.at(gold, (truth[:, :-1].ravel(), truth[:, 1:].ravel()), 1)
     params = [model.weights, model.mixing, model.steps]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    order = np.zeros(0, np.int64)
     for step in range(1, rounds + 1):
-        s = np.add.reduceat(model.weights[flat], begin, axis=0) + lex @ model.mixing
-        e = np.maximum(np.exp(s - s.max(-1, keepdims=True)), 1e-6)[seen].astype(np.float64)
-        trans = np.exp(model.steps.astype(np.float64))
-        flatstart = np.full((len(word), k), 1 / k)
-        a, b = forward(e, live, trans, flatstart), backward(e, live, trans, flatstart)
-        p = a * b
+        if len(order) < min(batch, len(word)):
+            order = np.concatenate([order, rng.permutation(len(word))])
+        rows, order = word[order[:batch]], order[batch:]
+        here, spot = np.unique(inverse[rows], return_inverse=True)
+        spot, truth, live = spot.reshape(rows.shape), label[rows], np.ones(rows.shape, bool)
+        flat, begin = ngram_features(data, starts[where[here]], ends[where[here]], size)
+        sizes = np.diff(np.append(begin, len(flat)))
+        parts = np.searchsorted(begin, np.arange(0, len(flat), max(256, (1 << 20) // k)))
+        parts = [*np.unique(parts).tolist(), len(here)]
+        parts = [(a, b, slice(begin[a], begin[b] if b < len(here) else len(flat))) for a, b in zip(parts[:-1], parts[1:], strict=True) if a < b]
+        lex = model.lexicon_odds(distinct[here])
+        s = np.concatenate([np.add.reduceat(model.weights[flat[c]], begin[a:b] - begin[a], axis=0) for a, b, c in parts]) + lex @ model.mixing
+        e = np.maximum(np.exp(s - s.max(-1, keepdims=True)), 1e-6)[spot]
+        trans, even = np.exp(model.steps), np.full((len(rows), k), 1 / k, np.float32)
+        f, g = forward(e, live, trans, even), backward(e, live, trans, even)
+        p = f * g
         p /= p.sum(-1, keepdims=True)
-        x = a[:, :-1, :, None] * trans * (e[:, 1:] * b[:, 1:])[:, :, None, :]
-        x /= x.sum((2, 3), keepdims=True)
-        p[np.arange(len(word))[:, None], np.arange(length), truth] -= 1
-        at = np.zeros((len(distinct), k))
-        np.add.at(at, seen.ravel(), p.reshape(-1, k))
-        at /= word.size
-        spread = np.repeat(at, sizes, axis=0)
-        grads = [np.stack([np.bincount(flat, spread[:, j], DIMENSION + 1) for j in range(k)], 1) + 1e-6 * model.weights, lex.T @ at, (x.sum((0, 1)) - gold) / word.size]
-        grads[0][-1] = 0
-        for p_, g, m, v in zip(params, grads, first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p_ -= (0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        before, after = f[:, :-1].reshape(-1, k), (e[:, 1:] * g[:, 1:]).reshape(-1, k)
+        pairs = trans * ((before / ((before @ trans) * after).sum(-1, keepdims=True)).T @ after)  # expected transitions
+        np.add.at(pairs, (truth[:, :-1].ravel(), truth[:, 1:].ravel()), -1)
+        p[np.arange(len(rows))[:, None], np.arange(length), truth] -= 1
+        at = np.zeros((len(here), k), np.float32)
+        np.add.at(at, spot.ravel(), p.reshape(-1, k))
+        at /= rows.size
+        slope = 1e-6 * model.weights
+        for j in range(k):
+            slope[:, j] += np.bincount(flat, np.repeat(at[:, j], sizes), size + 1)
+        slope[-1] = 0
+        pace = 0.1 * (1 - step / (rounds + 1)) + 0.005
+        for q, grad, (m, v) in zip(params, [slope, lex.T @ at, pairs / rows.size], moments, strict=True):
+            m += 0.1 * (grad - m)
+            v += 0.01 * (grad * grad - v)
+            q -= (pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return model
 
 
-def training_samples(docs: DataFrame, per_language: int = 400, words: int = 120) -> list[tuple[str, str]]:
-    """A bounded sample: about per_language rows of each lang (null left out), chosen by a hash of doc_id, and of each a passage of at most `words` words from a place that the hash chooses."""
+def training_samples(docs: DataFrame, per_language: int = 400, words: int = 120, languages: int = 512, most: int = 6000) -> list[tuple[str, str]]:
+    """A bounded sample: about per_language rows of each lang (null left out), fewer if there are so many languages that it would be over `most` rows, chosen by a hash of doc_id, and of each
+    a passage of at most `words` words, cut to 200 characters each, from a place that the hash chooses. Of more than `languages` labels those with most rows, then the smaller ones, are learned."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return []
+    per_language = max(1, min(per_language, most // len(counts)))
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 1.2 * per_language / n) * (1 << 30)))))
     hashed = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "lang"), F.lit(1 << 30))
-    chosen = known.filter(hashed < share[F.col("lang")]).withColumn("at", hashed)
+    chosen = known.filter(hashed < share[F.col("lang")]).withColumn("at", hashed)  # null, so out, for a label that is not learned
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -281,12 +331,16 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            w, p = word_marginals(model, batch.column("text"))
+            w, parts = word_marginals(model, batch.column("text"))
+            best, sure = np.zeros(len(w.starts), np.int64), np.zeros(len(w.starts))
+            for at, p in parts:
+                if p.size:
+                    best[at : at + len(p)], sure[at : at + len(p)] = p.argmax(1), p.max(1)
             raw, _ = text_bytes(batch.column("text"))
             rows = []
             for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
                 words = [raw[x:y].tobytes().decode() for x, y in zip(w.starts[a:b], w.ends[a:b], strict=True)]
-                rows.append([{"word": t, "lang": model.languages[int(q.argmax())] if model.languages and LETTER.search(t) else "und", "score": float(q.max()) if len(q) else 0.0} for t, q in zip(words, p[a:b], strict=True)])
+                rows.append([{"word": t, "lang": model.languages[q] if model.languages and LETTER.search(t) else "und", "score": s} for t, q, s in zip(words, best[a:b].tolist(), sure[a:b].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, schema.field("words").type)], schema=schema)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
