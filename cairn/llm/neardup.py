@@ -275,7 +275,7 @@ def _components(entries: DataFrame, met: DataFrame, sets: DataFrame, percent: in
     payload = met.groupBy("b").agg(F.sort_array(F.collect_list("a")).alias("pivots")).join(sets.select(F.col("id").alias("b"), "wide"), "b")
     spread = placed.join(payload, "b").select(F.col("a").alias("pivot"), "i", "j", "block", F.col("b").alias("id"), "component", "n", "wide", "pivots")
     run, ddl = _second_pass(share)
-    spread = spread.repartition(F.col("pivot"), F.col("i"), F.col("j")).sortWithinPartitions("pivot", "i", "j")
+    spread = spread.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("pivot"), F.col("i"), F.col("j")).sortWithinPartitions("pivot", "i", "j")
     more = written(spread.mapInArrow(run, ddl), "pairs")
     edges = edges.unionByName(_confirmed(more, sets, percent))
     return connected_components(edges)
