@@ -52,7 +52,7 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != "iban")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.coalesce(F.array_max(F.col("spans.score")), F.lit(0.0)).alias("top_score"))
+    return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.coalesce(F.array_max(F.col("spans.score")), F.lit(0.0)).alias("top_score"), F.size(F.filter("spans", lambda s: s["score"] >= pii.LEAST)).cast("long").alias("n_redacted"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
