@@ -2,6 +2,7 @@
 
 A logistic regression on hashed words and counts gives each text's own evidence. Labels aggregated by host (source) and by path (source and language) give Beta posteriors: a path is shrunk
 toward its host, a host toward the global prior, by strengths fitted from the labels' own spread (method of moments). A document's probability combines its evidence with its path's posterior.
+Documents are in two folds by a hash of doc_id, and the evidence of one fold comes from weights fitted on the other, so that no document is judged by its own label.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .words import SPACE, Words
 
 DIMENSION = 1 << 13
 WEAKEST, STRONGEST = 2.0, 1000.0
+#: Labelled texts of which weights are fitted, about.
+MOST = 4000
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,8 +64,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 150, decay: float =
     return weights
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = 4000, words: int = 2000) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts, about `most`, by a hash of doc_id; of a long text a passage of `words` words from a place that the hash chooses."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST, words: int = 2000) -> tuple[list[str], list[int]]:
+    """A bounded sample of labelled texts, about `most`, by a hash of doc_id; of a long text a passage of `words` words, cut to 200 characters each, from a place that the hash chooses."""
     count = labels.count()
     share = int(min(1.0, most / max(1, count)) * (1 << 30))
     chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
@@ -77,8 +80,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = 4000, words: i
                 out.append(" ".join(p[:200] for p in parts[a : a + words]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("quality")], names=["text", "quality"])
 
-    got = rows.select("text", F.col("quality").cast("int").alias("quality"), "at").mapInArrow(cut, "text string, quality int").limit(2 * most).collect()
-    return [r["text"] for r in got], [r["quality"] for r in got]
+    got = sorted(map(tuple, rows.select("text", F.col("quality").cast("int").alias("quality"), "at").mapInArrow(cut, "text string, quality int").limit(2 * most).collect()))
+    return [t for t, _ in got], [y for _, y in got]
 
 
 def _strength(groups: DataFrame) -> float:
@@ -101,21 +104,24 @@ def _logit(p: Column) -> Column:
 def score(docs: DataFrame, labels: DataFrame, cutoff: float = 0.25) -> DataFrame:
     """docs(doc_id, text, lang, source, ...), labels(doc_id, quality, ...) to doc_id, evidence, host_rate, path_rate, probability (of good quality) and kept, one row for each row given.
 
-    A document's own label never counts toward its host or path. kept: probability >= cutoff. A null text is empty; null languages and sources are groups of their own; labels
+    A document's own label never counts toward its evidence, its host or its path. Documents without doc_id are in one fold. kept: probability >= cutoff. A null text is empty; null languages and sources are groups of their own; labels
     that are null or contradict each other are none; without labels every rate is one half. Other columns are not read. An empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.col("text").cast("string").alias("text"))
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most").select("doc_id", "quality")
-    weights = train(*training_rows(own.dropDuplicates(["doc_id"]), known)).astype(np.float32)
+    fold = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)), F.lit(0)).cast("int")
+    own, known = own.withColumn("fold", fold), known.withColumn("fold", fold)
+    texts = own.dropDuplicates(["doc_id"]).drop("fold")
+    weights = np.stack([train(*training_rows(texts, known.filter(F.col("fold") != k).drop("fold"), MOST // 2)) for k in (0, 1)]).astype(np.float32)
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("evidence", pa.float64())])
 
     def run(batches):
         for batch in slices(batches):
             row, key, value = features(batch.column("text"))
-            evidence = np.bincount(row, weights[key] * value, batch.num_rows)
+            evidence = np.bincount(row, weights[batch.column("fold").to_numpy()[row], key] * value, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("source"), pa.array(evidence)], schema=schema)
 
-    evidence = written(own.mapInArrow(run, "doc_id long, lang string, source string, evidence double").join(known, "doc_id", "left"), "evidence")
+    evidence = written(own.mapInArrow(run, "doc_id long, lang string, source string, evidence double").join(known.drop("fold"), "doc_id", "left"), "evidence")
     labelled = evidence.filter("quality IS NOT NULL").dropDuplicates(["doc_id"])
     paths = written(labelled.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("quality").cast("long").alias("k")), "paths")
     hosts = paths.groupBy("source").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
