@@ -1,20 +1,24 @@
 """Nearest neighbours by block matrix join.
 
-Query and candidate vectors are normalised, quantised to int8 and packed into blocks. A tile, the product of a query block and a candidate block in whole numbers, gives every cosine up to
-a proven error; only pairs whose upper bound reaches the k-th best lower bound of their query are computed again in double precision on the original vectors. Heaps merge the tiles.
+Vectors are normalised and quantised to int8 once, and packed into blocks of numbers, scales and lengths of rounding errors. A tile, the product of a query block and a candidate block in whole
+numbers, gives every cosine with a proven bound of its error. Bounded heaps keep each query's k best lower bounds, in a tile's task and then over all tiles; only pairs whose upper bound reaches
+the k-th of them are joined with the original vectors, computed again in double precision, and merged by heaps.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 QUERY_BLOCK, BLOCK = 4096, 2048
+#: Components whose products of int8 numbers sum to less than 2**24, up to which float32 holds whole numbers exactly.
+EXACT = 1024
 
 
 def usable(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -47,6 +51,15 @@ def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, np.sqrt(((u - q * scale[:, None]) ** 2).sum(1))
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of int8 rows with int8 rows, in whole numbers, exact at any width: slices of EXACT components are multiplied and summed as 64-bit integers."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    for at in range(0, a.shape[1], EXACT):
+        part = slice(at, at + EXACT)
+        out += (a[:, part].astype(np.float32) @ b[:, part].T.astype(np.float32)).astype(np.int64)
+    return out
+
+
 def first_copies(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
     """Rows without those that stand behind k + 1 equal vectors of smaller id in this block: they can be no query's k nearest."""
     order = np.lexsort(ids[None])
@@ -61,82 +74,127 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(dots(a, b) / (norms(a) * norms(b)), -1.0, 1.0)
 
 
-def tile(q_ids, q, ids, v, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate id, score) of each query's k nearest in one tile, ties to the smaller id; a query is no candidate of its own."""
-    keep = first_copies(ids, v, k)
-    ids, v = ids[keep], v[keep]
-    (qa, sa, ea), (qb, sb, eb) = quantised(q), quantised(v)
-    out = []
-    for at in range(0, len(q), 256):
+def tile(query: tuple, candidates: tuple, k: int, floors: dict[int, list[float]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query id, candidate id, least cosine, largest cosine) of the pairs of two blocks (ids, int8 rows, scales, errors) that may be among a query's k nearest, a part of the queries at a time.
+
+    floors holds a heap of each query's k largest lower bounds so far, which the tile raises; a query is no candidate of its own.
+    """
+    (q_ids, qa, sa, ea), (ids, qb, sb, eb) = query, candidates
+    for at in range(0, len(q_ids), 256):
         rows = slice(at, at + 256)
-        near = (qa[rows].astype(np.float32) @ qb.T.astype(np.float32)).astype(np.float64) * sa[rows, None] * sb  # whole numbers below 2**24: exact
+        near = products(qa[rows], qb) * sa[rows, None] * sb
         error = ea[rows, None] + eb + ea[rows, None] * eb + 1e-9  # of unit vectors
         own = q_ids[rows, None] == ids
         low = np.where(own, -np.inf, near - error)
-        least = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(low), -np.inf)
+        best = np.partition(low, -k, axis=1)[:, -k:] if len(ids) > k else low
+        least = np.empty(len(low))
+        for i, (q, values) in enumerate(zip(q_ids[rows].tolist(), best.tolist(), strict=True)):
+            heap = floors.setdefault(q, [-np.inf] * k)
+            for x in values:
+                if x > heap[0]:
+                    heapq.heapreplace(heap, x)
+            least[i] = heap[0]
         i, j = np.nonzero((near + error >= least[:, None]) & ~own)
-        score = cosines(q[rows][i], v[j])
-        order = np.lexsort((ids[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        begin = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
-        rank = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
-        best = rank < k
-        out.append((i[best] + at, ids[j[best]], score[best]))
-    return tuple(np.concatenate([x[c] for x in out]) for c in range(3))
+        yield q_ids[rows][i], ids[j], low[i, j], near[i, j] + error[i, j]
 
 
-def _pack(size: int, spread: int | None):
-    """Blocks of at most `size` rows of one length: ids and vectors as bytes, and the length."""
-    schema = pa.schema([("ids", pa.binary()), ("vectors", pa.binary()), ("width", pa.int32())])
+BLOCKS = pa.schema([("q", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary()), ("scales", pa.binary()), ("errors", pa.binary())])
+BLOCKS_DDL = "q int, width int, ids binary, rows binary, scales binary, errors binary"
+PAIRS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                for ids, v in usable(batch.slice(at, size)):
-                    yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([v.astype(np.float64).tobytes()], pa.binary()), pa.array([v.shape[1]], pa.int32())], schema=schema)
 
-    return run, "ids binary, vectors binary, width int"
+def _packed(q: int, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    row = (q, v.shape[1], ids.astype(np.int64).tobytes(), *(x.tobytes() for x in quantised(v)))
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
+
+
+def _unpacked(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    of = lambda c, kind: np.frombuffer(row[side + c], kind)
+    return of("ids", np.int64), of("rows", np.int8).reshape(-1, row["width"]), of("scales", np.float64), of("errors", np.float64)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """vectors(vec_id, embedding, ...) to each query's k nearest by cosine: query_id, rank, vec_id, score; all candidates if they are fewer.
 
     Queries are the rows where is_query holds; all rows but the query's own id are candidates. Vectors that are null, empty, zero or have a null, infinite or NaN component, and
-    rows with a null id, take no part; vectors of different lengths do not meet. Repeated rows count once. Ties go to the smaller id. Other columns are not read.
+    rows with a null id, take no part; vectors of different lengths do not meet. Repeated rows count once. Ties go to the smaller id. Other columns are not read. An empty table gives no rows.
     Each candidate block meets each query block once, by an equi-join on the query block's number: blocks are rows, so no pair of vectors is a row.
     """
     spark = vectors.sparkSession
-    own = vectors.withColumn("_asked", F.coalesce(is_query.cast("boolean"), F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "_asked")
-    asked = own.filter("_asked").select("vec_id", "embedding")
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query.cast("boolean"), F.lit(False)).alias("asked"))
     own = own.filter("vec_id IS NOT NULL").dropDuplicates(["vec_id"])
-    run, ddl = _pack(QUERY_BLOCK, None)
-    n_queries = asked.count()
-    groups = max(1, -(-n_queries // QUERY_BLOCK))
+    asked = own.filter("asked").select("vec_id", "embedding")
+    groups = max(1, -(-asked.count() // QUERY_BLOCK))
     lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    number = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
-    gathered = asked.dropDuplicates(["vec_id"]).withColumn("q", number).repartition(groups, "q")
-    query_schema = pa.schema([("q", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("width", pa.int32())])
 
     def pack_queries(batches):
         for batch in batches:
             q = batch.column("q").to_numpy()
             for g in np.unique(q):
                 for ids, v in usable(batch.filter(pa.array(q == g))):
-                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([v.shape[1]], pa.int32())], schema=query_schema)
+                    yield _packed(g, ids, v)
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                for ids, v in usable(batch.slice(at, BLOCK)):
+                    kept = first_copies(ids, v, k)
+                    yield _packed(0, ids[kept], v[kept])
 
-    queries = gathered.mapInArrow(pack_queries, "q int, " + ddl).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    blocks = own.select("vec_id", "embedding").mapInArrow(run, ddl).select(F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"), F.col("width"), F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q"))
-    tiles = blocks.join(queries.hint("shuffle_hash"), ["q", "lane", "width"]).select("ids", "vectors", "c_ids", "c_vectors", "width")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    queries = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).repartition(groups, "q").mapInArrow(pack_queries, BLOCKS_DDL)
+    queries = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    blocks = own.select("vec_id", "embedding").mapInArrow(pack, BLOCKS_DDL).select("width", *(F.col(c).alias("c_" + c) for c in ("ids", "rows", "scales", "errors")), F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q"))
+    tiles = blocks.join(queries.hint("shuffle_hash"), ["q", "lane", "width"])
 
     def multiply(batches):
+        floors: dict[int, list[float]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, vecs, c_ids, c_vecs = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("ids", np.int64), ("vectors", np.float64), ("c_ids", np.int64), ("c_vectors", np.float64)))
-                w = batch.column("width")[i].as_py()
-                row, near, score = tile(ids, vecs.reshape(-1, w), c_ids, c_vecs.reshape(-1, w), k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(near), pa.array(score)], schema=schema)
-
-    found = tiles.mapInArrow(multiply, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))  # Spark keeps k of each task before the shuffle
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                row = batch.slice(i, 1).to_pylist()[0]
+                for part in tile(_unpacked(row, ""), _unpacked(row, "c_"), k, floors):
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, part)), schema=PAIRS)
+
+    def bounded(batches):
+        """Pairs whose upper bound reaches their query's k-th best lower bound over all tiles; what waits for a query is thinned whenever it has doubled."""
+        floors: dict[int, list[float]] = {}
+        waiting: dict[int, list[tuple[float, int]]] = {}
+        room: dict[int, int] = {}
+        for batch in batches:
+            for q, c, low, high in zip(*(batch.column(x).to_pylist() for x in PAIRS.names), strict=True):
+                heap = floors.setdefault(q, [-np.inf] * k)
+                if high < heap[0]:
+                    continue
+                if low > heap[0]:
+                    heapq.heapreplace(heap, low)
+                held = waiting.setdefault(q, [])
+                held.append((high, c))
+                if len(held) > room.get(q, 8 * k):
+                    waiting[q] = held = [x for x in held if x[0] >= heap[0]]
+                    room[q] = 2 * max(4 * k, len(held))
+        for q, held in waiting.items():
+            ids = [c for high, c in held if high >= floors[q][0]]
+            yield pa.RecordBatch.from_arrays([pa.array([q] * len(ids), pa.int64()), pa.array(ids, pa.int64())], names=["query_id", "vec_id"])
+
+    pairs = tiles.mapInArrow(multiply, "query_id long, vec_id long, low double, high double").repartition(lanes, "query_id").mapInArrow(bounded, "query_id long, vec_id long")
+    met = pairs.join(own.select("vec_id", F.col("embedding").alias("c")), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+
+    def exact(batches):
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("q")).to_numpy()
+            for width in np.unique(sizes):
+                part = batch.filter(pa.array(sizes == width))
+                q, c = (part.column(x).flatten().to_numpy().reshape(-1, width) for x in ("q", "c"))
+                yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("vec_id"), pa.array(cosines(q, c))], names=["query_id", "vec_id", "score"])
+
+    def merged(batches):
+        heaps: dict[int, list[tuple[float, int]]] = {}
+        for batch in batches:
+            for q, c, score in zip(*(batch.column(x).to_pylist() for x in ("query_id", "vec_id", "score")), strict=True):
+                heap = heaps.setdefault(q, [])
+                (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (score, -c))
+        for q, heap in heaps.items():
+            best = sorted(heap, reverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array([q] * len(best), pa.int64()), pa.array(range(1, len(best) + 1), pa.int32()), pa.array([-c for _, c in best], pa.int64()), pa.array([s for s, _ in best], pa.float64())], names=["query_id", "rank", "vec_id", "score"])
+
+    found = met.select("query_id", "vec_id", "q", "c").mapInArrow(exact, "query_id long, vec_id long, score double").repartition(lanes, "query_id")
+    return found.mapInArrow(merged, "query_id long, rank int, vec_id long, score double")
