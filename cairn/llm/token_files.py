@@ -1,8 +1,8 @@
 """Token ids as flat files of unsigned integers with 64-bit document offsets.
 
-Every part, a range of doc_ids, is three files in the shared folder: NAME.bin (ids, of the smallest of uint16 and uint32 that holds the vocabulary), NAME.idx (int64: where each
-document begins in the part, and the end) and NAME.doc (int64 doc_ids, and a byte for each in NAME.nul that says whether it is null). A part's base, the ids of all parts before
-it, is a prefix sum over the parts' totals. Files get their name only when they are whole, so that a task that runs again or twice does no harm.
+Every part, a range of doc_ids, is four files in the shared folder: NAME.bin (ids, of the smallest of uint16 and uint32 that holds the vocabulary), NAME.idx (int64: where each
+document begins in the part, and the end), NAME.doc (int64 doc_ids) and NAME.nul (a byte for each that says whether it is null). Ids stream to their file as they are made. A part's base, the ids
+of all parts before it, is a prefix sum over the parts' totals. Files get their name only when they are whole, so that a task that runs again or twice does no harm.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ from itertools import accumulate, chain
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import new_path, slices, written
 
 TABLE_WORDS = 1_000_000
+#: Text of a part, about, and documents that are read at a time.
+PART_BYTES, READ_DOCUMENTS = 64 << 20, 4096
 #: Marks that stand apart from a letter before them.
 TAIL = ".,!?#%*&$"
 #: Words of letters that stay one letter each in lower case: the library takes each of them as one word.
@@ -104,107 +107,85 @@ def word_table(path: str) -> WordTable:
     return WordTable(path)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
-    """docs(doc_id, text, ...) to doc_id, ids (the bytes of a document's ids and of end_id after them); a null or empty text has no ids of its own."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+class _File:
+    """A file that is written in pieces and gets its name when it is closed."""
 
-    def run(batches):
-        table = word_table(tokenizer)
-        end = np.array([] if end_id is None else [end_id], table.dtype)
-        for batch in slices(batches):
-            flat, sizes = table.encode_batch([t or "" for t in batch.column("text").to_pylist()])
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            out = [np.append(flat[a:b], end).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], schema=schema)
+    def __init__(self, folder: str, name: str):
+        self.where, path = fs.FileSystem.from_uri(folder)
+        self.where.create_dir(path, recursive=True)
+        self.path, self.temporary = f"{path}/{name}", f"{path}/.{name}-{uuid.uuid4().hex}"
+        self.stream = self.where.open_output_stream(self.temporary)
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, ids binary")
+    def close(self) -> None:
+        self.stream.close()
+        self.where.move(self.temporary, self.path)
 
 
-def _put(folder: str, name: str, chunks) -> None:
-    """A file of these chunks, whole or not at all."""
-    where, path = fs.FileSystem.from_uri(folder)
-    where.create_dir(path, recursive=True)
-    temporary = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with where.open_output_stream(temporary) as f:
-        for c in chunks:
-            f.write(c)
-    where.move(temporary, f"{path}/{name}")
+def _put(folder: str, name: str, data: bytes) -> None:
+    file = _File(folder, name)
+    file.stream.write(data)
+    file.close()
 
 
-def _get(folder: str, name: str, dtype) -> np.ndarray:
-    """A file's numbers: memory-mapped where the folder is mounted, else read."""
+def _reader(folder: str, name: str, dtype):
+    """What gives the numbers from a to b of a file: memory-mapped where the folder is mounted, else read by ranges."""
     where, path = fs.FileSystem.from_uri(folder)
-    path = f"{path}/{name}"
+    path, size = f"{path}/{name}", np.dtype(dtype).itemsize
     if where.get_file_info(path).size == 0:
-        return np.zeros(0, dtype)
+        return lambda a, b: np.zeros(0, dtype)
     if isinstance(where, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r")
-    with where.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+        mapped = np.memmap(path, dtype, "r")
+        return lambda a, b: mapped[a:b]
+    file = where.open_input_file(path)
+    return lambda a, b: np.frombuffer(file.read_at((b - a) * size, a * size), dtype)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, folder: str | None = None, parts: int | None = None) -> list[tuple[str, str, int, int, str]]:
-    """Writes the ids of all documents in ascending doc_id order (nulls first; repeated rows one after another) and returns the parts in order: (folder, name, base, documents, dtype).
+    """Writes the ids of all documents in ascending doc_id order (nulls first; rows of one doc_id by a hash of their text) and returns the parts in order: (folder, name, base, documents, dtype).
 
-    The list has an entry for each file, not for each document. A part holds the doc_ids between two quantiles. An empty table has no parts.
+    A null or empty text has no ids of its own. The list has an entry for each file, not for each document. Parts are ranges of doc_id, and of the hash where many rows have one, of about PART_BYTES
+    of text, at least one for each shuffle partition. An empty table has no parts.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
-    parts = parts or 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts))
-    cuts = sorted({int(c) for c in cuts})
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if parts is None:
+        size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     dtype = np.dtype(word_table(tokenizer).dtype).str
-    rows = encoded(docs, tokenizer, end_id)
-    rows = rows.withColumn("part", _bucket(cuts)).repartition("part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
+    order = (F.asc_nulls_first("doc_id"), F.asc("h"))
+    rows = own.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = pa.schema([("part", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
     def write(batches):
-        held: list[pa.RecordBatch] = []
-
-        def close():
-            t = pa.Table.from_batches(held)
-            ids, name = t.column("ids"), f"part-{held[0].column('part')[0].as_py():06d}"
-            sizes = np.array([len(x.as_buffer()) // np.dtype(dtype).itemsize for x in ids], np.int64)
-            doc = t.column("doc_id")
-            _put(folder, f"{name}.idx", [np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes()])
-            _put(folder, f"{name}.doc", [doc.fill_null(0).to_numpy().astype("<i8").tobytes()])
-            _put(folder, f"{name}.nul", [doc.is_null().to_numpy().astype("u1").tobytes()])
-            _put(folder, f"{name}.bin", (x.as_buffer() for x in ids))
-            return pa.RecordBatch.from_arrays([pa.array([int(name[5:])], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([int(sizes.sum())], pa.int64())], schema=schema)
-
-        for batch in batches:
-            part = batch.column("part").to_numpy()
-            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a == b:
-                    continue
-                if held and held[0].column("part")[0].as_py() != part[a]:
-                    yield close()
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield close()
-
-    totals = written(rows.mapInArrow(write, "part int, documents long, tokens long"), "parts").orderBy("part").collect()
+        table, part, file = word_table(tokenizer), TaskContext.get().partitionId(), None
+        end = [] if end_id is None else [end_id]
+        sizes, ids, nulls = [], [], []
+        for batch in slices(batches):
+            flat, many = table.encode_batch([t or "" for t in batch.column("text").to_pylist()])
+            if end:
+                flat, many = np.insert(flat, np.cumsum(many), end), many + 1
+            file = file or _File(folder, f"part-{part:06d}.bin")
+            file.stream.write(flat.astype(dtype).tobytes())
+            doc = batch.column("doc_id")
+            sizes.append(many)
+            ids.append(doc.fill_null(0).to_numpy())
+            nulls.append(doc.is_null().to_numpy(zero_copy_only=False))
+        if file:
+            at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
+            _put(folder, f"part-{part:06d}.idx", at.tobytes())
+            _put(folder, f"part-{part:06d}.doc", np.concatenate(ids).astype("<i8").tobytes())
+            _put(folder, f"part-{part:06d}.nul", np.concatenate(nulls).astype("u1").tobytes())
+            file.close()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(at) - 1], pa.int64()), pa.array([at[-1]], pa.int64())], schema=schema)
+
+    totals = written(rows.select("doc_id", "text").mapInArrow(write, "part int, documents long, tokens long"), "parts").orderBy("part").collect()
     bases = [0, *accumulate(r["tokens"] for r in totals)]
     return [(folder, f"part-{r['part']:06d}", base, r["documents"], dtype) for r, base in zip(totals, bases, strict=False)]
 
 
-def _bucket(cuts: list[int]):
-    """How many cuts lie under doc_id: a balanced tree of comparisons."""
-
-    def tree(a: int, b: int):
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(F.col("doc_id") <= cuts[m], tree(a, m)).otherwise(tree(m + 1, b))
-
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(tree(0, len(cuts))).cast("int")
-
-
 def read_token_files(spark: SparkSession, parts: list[tuple[str, str, int, int, str]]) -> DataFrame:
-    """One row per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as little-endian 32-bit numbers)."""
+    """One row per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as little-endian 32-bit numbers). No part is in memory as a whole."""
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not parts:
         return spark.createDataFrame([], ddl)
@@ -214,9 +195,11 @@ def read_token_files(spark: SparkSession, parts: list[tuple[str, str, int, int,
     def read(batches):
         for batch in batches:
             for p in batch.to_pylist():
-                at, doc, null = (_get(p["folder"], p["name"] + end, t) for end, t in ((".idx", "<i8"), (".doc", "<i8"), (".nul", "u1")))
-                ids = _get(p["folder"], p["name"] + ".bin", p["dtype"])
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(doc), pa.int64(), mask=null.astype(bool)), pa.array(p["base"] + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], schema=schema)
+                offsets, doc, null, ids = (_reader(p["folder"], p["name"] + end, t) for end, t in ((".idx", "<i8"), (".doc", "<i8"), (".nul", "u1"), (".bin", p["dtype"])))
+                for a in range(0, p["documents"], READ_DOCUMENTS):
+                    b = min(p["documents"], a + READ_DOCUMENTS)
+                    at = offsets(a, b + 1)
+                    crc = [zlib.crc32(ids(x, y).astype("<u4").tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(doc(a, b)), pa.int64(), mask=null(a, b).astype(bool)), pa.array(p["base"] + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], schema=schema)
 
     return table.mapInArrow(read, ddl)
