@@ -47,8 +47,8 @@ def js06_areas(spark, sf_dir):
     k = F.col("p_partkey")
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     p = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, ("label", "name", "objname", "kategorie", "best_de", "schutzzeit"))), F.array(F.when(k % 4 == 0, "None").when(k % 4 == 1, F.concat(F.lit(" L"), k)), F.when(k % 3 == 0, F.concat(F.lit("N"), k)), F.when(k % 2 == 0, F.lit("O")), F.when(k % 11 == 0, "SNP"), F.when(k % 5 == 0, " no entry "), F.when(k % 6 < 4, F.concat(two(k % 28 + 1), F.lit("."), two(k % 12 + 1), F.lit(". - 30.04."))))), lambda _, v: v.isNotNull())
-    r = table(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("layer"), k % 5).alias("layer"), (k % 8 != 0).alias("has_geometry"), p.alias("properties"))
-    layers = table(spark, sf_dir, "region").filter("r_regionkey < 4").select(F.concat(F.lit("layer"), F.col("r_regionkey")).alias("layer"), F.initcap(F.lower("r_name")).alias("kind"), (F.col("r_regionkey") % 2 == 0).alias("restricts"))
+    r = table(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("layer"), k % 6).alias("layer"), (k % 8 != 0).alias("has_geometry"), p.alias("properties"))
+    layers = table(spark, sf_dir, "region").select(F.concat(F.lit("layer"), F.col("r_regionkey")).alias("layer"), F.concat(F.upper(F.substring("r_name", 1, 1)), F.lower(F.substring("r_name", 2, 100))).alias("kind"), (F.col("r_regionkey") % 2 == 0).alias("restricts"))
     return features.protected_areas(r, layers, F.lit(2), F.lit(10))
 
 
@@ -60,10 +60,10 @@ def js06_designated(spark, sf_dir):
 
 def js05_rings(spark, sf_dir):
     """Corners of GeoJSON rings on the metric grid."""
-    k = F.col("n_nationkey")
+    k = F.col("s_suppkey")
     ring = F.array(*(F.array(8 + (k + dx) / 100.0, 46.5 + (k + dy) / 200.0) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 0))))
-    n = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(features.rings_to_grid(F.array(ring))).alias("r"))
-    return n.select("n_nationkey", F.posexplode("r").alias("i", "p")).select("n_nationkey", F.col("i").cast("long").alias("i"), F.round("p.e", 3).alias("e"), F.round("p.n", 3).alias("n"))
+    n = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(features.rings_to_grid(F.array(ring))).alias("r"))
+    return n.select("s_suppkey", F.posexplode("r").alias("i", "p")).select("s_suppkey", F.col("i").cast("long").alias("i"), F.round("p.e", 3).alias("e"), F.round("p.n", 3).alias("n"))
 
 
 def js07_places(spark, sf_dir):
@@ -125,13 +125,6 @@ def sm06_in_flight(spark, sf_dir):
     return requests.first_requests(table(spark, sf_dir, "events"), "1 hour").select("user_id", "event_type", "event_id")
 
 
-def jn09_anti(spark, sf_dir):
-    """Suppliers without a customer of the same nation and account class; those with one are a semi join away."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), F.floor(F.col("s_acctbal") / 500).alias("a"))
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), F.floor(F.col("c_acctbal") / 500).alias("a")).distinct()
-    return s.join(c, ["n", "a"], "left_anti").select("s_suppkey")
-
-
 def st01_union(spark, sf_dir):
     """Layers of several services as one, tagged by service."""
     a = table(spark, sf_dir, "supplier").select(F.lit("a").alias("layer"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
@@ -191,14 +184,14 @@ SQL = {
     "js04_lines": _OSM + " SELECT id, class, 0::BIGINT AS part, n AS points, t = 'water' AND n >= 4 AND (n - 1) % m = 0 AS closed FROM f WHERE class IN ('trail', 'water') UNION ALL SELECT id, 'water', unnest([0, 1])::BIGINT, n, false FROM f WHERE class = 'relation_water'",
     "js04_drinking": _OSM + ", p AS (SELECT id, kind, m, unnest(range(0, CASE WHEN c IN (5, 6, 7, 9) THEN 1 ELSE n END)) AS i FROM f WHERE kind IS NOT NULL) SELECT id, kind, round(avg(46 + (id * 3 + i % m) % 100 / 100.0::DOUBLE), 6) AS lat, round(avg(8 + (id * 7 + i % m) % 50 / 50.0::DOUBLE), 6) AS lon FROM p GROUP BY id, kind",
     "src17_named_peaks": _OSM + " SELECT id, 'P' || id AS name, round(46 + (id * 3) % 100 / 100.0::DOUBLE, 6) AS lat, CASE WHEN id % 9500 <= 9000 THEN (id % 9500)::DOUBLE END AS ele FROM f WHERE t = 'peak' AND id % 4 = 1",
-    "js06_areas": """WITH p AS (SELECT p_partkey AS k, (p_partkey % 12 + 1) * 100 + p_partkey % 28 + 1 AS a FROM part WHERE p_partkey % 8 <> 0 AND p_partkey % 5 < 4), q AS (SELECT p.*, initcap(r_name) AS kind, r_regionkey % 2 = 0 AS res FROM (SELECT r_regionkey, upper(r_name[1]) || lower(r_name[2:]) AS r_name FROM region) r JOIN p ON r_regionkey = k % 5)
-        SELECT k AS id, 'layer' || k % 5 AS layer, CASE WHEN k % 11 = 0 THEN 'Swiss National Park' ELSE kind END AS kind, CASE WHEN k % 4 = 1 THEN 'L' || k WHEN k % 3 = 0 THEN 'N' || k WHEN k % 2 = 0 THEN 'O' ELSE 'Unnamed area' END AS name, CASE WHEN k % 5 = 0 THEN 'no entry' END AS rule,
+    "js06_areas": """WITH p AS (SELECT p_partkey AS k, (p_partkey % 12 + 1) * 100 + p_partkey % 28 + 1 AS a FROM part WHERE p_partkey % 8 <> 0 AND p_partkey % 6 < 5), q AS (SELECT p.*, initcap(r_name) AS kind, r_regionkey % 2 = 0 AS res FROM (SELECT r_regionkey, upper(r_name[1]) || lower(r_name[2:]) AS r_name FROM region) r JOIN p ON r_regionkey = k % 6)
+        SELECT k AS id, 'layer' || k % 6 AS layer, CASE WHEN k % 11 = 0 THEN 'Swiss National Park' ELSE kind END AS kind, CASE WHEN k % 4 = 1 THEN 'L' || k WHEN k % 3 = 0 THEN 'N' || k WHEN k % 2 = 0 THEN 'O' ELSE 'Unnamed area' END AS name, CASE WHEN k % 5 = 0 THEN 'no entry' END AS rule,
         CASE WHEN k % 6 < 4 THEN lpad((k % 28 + 1)::VARCHAR, 2, '0') || '.' || lpad((k % 12 + 1)::VARCHAR, 2, '0') || '. - 30.04.' END AS period, CASE WHEN k % 6 >= 4 THEN true WHEN a <= 430 THEN 210 BETWEEN a AND 430 ELSE 210 >= a OR 210 <= 430 END AS in_force, res OR k % 11 = 0 AS restricts FROM q""".replace("initcap(r_name)", "r_name"),
     "js06_designated": """WITH x AS (SELECT p_partkey, p_name, ['Ia','Ib','II','VI',NULL,'x'][p_partkey % 6 + 1] AS i, p_partkey % 4 = 0 AS s FROM part)
         SELECT p_partkey, CASE i WHEN 'Ia' THEN 'Strict nature reserve (IUCN Ia)' WHEN 'Ib' THEN 'Wilderness area (IUCN Ib)' WHEN 'II' THEN 'National park (IUCN II)' WHEN 'VI' THEN 'Protected area with sustainable use (IUCN VI)' ELSE 'Protected area' END AS kind,
         CASE WHEN p_partkey % 5 = 0 THEN 'Unnamed area' ELSE trim(p_name) END AS name, CASE WHEN s THEN 'Strictly protected (EEA)' END AS rule, s OR coalesce(i IN ('Ia', 'Ib'), false) AS restricts FROM x""",
-    "js05_rings": """WITH c AS (SELECT n_nationkey, i, 8 + (n_nationkey + dx) / 100.0::DOUBLE AS lon, 46.5::DOUBLE + (n_nationkey + dy) / 200.0::DOUBLE AS lat FROM nation, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 0)) v(i, dx, dy)), x AS (SELECT *, (lat * 3600 - 169028.66::DOUBLE) / 10000 AS p, (lon * 3600 - 26782.5::DOUBLE) / 10000 AS l FROM c)
-        SELECT n_nationkey, i::BIGINT AS i, round(2600072.37::DOUBLE + 211455.93::DOUBLE*l - 10938.51::DOUBLE*l*p - 0.36::DOUBLE*l*p*p - 44.54::DOUBLE*l*l*l, 3) AS e, round(1200147.07::DOUBLE + 308807.95::DOUBLE*p + 3745.25::DOUBLE*l*l + 76.63::DOUBLE*p*p - 194.56::DOUBLE*l*l*p + 119.79::DOUBLE*p*p*p, 3) AS n FROM x""",
+    "js05_rings": """WITH c AS (SELECT s_suppkey, i, 8 + (s_suppkey + dx) / 100.0::DOUBLE AS lon, 46.5::DOUBLE + (s_suppkey + dy) / 200.0::DOUBLE AS lat FROM supplier, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 0)) v(i, dx, dy)), x AS (SELECT *, (lat * 3600 - 169028.66::DOUBLE) / 10000 AS p, (lon * 3600 - 26782.5::DOUBLE) / 10000 AS l FROM c)
+        SELECT s_suppkey, i::BIGINT AS i, round(2600072.37::DOUBLE + 211455.93::DOUBLE*l - 10938.51::DOUBLE*l*p - 0.36::DOUBLE*l*p*p - 44.54::DOUBLE*l*l*l, 3) AS e, round(1200147.07::DOUBLE + 308807.95::DOUBLE*p + 3745.25::DOUBLE*l*l + 76.63::DOUBLE*p*p - 194.56::DOUBLE*l*l*p + 119.79::DOUBLE*p*p*p, 3) AS n FROM x""",
     "js07_places": """WITH s AS (SELECT *, s_suppkey AS k, (s_suppkey % 50) / 4.0::DOUBLE AS w FROM supplier) SELECT k AS id, CASE WHEN k % 3 = 0 THEN s_name ELSE 'Town' END AS name, CASE WHEN k % 9 <> 0 THEN round(45 + k % 300 / 100.0::DOUBLE, 6) END AS lat, 8.5::DOUBLE AS lon, k % 4 = 0 AS is_peak,
         CASE WHEN k % 4 = 0 OR k % 5 = 0 OR w = 0 THEN 14 ELSE greatest(3, least(15, floor(log2(360 / w)) + 1)) END::BIGINT AS zoom FROM s""",
     "js08_suggest": "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Horn ' || s_suppkey WHEN 1 THEN 'Dorf' || s_suppkey ELSE 'Plain ' || s_suppkey END AS name, CASE s_suppkey % 3 WHEN 0 THEN 'Alpiner Gipfel' WHEN 1 THEN 'Ort' ELSE '' END AS kind, s_suppkey % 3 = 0 AS is_peak FROM supplier",
@@ -212,7 +205,6 @@ SQL = {
     "sm04_sessions": """WITH a AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM a)
         SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS events FROM b GROUP BY user_id, s""",
     "sm06_in_flight": "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type, time_bucket(INTERVAL 1 HOUR, ts)",
-    "jn09_anti": "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND floor(c_acctbal / 500) = floor(s_acctbal / 500))",
     "st01_union": "SELECT 'a' AS layer, s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT 'b', c_custkey, c_name FROM customer",
     "tk08_hit": """WITH b AS (SELECT c_custkey AS id, c_custkey * 7 % 1500 AS place, c_custkey * 37 % 6000 + (c_custkey % 90 + 10) / 2.0::DOUBLE AS cx, c_custkey * 53 % 800 + 9.0::DOUBLE AS cy, greatest(c_custkey % 90 + 10, 44) / 2.0::DOUBLE AS w FROM customer)
         SELECT event_id AS probe, arg_min(id, (place, id)) AS id FROM events JOIN b ON abs(event_id * 11 % 6100 - cx) <= w AND abs(event_id * 17 % 830 - cy) <= 22 GROUP BY event_id""",

@@ -28,6 +28,10 @@ def geo07_tiles(spark, sf_dir):
     return views.peaks(spark, sf_dir).withColumns({"x": x, "y": y}).select("id", *_round(x=F.col("x"), y=F.col("y"), lat=lat, lon=lon, mpp=geo.metres_per_pixel(F.col("lat"), 12)))
 
 
+def geo10_box(spark, sf_dir):
+    return views.table(spark, sf_dir, "events").select("event_id", geo.in_switzerland(45 + F.col("event_id") % 400 / 100.0, 5 + F.col("event_id") * 7 % 700 / 100.0).alias("inside"))
+
+
 def geo08_lv95(spark, sf_dir):
     e, n = geo.to_lv95(F.col("lat"), F.col("lon"))
     lat, lon = geo.from_lv95(F.col("e"), F.col("n"))
@@ -180,6 +184,7 @@ SQL = {
         "peaks",
     ),
     "geo07_tiles": with_views("SELECT id, round((lon + 180) / 360 * 4096, 6) AS x, round((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 4096, 6) AS y, round(lat, 6) AS lat, round(lon, 6) AS lon, round(156543.03::DOUBLE * cos(radians(lat)) / 4096, 6) AS mpp FROM peaks", "peaks"),
+    "geo10_box": "SELECT event_id, 45 + event_id % 400 / 100.0::DOUBLE BETWEEN 45.8 AND 47.85 AND 5 + event_id * 7 % 700 / 100.0::DOUBLE BETWEEN 5.9 AND 10.55 AS inside FROM events",
     "geo08_lv95": with_views(
         """+x AS (SELECT *, (lat * 3600 - 169028.66::DOUBLE) / 10000 AS p, (lon * 3600 - 26782.5::DOUBLE) / 10000 AS l FROM peaks),
         y AS (SELECT *, 2600072.37::DOUBLE + 211455.93::DOUBLE*l - 10938.51::DOUBLE*l*p - 0.36::DOUBLE*l*p*p - 44.54::DOUBLE*l*l*l AS e,

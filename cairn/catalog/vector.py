@@ -56,14 +56,20 @@ def sc05_layer(spark, sf_dir):
 
 def _all_distances(spark, sf_dir):
     grid = views.dem(spark, sf_dir).select("grid", "row", "col")
-    kinds = ("trail", "drinking")
-    cells = grid.withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
+    cells = grid.withColumn("kind", F.explode(F.array(*map(F.lit, ("trail", "drinking")))))
     marks = vector.rasterise_lines(views.tracks(spark, sf_dir), GEO).withColumn("kind", F.lit("trail")).unionByName(vector.rasterise_points(views.points(spark, sf_dir), GEO).withColumn("kind", F.lit("drinking")))
     return vector.distances(cells, marks, views.CELL, ("grid", "kind"))
 
 
+def vr07_distance_map(spark, sf_dir):
+    """Distances to trails with those up to 100 m outside the raster."""
+    grids = views.dem(spark, sf_dir).select("grid").distinct()
+    return vector.distance_map(grids, views.tracks(spark, sf_dir), vector.rasterise_lines, GEO).select(*L("grid", "row", "col"), F.round("distance", 4).alias("distance"))
+
+
 def vr06_edt(spark, sf_dir):
-    return _all_distances(spark, sf_dir).filter("kind = 'trail'").select(*L("grid", "row", "col"), F.round("distance", 4).alias("distance"))
+    marks = vector.rasterise_lines(views.tracks(spark, sf_dir), GEO)
+    return vector.distances(views.dem(spark, sf_dir).select("grid", "row", "col"), marks, views.CELL).select(*L("grid", "row", "col"), F.round("distance", 4).alias("distance"))
 
 
 def vr08_distances(spark, sf_dir):
@@ -120,6 +126,8 @@ _LINES = """+sg AS (SELECT grid, line, seq, e, n, lead(e) OVER w AS e2, lead(n)
  st AS (SELECT grid, e, n, coalesce(e2, e) AS e2, coalesce(n2, n) AS n2, greatest(1, ceil(sqrt(pow(coalesce(e2, e) - e, 2) + pow(coalesce(n2, n) - n, 2))))::INT AS steps FROM sg WHERE e2 IS NOT NULL OR k = 1),
  sm AS (SELECT *, unnest(range(0, steps + 1)) AS k FROM st),
  trail AS (SELECT DISTINCT grid, row, col FROM (SELECT grid, floor((1205000 - (n + (n2 - n) * k / steps)) / 2)::BIGINT AS row, floor((e + (e2 - e) * k / steps - 2722000) / 2)::BIGINT AS col FROM sm) WHERE row BETWEEN 0 AND 99 AND col BETWEEN 0 AND 99)"""
+_WIDE = """, wide AS (SELECT DISTINCT grid, row, col FROM (SELECT grid, floor((1205000 - (n + (n2 - n) * k / steps)) / 2)::BIGINT AS row, floor((e + (e2 - e) * k / steps - 2722000) / 2)::BIGINT AS col FROM sm) WHERE row BETWEEN -50 AND 149 AND col BETWEEN -50 AND 149),
+ rc AS (SELECT grid, r AS row, c AS col FROM (SELECT DISTINCT grid FROM dem), range(0, 100) a(r), range(0, 100) b(c))"""
 _POINTS = """tap AS (SELECT DISTINCT grid, row, col FROM (SELECT grid, floor((1205000 - n) / 2)::BIGINT AS row, floor((e - 2722000) / 2)::BIGINT AS col FROM points) WHERE row BETWEEN 0 AND 99 AND col BETWEEN 0 AND 99)"""
 _FILLED = """+rw AS (SELECT unnest(range(0, 100)) AS row), cr AS (SELECT grid, area, rank, row, e1 + (1205000 - (row + 0.5::DOUBLE) * 2 - n1) / (n2 - n1) * (e2 - e1) AS x FROM areas, rw
    WHERE (n1 <= 1205000 - (row + 0.5::DOUBLE) * 2) <> (n2 <= 1205000 - (row + 0.5::DOUBLE) * 2)),
@@ -157,6 +165,7 @@ SQL = {
     "vr10_protection": with_views(_FILLED + " SELECT grid, row, col, index FROM prot", "areas"),
     "sc05_layer": with_views(_FILLED + " SELECT d.grid, d.row::BIGINT AS row, d.col::BIGINT AS col, CASE WHEN p.rank IS NULL THEN 0 WHEN p.rank = 2 THEN 2 ELSE 1 END::BIGINT AS layer FROM dem d LEFT JOIN prot x ON x.grid = d.grid AND x.row = d.row AND x.col = d.col LEFT JOIN paint p ON p.grid = x.grid AND p.index = x.index", "dem", "areas"),
     "vr06_edt": with_views(_DISTS + f" SELECT {_CELL}, round(distance, 4) AS distance FROM dist WHERE kind = 'trail'", "dem", "tracks", "points"),
+    "vr07_distance_map": with_views(_LINES + _WIDE + f" SELECT {_CELL}, round(distance, 4) AS distance FROM (SELECT d.grid, d.row, d.col, coalesce(min(sqrt(pow(d.row - m.row, 2) + pow(d.col - m.col, 2))) * 2, 'Infinity'::DOUBLE) AS distance FROM rc d LEFT JOIN wide m ON m.grid = d.grid GROUP BY d.grid, d.row, d.col)", "dem", "tracks"),
     "vr08_distances": with_views(_DISTS + f" SELECT {_CELL}, kind, round(distance, 4) AS distance FROM dist", "dem", "tracks", "points"),
     "sc02_camp_score": with_views(
         f"""{_DISTS}, {_TERRAIN.removeprefix("+")}{_FLAT}{_PATCH}, sc AS (SELECT p.*, t.distance AS trail, w.distance AS tap, least(1.0::DOUBLE, (t.distance - 8) / 52) AS u FROM patch p

@@ -166,3 +166,40 @@ def bboxes(lat, lon, radius) -> Column:
 
     low, top = F.lit(-180.0), F.lit(180.0)
     return F.when(wide >= 180, F.array(box(low, top))).when(west < low, F.array(box(west + 360, top), box(low, east))).when(east > top, F.array(box(west, top), box(low, east - 360))).otherwise(F.array(box(west, east)))
+
+
+def _bands(size: float) -> tuple[float, int]:
+    """Height of a band of latitude that is at least `size` metres high, in degrees, and how many there are."""
+    n = max(1, int(180 * 111_000 / size))
+    return 180.0 / n, n
+
+
+def _cells_of(band: Column, height: float, size: float) -> Column:
+    """How many cells of at least `size` metres a band has around the earth."""
+    edge = F.greatest(F.abs(band * height - 90), F.abs((band + 1) * height - 90))
+    return F.greatest(F.lit(1), F.floor(360 * 111_000 * F.cos(F.radians(edge)) / size))
+
+
+def ground_cell(lat: Column, lon: Column, size: float) -> Column:
+    """struct<band, cell>: the cell of ground under a point; cells are about `size` metres high and wide, in bands of latitude."""
+    height, n = _bands(size)
+    band = F.least(F.lit(n - 1), F.floor((lat + 90) / height))
+    many = _cells_of(band, height, size)
+    return F.struct(band.alias("band"), F.pmod(F.floor((lon + 180) / 360 * many), many).alias("cell"))
+
+
+def ground_cells(lat: Column, lon: Column, radius: Column, size: float) -> Column:
+    """array<struct<band, cell>>: all cells of ground that have a point within radius metres of a place, over the date line and the poles too."""
+    height, n = _bands(size)
+    reach = radius / 111_000
+    bands = F.sequence(F.greatest(F.lit(0), F.floor((lat - reach + 90) / height)), F.least(F.lit(n - 1), F.floor((lat + reach + 90) / height)))
+
+    def row(band: Column) -> Column:
+        edge = F.greatest(F.abs(band * height - 90), F.abs((band + 1) * height - 90))
+        far = F.sin(F.least(radius / (2 * EARTH_RADIUS_M), F.lit(math.pi / 2))) / F.sqrt(F.greatest(F.lit(1e-12), F.cos(F.radians(lat)) * F.cos(F.radians(edge))))
+        turn = F.when(far >= 1, F.lit(180.0)).otherwise(F.degrees(2 * F.asin(F.least(F.lit(1.0), far))))
+        many = _cells_of(band, height, size)
+        first, last = (F.floor((lon + s * turn + 180) / 360 * many) for s in (-1, 1))
+        return F.transform(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + many)), lambda c: F.pmod(c, many))), lambda c: F.struct(band.alias("band"), c.alias("cell")))
+
+    return F.flatten(F.transform(bands, row))

@@ -15,14 +15,23 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use takes it: generated code would repeat it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_elevation(raw: Column) -> Column:
     """Metres from "2962 m", "2962,5", "4,808", "9,000 ft", "14'505 ft"; null if unreadable or implausible."""
-    s = F.lower(F.trim(raw))
-    digits = F.regexp_replace(F.regexp_extract(s, r"-?[0-9][0-9,.' ]*", 0), "[' ]", "")
-    plain = F.when(digits.rlike(r"^-?[0-9]{1,3}(,[0-9]{3})+([.][0-9]+)?$"), F.regexp_replace(digits, ",", "")).otherwise(F.regexp_replace(digits, "^([^,]*),", "$1."))
-    value = F.regexp_extract(plain, r"^-?[0-9]+([.][0-9]*)?", 0).try_cast("double")
-    value = F.when(s.rlike(r"\bft\b|feet"), value * FOOT).otherwise(value)
-    return F.when(value.between(LOWEST, HIGHEST), value)
+
+    def plain(digits: Column) -> Column:
+        return F.when(digits.rlike(r"^-?[0-9]{1,3}(,[0-9]{3})+([.][0-9]+)?$"), F.regexp_replace(digits, ",", "")).otherwise(F.regexp_replace(digits, "^([^,]*),", "$1."))
+
+    def value(s: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(s, r"-?[0-9][0-9,.' ]*", 0), "[' ]", "")
+        number = F.regexp_extract(bound(digits, plain), r"^-?[0-9]+([.][0-9]*)?", 0).try_cast("double")
+        return number * F.when(s.rlike(r"\bft\b|feet"), FOOT).otherwise(1.0)
+
+    return bound(bound(F.lower(F.trim(raw)), value), lambda v: F.when(v.between(LOWEST, HIGHEST), v))
 
 
 PERIOD = r"([0-9]{1,2})\.([0-9]{1,2})\.?\s*[-–]\s*([0-9]{1,2})\.([0-9]{1,2})\.?"

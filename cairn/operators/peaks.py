@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .rays import lowest_in_band, running_angle
+from .rays import running_angle
 
 #: Own summit's radius (m), where the terrain before a peak ends, tolerance (degrees); prominence window (degrees), similar distance, full prominence, weight of height.
 OWN_M, BEFORE, TOLERANCE = 300.0, 0.98, 0.05
+#: Fixed value: radius (m) in which the ground's highest point stands for a summit of unknown height.
+SUMMIT_M = 100.0
 WINDOW, SIMILAR, FULL, HEIGHT_WEIGHT = 6.0, 0.3, 3.0, 0.5
 
 
@@ -34,19 +36,19 @@ def visible_peaks(seen: DataFrame, crest: DataFrame, observer: float, rays: int)
 def prominence(visible: DataFrame, crest: DataFrame, skyline: DataFrame, rays: int) -> DataFrame:
     """Adds prominence: the angle over the higher of the two sides' lowest crests at a similar distance, or over the skyline's lowest point where neither side has one.
 
-    Each peak visits the rays of its window by an equi-join; scene is part of every key.
+    Each peak visits the rays of its window by one equi-join with the crests and the skyline (scene is part of every key), and what it met is one aggregate.
     """
     steps = int(WINDOW * rays / 360 + 0.5)
-    at = visible.select("scene", "id", "az", "dist", F.explode(F.sequence(F.lit(-steps), F.lit(steps))).alias("o"))
-    turned = F.pmod(F.col("az") + F.col("o") * (360.0 / rays), F.lit(360.0))
-    probes = at.filter("o <> 0").select("scene", ray_of(turned, rays).alias("ray"), F.concat_ws(":", "id", F.signum("o").cast("int"), "o").alias("id"), F.col("id").alias("peak"), F.signum("o").cast("int").alias("side"), (F.col("dist") * (1 - SIMILAR)).alias("lo"), (F.col("dist") * (1 + SIMILAR)).alias("hi"))
-    low = lowest_in_band(crest, probes)
-    sides = low.join(probes.select("scene", "id", "peak", "side"), ["scene", "id"]).groupBy("scene", "peak", "side").agg(F.min("low").alias("low"))
-    saddle = sides.groupBy("scene", F.col("peak").alias("id")).agg(F.max("low").alias("saddle"))
-    center = F.floor(F.col("az") * rays / 360.0 + 0.5)
-    sky = at.select("scene", "id", F.pmod(center + F.col("o"), F.lit(rays)).cast("int").alias("ray")).join(skyline.select("scene", "ray", F.col("angle").alias("sky")), ["scene", "ray"]).groupBy("scene", "id").agg(F.min("sky").alias("sky"))
-    out = visible.join(saddle, ["scene", "id"], "left").join(sky, ["scene", "id"], "left")
-    return out.withColumn("prominence", F.greatest(F.lit(0.0), F.col("angle") - F.coalesce("saddle", "sky", F.lit(0.0)))).drop("saddle", "sky")
+    own = visible.columns
+    at = visible.withColumn("_o", F.explode(F.sequence(F.lit(-steps), F.lit(steps))))
+    at = at.withColumn("_ray", F.pmod(F.floor(F.col("az") * rays / 360.0 + 0.5) + F.col("_o"), F.lit(rays)).cast("int")).withColumn("_scene", F.col("scene"))
+    line = crest.select(F.col("scene").alias("_scene"), F.col("ray").alias("_ray"), F.col("dist").alias("_dist"), F.col("angle").alias("_low"))
+    sky = skyline.select(F.col("scene").alias("_scene"), F.col("ray").alias("_ray"), F.lit(None).cast("double").alias("_dist"), F.col("angle").alias("_low"))
+    met = at.join(line.unionByName(sky), ["_scene", "_ray"], "left")
+    like = F.col("_dist").between(F.col("dist") * (1 - SIMILAR), F.col("dist") * (1 + SIMILAR))
+    side = lambda test: F.min(F.when(test & like, F.col("_low")))
+    out = met.groupBy(*own).agg(side(F.col("_o") < 0).alias("_a"), side(F.col("_o") > 0).alias("_b"), F.min(F.when(F.col("_dist").isNull(), F.col("_low"))).alias("_sky"))
+    return out.select(*own, F.greatest(F.lit(0.0), F.col("angle") - F.coalesce(F.greatest("_a", "_b"), "_sky", F.lit(0.0))).alias("prominence"))
 
 
 def rank(peaks: DataFrame) -> DataFrame:
@@ -58,10 +60,25 @@ def rank(peaks: DataFrame) -> DataFrame:
 
 
 def nearest(peaks: DataFrame, probes: DataFrame, most: float) -> DataFrame:
-    """(probe, id, d): the nearest peak within `most` metres of each probe (probe, plat, plon), the last by id on a tie. They meet by bands of latitude as high as the radius."""
-    band = most / 111_000.0
-    p = probes.withColumn("band", F.explode(F.array(*(F.floor(F.col("plat") / band) + k for k in (-1, 0, 1)))))
-    met = p.join(peaks.withColumn("band", F.floor(F.col("lat") / band)), "band").filter(F.abs(F.col("lat") - F.col("plat")) * 111_000 <= most)
+    """(probe, id, d): the nearest peak within `most` metres of each probe (probe, plat, plon), the last by id on a tie. They meet by cells of ground as large as the radius."""
+    p = probes.withColumn("_at", F.explode(geo.ground_cells(F.col("plat"), F.col("plon"), F.lit(most), most)))
+    met = p.join(peaks.withColumn("_at", geo.ground_cell(F.col("lat"), F.col("lon"), most)), "_at")
     near = met.withColumn("d", geo.distance(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))).filter(F.col("d") <= most)
     best = F.min(F.struct("d", (-F.col("id")).alias("o"))).alias("b")
     return near.groupBy("probe").agg(best).select("probe", (-F.col("b.o")).alias("id"), F.col("b.d").alias("d"))
+
+
+def without_near(points: DataFrame, others: DataFrame, most: float) -> DataFrame:
+    """Anti-join by distance: the points (id, lat, lon, ...) that have no other (lat, lon) within `most` metres. Points visit the cells of ground around them."""
+    at = points.select("id", F.col("lat").alias("_a"), F.col("lon").alias("_b"), F.explode(geo.ground_cells(F.col("lat"), F.col("lon"), F.lit(most), most)).alias("_at"))
+    met = at.join(others.select(F.col("lat").alias("_c"), F.col("lon").alias("_d"), geo.ground_cell(F.col("lat"), F.col("lon"), most).alias("_at")), "_at")
+    near = met.filter(geo.distance(F.col("_a"), F.col("_b"), F.col("_c"), F.col("_d")) <= most).select("id").distinct()
+    return points.join(near, "id", "left_anti")
+
+
+def summit_heights(peaks: DataFrame, pixels: DataFrame, radius: float = SUMMIT_M) -> DataFrame:
+    """peaks (id, lat, lon, elev, ...) with unknown heights taken from the highest known pixel (lat, lon, h) within radius metres; null if there is none."""
+    unknown = peaks.filter("elev IS NULL").select("id", F.col("lat").alias("_a"), F.col("lon").alias("_b"), F.explode(geo.ground_cells(F.col("lat"), F.col("lon"), F.lit(radius), radius)).alias("_at"))
+    known = pixels.filter("h IS NOT NULL").select(F.col("lat").alias("_c"), F.col("lon").alias("_d"), "h", geo.ground_cell(F.col("lat"), F.col("lon"), radius).alias("_at"))
+    best = unknown.join(known, "_at").filter(geo.distance(F.col("_a"), F.col("_b"), F.col("_c"), F.col("_d")) <= radius).groupBy("id").agg(F.max("h").alias("_h"))
+    return peaks.join(best, "id", "left").withColumn("elev", F.coalesce("elev", "_h")).drop("_h")

@@ -16,6 +16,8 @@ from ..functions import geo
 BANDS = ((20_000.0, 12), (60_000.0, 11), (150_000.0, 10), (math.inf, 9))
 SEA_MAX, DIP = 1.0, 0.03
 RAY = ("scene", "ray")
+#: Cells of ground (m) by which cones and points meet.
+CONE_CELL = 10_000.0
 
 
 def ray_samples(spark: SparkSession, lat: float, radius: float, step_factor: float = 0.5, max_zoom: int = 15) -> DataFrame:
@@ -36,6 +38,47 @@ def ray_samples(spark: SparkSession, lat: float, radius: float, step_factor: flo
     return out.select(i.alias("i"), "dist", "band", "zoom", F.sin(delta).alias("sin_d"), F.cos(delta).alias("cos_d"), geo.curvature_drop(F.col("dist")).alias("drop"))
 
 
+def samples_for(observers: DataFrame, radius: float, step_factor: float = 0.5, max_zoom: int = 15) -> DataFrame:
+    """`ray_samples` for many observers (scene, lat): (scene, i, dist, band, zoom, drop). The few bands are columns, their samples sequences, so that observers are only rows."""
+    bands, start, last, before = [], 0.0, F.lit(0.0), F.lit(0).cast("long")
+    for b, (end, zoom) in enumerate(BANDS):
+        if start >= radius:
+            break
+        end, zoom = min(end, radius), min(zoom, max_zoom)
+        step = geo.metres_per_pixel(F.col("lat"), zoom) * step_factor
+        n = F.greatest(F.lit(0), F.floor((end - last) / step + 1e-9))
+        bands.append(F.struct(F.lit(b).alias("band"), F.lit(zoom).alias("zoom"), last.alias("last"), step.alias("step"), n.alias("n"), before.alias("before")))
+        last, before, start = last + n * step, before + n, end
+    out = observers.select("scene", F.explode(F.array(*bands)).alias("x")).select("scene", "x.*").filter("n > 0")
+    out = out.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("dist", F.col("last") + F.col("k") * F.col("step"))
+    return out.select("scene", (F.col("before") + F.col("k") - 1).alias("i"), "dist", "band", "zoom", geo.curvature_drop(F.col("dist")).alias("drop"))
+
+
+def by_ray(points: DataFrame, keys: tuple[str, ...] = RAY) -> DataFrame:
+    """(keys, dist, angle): of ridge points (keys, dist, angle) one row per ray with both as lists, nearest first."""
+    both = F.array_sort(F.collect_list(F.struct("dist", "angle")))
+    return points.groupBy(*keys).agg(both.alias("_p")).select(*keys, F.col("_p.dist").alias("dist"), F.col("_p.angle").alias("angle"))
+
+
+def scene_index(points: DataFrame, skyline: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ridge points (scene, ridge, ray, dist, angle) to what drawing needs: (scene, ridge, dist, place), each ridge's upper median distance and its place from far to near; the points with below,
+    the next lower angle on their ray (-90 under the lowest); and (scene, ray, lowest), the lowest crest of each ray of the skyline (scene, ray, angle), or the skyline where it has none."""
+    sorted_ = F.array_sort(F.collect_list("dist"))
+    ridges = points.groupBy("scene", "ridge").agg(sorted_.alias("_d")).select("scene", "ridge", F.get("_d", F.floor(F.size("_d") / 2).cast("int")).alias("dist"))
+    order = ridges.withColumn("place", F.row_number().over(Window.partitionBy("scene").orderBy(F.col("dist").desc(), "ridge")))
+    below = F.coalesce(F.lead("angle").over(Window.partitionBy(*RAY).orderBy(F.col("angle").desc(), "dist")), F.lit(-90.0))
+    least = points.groupBy(*RAY).agg(F.min("angle").alias("_a"))
+    lowest = skyline.select(*RAY, "angle").join(least, list(RAY), "left").select(*RAY, F.coalesce("_a", "angle").alias("lowest"))
+    return order, points.withColumn("below", below), lowest
+
+
+def by_tile(points: DataFrame, zoom: int) -> DataFrame:
+    """Points (lat, lon, ...) dealt and sorted by blocks of two by two tiles, so that lookups of one place come one after another; adds zoom, block_y and block_x."""
+    x, y = geo.to_tile(F.col("lat"), F.col("lon"), zoom)
+    out = points.withColumn("zoom", F.lit(zoom)).withColumn("block_y", F.floor(F.floor(y) / 2)).withColumn("block_x", F.floor(F.floor(x) / 2))
+    return out.repartition("zoom", "block_y", "block_x").sortWithinPartitions("zoom", "block_y", "block_x")
+
+
 def required_tiles(observers: DataFrame, zoom: int, start: float, end: float, rays: int, size: int = 256) -> DataFrame:
     """(scene, zoom, x, y): tiles that the rays of observers (scene, lat, lon) touch between two distances, with the neighbours that sampling needs; x wraps, y ends at the poles."""
     n = 2**zoom
@@ -138,11 +181,10 @@ def highest_near(points: DataFrame, pixels: DataFrame, radius: float, bucket: in
 
 
 def cone_heights(points: DataFrame, cones: DataFrame, base: float = 0.0) -> DataFrame:
-    """Adds h at points (id, lat, lon): base plus the heights of cones (clat, clon, height, radius) over them; points and cones meet by degrees of latitude, an equi-join."""
-    band = F.floor(F.col("clat") - F.col("radius") / 110_000), F.floor(F.col("clat") + F.col("radius") / 110_000)
-    c = cones.withColumn("band", F.explode(F.sequence(*band)))
+    """Adds h at points (id, lat, lon): base plus the heights of cones (clat, clon, height, radius) over them; a cone visits the cells of ground that it covers, where points meet it by equi-join."""
+    c = cones.withColumn("_at", F.explode(geo.ground_cells(F.col("clat"), F.col("clon"), F.col("radius"), CONE_CELL)))
     d = geo.distance(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
-    met = points.withColumn("band", F.floor("lat")).join(c, "band", "left").withColumn("d", d)
+    met = points.withColumn("_at", geo.ground_cell(F.col("lat"), F.col("lon"), CONE_CELL)).join(c, "_at", "left").withColumn("d", d)
     part = F.when(F.col("d") < F.col("radius"), F.col("height") * (1 - F.col("d") / F.col("radius"))).otherwise(0.0)
-    return met.groupBy("id", "lat", "lon").agg((F.lit(base) + F.sum(part)).alias("h"))
+    return met.groupBy("id", "lat", "lon").agg((F.lit(base) + F.sum(F.coalesce(part, F.lit(0.0)))).alias("h"))
 

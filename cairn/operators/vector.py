@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,35 +100,75 @@ def areas_at(points: DataFrame, edges: DataFrame) -> DataFrame:
     return containing(points, edges).withColumn("place", place)
 
 
-def distances(cells: DataFrame, marks: DataFrame, cell: float, keys: tuple[str, ...] = ("grid",), band: int = 16) -> DataFrame:
-    """Adds distance, metres to the nearest marked cell's centre; infinite where there is none. cells: (keys, row, col) of a full rectangle; marks: (keys, row, col), which may lie above or below it too.
+def nearest_in_rows(gap: np.ndarray) -> np.ndarray:
+    """For each place of each row (rows x columns) the least of (column - other column)**2 + gap(other column)**2; infinite where the row has no finite gap.
 
-    Exact: the vertical distance comes from windows down and up each column; then every row takes the least of vertical² + horizontal² in NumPy, a band of rows at a time.
+    The best other column never falls as the column grows, so the middle column of a range bounds both halves: width * log(width) steps, for all rows at once.
+    """
+    rows, width = gap.shape
+    square = gap * gap
+    column = np.arange(width, dtype=np.float64)
+    best, cost = np.zeros((rows, width + 2), np.int64), np.empty((rows, width))
+    best[:, width] = width - 1  # stands to the right of all; the last one, 0, to the left
+    step = 1 << max(0, width - 1).bit_length()
+    while step > 1:
+        at = np.arange(step // 2, width, step)
+        left, right = at - step // 2, np.minimum(at + step // 2, width)
+        low, high = best[:, np.where(left > 0, left, width + 1)].ravel(), best[:, right].ravel()
+        size = high - low + 1
+        begin = np.cumsum(size) - size
+        which = np.repeat(np.arange(len(size)), size)
+        x = np.arange(size.sum()) - begin[which] + low[which]
+        value = (column[np.tile(at, rows)][which] - column[x]) ** 2 + square[which // len(at), x]
+        least = np.minimum.reduceat(value, begin)
+        chosen = np.minimum.reduceat(np.where(value == least[which], x, width), begin)
+        best[:, at], cost[:, at] = chosen.reshape(rows, -1), least.reshape(rows, -1)
+        step //= 2
+    cost[:, 0] = (column**2 + square).min(1)
+    return cost
+
+
+def distances(cells: DataFrame, marks: DataFrame, cell: float, keys: tuple[str, ...] = ("grid",), band: int = 64) -> DataFrame:
+    """Adds distance, metres to the nearest marked cell's centre; infinite where there is none. cells: (keys, row, col) of full rows; marks: (keys, row, col), which may lie above or below them too.
+
+    Exact, in two shuffles: by column, where windows down and up give the vertical distance, and by bands of rows, where every row takes the least of vertical² + horizontal² in NumPy.
     """
     place = [*keys, "row", "col"]
     both = cells.select(*place, F.lit(1).alias("_c"), F.lit(0).alias("_m")).unionByName(marks.select(*place, F.lit(0).alias("_c"), F.lit(1).alias("_m")))
-    marked = both.groupBy(*place).agg(F.max("_c").alias("_c"), F.max("_m").alias("_m"))
+    marked = both.repartition(*keys, "col").groupBy(*place).agg(F.max("_c").alias("_c"), F.max("_m").alias("_m"))
     w = Window.partitionBy(*keys, "col").orderBy("row")
     at = F.when(F.col("_m") == 1, F.col("row"))
     above = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     gap = F.least(F.col("row") - above, below - F.col("row"))  # least passes over a null
     lines = marked.withColumn("_gap", F.coalesce(gap.cast("double"), F.lit(float("inf")))).filter("_c = 1").drop("_m", "_c").withColumn("_band", F.floor(F.col("row") / band))
-
-    def envelope(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, line in part.groupby("row", sort=False):
-            c, g = line["col"].to_numpy(np.float64), line["_gap"].to_numpy()
-            has = np.isfinite(g)
-            best = np.full(len(c), np.inf)
-            for s in range(0, int(has.sum()), 512):
-                x, y = c[has][s : s + 512], g[has][s : s + 512]
-                best = np.minimum(best, ((c[:, None] - x) ** 2 + y * y).min(1))
-            out.append(line.assign(distance=np.sqrt(best) * cell))
-        return pd.concat(out).drop(columns=["_gap", "_band"])
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name not in ("_gap", "_band")) + ", distance double"
-    return lines.groupBy(*keys, "_band").applyInPandas(envelope, ddl)
+    kept = [*place, "distance"]
+
+    def envelope(table: pa.Table) -> pa.Table:
+        row, col = (table.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+        order = np.lexsort((col, row))
+        row, col, g = row[order], col[order], table.column("_gap").to_numpy()[order]
+        begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        first, width = np.minimum.reduceat(col, begin), int(np.diff(np.append(begin, len(row))).max())
+        full = np.full((len(begin), width), np.inf)
+        line = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(row))))
+        full[line, col - first[line]] = g
+        cost = nearest_in_rows(full)[line, col - first[line]]
+        out = table.take(pa.array(order)).drop(["_gap", "_band"])
+        return out.append_column("distance", pa.array(np.sqrt(cost) * cell)).select(kept)
+
+    kind = {f.name: f.dataType.simpleString() for f in lines.schema}
+    ddl = ", ".join(f"`{c}` {kind[c]}" for c in place) + ", distance double"
+    return lines.groupBy(*keys, "_band").applyInArrow(envelope, ddl)
+
+
+def distance_map(grids: DataFrame, features: DataFrame, mark, geo: Geometry, margin: float = 100.0) -> DataFrame:
+    """(grid, row, col, distance) for every cell of each grid (grid): metres to the nearest cell that mark(features, geometry) marks, up to `margin` metres outside the raster too."""
+    pad = int(-(-margin // geo.cell))
+    wide = geo.padded(pad)
+    cells = grids.select("grid").withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(wide.height - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(wide.width - 1))))
+    out = distances(cells, mark(features, wide), geo.cell)
+    return out.select("grid", (F.col("row") - pad).alias("row"), (F.col("col") - pad).alias("col"), "distance").filter(geo.inside())
 
 
 def resample(targets: DataFrame, source: DataFrame, origin_e: float, origin_n: float, pixel: float, width: int, height: int, nearest: bool = False) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.geo import wrap180
 from ..functions.text import half_up, hash_pair
 
-#: Pixels of a tile, tiles around the circle of each level, most pixels of an export, sizes of its footer text.
-TILE, LEVELS, MOST_PIXELS, FONT = 512, (4, 6, 8, 11, 16, 23, 32, 45, 64, 90, 128, 181, 256), 16_000_000, (14, 48)
+#: Pixels of a tile, share of the wanted resolution that a level must have, tiles around the circle of each level, most pixels of an export, sizes of its footer text.
+TILE, ENOUGH = 512, 0.97
+LEVELS, MOST_PIXELS, FONT = (4, 6, 8, 11, 16, 23, 32, 45, 64, 90, 128, 181, 256), 16_000_000, (14, 48)
 
 
 def x_of(az: Column, center: Column, px: Column, width: Column) -> Column:
@@ -21,8 +22,8 @@ def y_of(angle: Column, top: Column, px: Column, exaggeration: Column) -> Column
 
 
 def level_for(px: Column) -> Column:
-    """The coarsest level of at least this resolution, or the finest."""
-    fits = F.filter(F.array(*map(F.lit, LEVELS)), lambda n: n * TILE / 360.0 >= px)
+    """The coarsest level with ENOUGH of this resolution, or the finest."""
+    fits = F.filter(F.array(*map(F.lit, LEVELS)), lambda n: n * TILE / 360.0 >= px * ENOUGH)
     return F.coalesce(F.get(fits, F.lit(0)), F.lit(LEVELS[-1]))
 
 

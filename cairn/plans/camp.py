@@ -40,13 +40,7 @@ class CampAnalysis:
         if features is None:
             self.warnings.append(f"{name}: no data, not counted")
             return None
-        pad = int(-(-MARGIN_M // self.geometry.cell))
-        wide = self.geometry.padded(pad)
-        grids = self.dem.select("grid").distinct()
-        cells = grids.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(wide.height - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(wide.width - 1))))
-        d = vector.distances(cells, mark(features, wide), self.geometry.cell)
-        own = d.select("grid", (F.col("row") - pad).alias("row"), (F.col("col") - pad).alias("col"), F.col("distance").alias(name))
-        return own.filter(self.geometry.inside())
+        return vector.distance_map(self.dem.select("grid").distinct(), features, mark, self.geometry, MARGIN_M).withColumnRenamed("distance", name)
 
     def layers(self) -> DataFrame:
         """One row per cell: z, slope, roughness, water and the layers that there are. Persisted."""

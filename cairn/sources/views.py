@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def grids(spark: SparkSession, sf_dir: str) -> int:
+    """How many rasters there are."""
+    return (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) // 10000 + 1
+
+
 def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grid, row, col, z, id): heights with a flat lake; one cell in 997 is unknown."""
     i = F.col("event_id")
@@ -28,7 +33,7 @@ def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grid, line, seq, e, n): points of way lines, a few in each grid."""
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").filter(k % 40 == 0).select((k / 40 % 7).cast("long").alias("grid"), F.col("o_custkey").alias("line"), k.alias("seq"))
+    rows = table(spark, sf_dir, "orders").select((k % 280).cast("long").alias("grid"), F.col("o_custkey").alias("line"), k.alias("seq"))
     return rows.select("grid", "line", "seq", (E0 + F.col("seq") * 37 % 200).cast("double").alias("e"), (N0 - F.col("seq") * 53 % 200).cast("double").alias("n"))
 
 
@@ -39,14 +44,14 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(grid, area, rank, part, i, e1, n1, e2, n2): edges of slanted quads, every fifth with a square hole."""
-    k = F.col("n_nationkey")
+    """(grid, area, rank, part, i, e1, n1, e2, n2): edges of slanted quads, 25 to a grid, every fifth with a square hole."""
+    k = F.col("s_suppkey")
     e, n, w, h = E0 + k * 29 % 150, N0 - 20 - k * 41 % 150, 15 + k * 7 % 30, 12 + k * 11 % 25
     corner = lambda x, y: F.struct(x.cast("double").alias("e"), y.cast("double").alias("n"))
     outer = F.array(corner(e, n), corner(e + w, n + 3), corner(e + w + 4, n - h), corner(e - 2, n - h - 1))
     hole = F.array(corner(e + 4, n - 4), corner(e + 9, n - 4), corner(e + 9, n - 9), corner(e + 4, n - 9))
     rings = F.when(k % 5 == 0, F.array(outer, hole)).otherwise(F.array(outer))
-    out = table(spark, sf_dir, "nation").select((k % 2).cast("long").alias("grid"), k.cast("long").alias("area"), (F.col("n_regionkey") % 3).cast("int").alias("rank"), F.posexplode(rings).alias("part", "ring"))
+    out = table(spark, sf_dir, "supplier").select((k / 25).cast("long").alias("grid"), k.cast("long").alias("area"), (F.col("s_nationkey") % 3).cast("int").alias("rank"), F.posexplode(rings).alias("part", "ring"))
     out = out.select("grid", "area", "rank", "part", "ring", F.posexplode("ring").alias("i", "p"))
     q = F.get("ring", (F.col("i") + 1) % F.size("ring"))
     return out.select("grid", "area", "rank", "part", "i", F.col("p.e").alias("e1"), F.col("p.n").alias("n1"), q["e"].alias("e2"), q["n"].alias("n2"))
@@ -92,15 +97,15 @@ VIEW_SQL = {
     "dem": """SELECT event_id // 10000 AS grid, CAST((event_id % 10000) // 100 AS INT) AS row, CAST(event_id % 100 AS INT) AS col, event_id AS id,
       CASE WHEN event_id % 997 = 13 THEN NULL WHEN (((event_id % 10000) // 100) % 50) BETWEEN 20 AND 32 AND event_id % 100 BETWEEN 60 AND 79 THEN 1480.0::DOUBLE
       ELSE 1500 + 4 * sin((event_id % 100) / 9.0::DOUBLE) + 3 * cos(((event_id % 10000) // 100) / 7.0::DOUBLE) + 0.0003::DOUBLE * value END AS z FROM events""",
-    "tracks": """SELECT (o_orderkey // 40) % 7 AS grid, o_custkey AS line, o_orderkey AS seq, 2722000.0::DOUBLE + (o_orderkey * 37) % 200 AS e, 1205000.0::DOUBLE - (o_orderkey * 53) % 200 AS n
-      FROM orders WHERE o_orderkey % 40 = 0""",
+    "tracks": """SELECT o_orderkey % 280 AS grid, o_custkey AS line, o_orderkey AS seq, 2722000.0::DOUBLE + (o_orderkey * 37) % 200 AS e, 1205000.0::DOUBLE - (o_orderkey * 53) % 200 AS n
+      FROM orders""",
     "points": """SELECT s_suppkey % 3 AS grid, s_suppkey AS id, 2722000.0::DOUBLE + (s_suppkey * 71) % 230 - 10 AS e, 1205000.0::DOUBLE - (s_suppkey * 43) % 215 + 5 AS n FROM supplier""",
     "areas": """SELECT grid, area, rank, part, i, r[i + 1].e AS e1, r[i + 1].n AS n1, r[(i + 1) % 4 + 1].e AS e2, r[(i + 1) % 4 + 1].n AS n2 FROM (
       SELECT grid, area, rank, part, unnest([0, 1, 2, 3]) AS i, CASE part WHEN 0 THEN
         [{'e': e, 'n': n}, {'e': e + w, 'n': n + 3}, {'e': e + w + 4, 'n': n - h}, {'e': e - 2, 'n': n - h - 1}] ELSE
         [{'e': e + 4, 'n': n - 4}, {'e': e + 9, 'n': n - 4}, {'e': e + 9, 'n': n - 9}, {'e': e + 4, 'n': n - 9}] END AS r FROM (
-        SELECT (n_nationkey % 2)::BIGINT AS grid, n_nationkey::BIGINT AS area, (n_regionkey % 3)::BIGINT AS rank, 2722000.0::DOUBLE + (n_nationkey * 29) % 150 AS e, 1204980.0::DOUBLE - (n_nationkey * 41) % 150 AS n,
-          15 + (n_nationkey * 7) % 30 AS w, 12 + (n_nationkey * 11) % 25 AS h, unnest(CASE WHEN n_nationkey % 5 = 0 THEN [0, 1] ELSE [0] END) AS part FROM nation))""",
+        SELECT s_suppkey // 25 AS grid, s_suppkey AS area, (s_nationkey % 3)::BIGINT AS rank, 2722000.0::DOUBLE + (s_suppkey * 29) % 150 AS e, 1204980.0::DOUBLE - (s_suppkey * 41) % 150 AS n,
+          15 + (s_suppkey * 7) % 30 AS w, 12 + (s_suppkey * 11) % 25 AS h, unnest(CASE WHEN s_suppkey % 5 = 0 THEN [0, 1] ELSE [0] END) AS part FROM supplier))""",
     "samples": """SELECT scene, ray, i, (i + 1) * 500.0::DOUBLE AS dist, CASE WHEN floor(p)::BIGINT % 89 = 3 THEN NULL WHEN floor(p)::BIGINT % 7 = 0 THEN 0.0::DOUBLE ELSE p / 40 END AS h FROM (
       SELECT l_orderkey // 30000 AS scene, l_orderkey % 360 AS ray, (l_orderkey * 7 + l_linenumber * 13) % 40 AS i, min(l_extendedprice)::DOUBLE AS p FROM lineitem GROUP BY 1, 2, 3)""",
     "peaks": """SELECT k AS id, 46 + (k * 7919) % 1000 / 1000.0::DOUBLE AS lat, 8 + (k * 104729) % 2000 / 1000.0::DOUBLE AS lon, name, CASE k % 8
