@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import geo, text
 from ..operators import peaks, rays
+from ..plans import panorama
 from ..sources import views
 from ..sources.views import table, with_views
 
@@ -157,6 +158,19 @@ def rn02_lowest(spark, sf_dir):
     return rays.scene_index(crest, rays.horizon(_seen(spark, sf_dir)))[2].select(*_key(), F.round("lowest", 6).alias("lowest"))
 
 
+def hz03_heights(spark, sf_dir):
+    """Heights on 16 rays of 1,500 m around every supplier, from tiles of 8 x 8 pixels whose heights follow from their place."""
+    obs, count, size, zoom = _observers(spark, sf_dir), 16, 8, 12
+    n = 2**zoom
+    samples = rays.samples_for(obs.select("scene", "lat"), 1500.0)
+    x, y = geo.to_tile(F.col("lat"), F.col("lon"), zoom)
+    around = F.explode(F.sequence(F.floor(x) - 2, F.floor(x) + 2)), F.explode(F.sequence(F.floor(y) - 2, F.floor(y) + 2))
+    keys = obs.select("lat", "lon", around[0].alias("tx")).select(F.pmod("tx", F.lit(n)).alias("tx"), around[1].alias("ty")).distinct()
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: ((F.col("tx") * size + k % size) * 7 % 100 + (F.col("ty") * size + F.floor(k / size)) * 13 % 90) * 1.0)
+    tiles = keys.select(F.lit(zoom).alias("zoom"), "tx", "ty", pixel.alias("elev"))
+    return panorama.heights_along_rays(obs, samples, tiles, count, size).select(*_key(), F.col("i").cast("long").alias("i"), F.round("h", 4).alias("h"))
+
+
 def tk05_tile_order(spark, sf_dir):
     """Lookups with the blocks of tiles by which they are dealt and sorted."""
     return rays.by_tile(_observers(spark, sf_dir), 11).select("scene", F.col("zoom").cast("long").alias("zoom"), "block_y", "block_x")
@@ -286,6 +300,11 @@ SQL = {
     "ag09_by_ray": _on(_SEEN + _CREST, f"SELECT {_KEY}, count(*) AS n, min(dist) AS nearest, max(dist) AS farthest, round(arg_max(angle, dist), 6) AS last_angle FROM crest GROUP BY scene, ray", "samples"),
     "rn02_scene_index": _on(_SEEN + _CREST, ", nx AS (SELECT scene, ray // 4 AS ridge, dist, lead(angle) OVER (PARTITION BY scene, ray ORDER BY angle DESC, dist) AS below FROM crest), r AS (SELECT scene, ridge, list_sort(list(dist)) AS d, count(below) AS over FROM nx GROUP BY scene, ridge), m AS (SELECT scene, ridge, d[len(d) // 2 + 1] AS dist, over FROM r) SELECT scene, ridge, dist, row_number() OVER (PARTITION BY scene ORDER BY dist DESC, ridge) AS place, over FROM m", "samples"),
     "rn02_lowest": _on(_SEEN + _CREST, f", l AS (SELECT scene, ray, min(angle) AS a FROM crest WHERE dist < 6000 GROUP BY scene, ray) SELECT h.scene, h.ray::BIGINT AS ray, round(coalesce(l.a, h.angle), 6) AS lowest FROM hz h LEFT JOIN l ON l.scene = h.scene AND l.ray = h.ray", "samples"),
+    "hz03_heights": """WITH l AS (SELECT s_suppkey AS scene, (s_suppkey * 13) % 120 - 60 + 0.25::DOUBLE AS lat, (s_suppkey * 47) % 360 - 180 + 0.1::DOUBLE AS lon FROM supplier), a AS (SELECT *, 156543.03::DOUBLE * cos(radians(lat)) / 4096 * 0.5 AS s1 FROM l), b AS (SELECT *, unnest(range(0, floor(1500 / s1 + 1e-9)::BIGINT)) AS i FROM a), c AS (SELECT *, unnest(range(0, 16)) AS ray FROM b),
+        d AS (SELECT *, (i + 1) * s1 / 6371000.0::DOUBLE AS de, radians(ray * 22.5::DOUBLE) AS th, radians(lat) AS ph FROM c), s AS (SELECT *, sin(ph) * cos(de) + cos(ph) * sin(de) * cos(th) AS s FROM d),
+        p AS (SELECT scene, ray, i, (radians(lon) + atan2(sin(th) * sin(de) * cos(ph), cos(de) - sin(ph) * s) + pi()) / (2 * pi()) * 32768 - 0.5 AS x, (0.5 - ln((1 + s) / (1 - s)) / (4 * pi())) * 32768 - 0.5 AS y FROM s),
+        q AS (SELECT scene, ray, i, x - floor(x) AS u, y - floor(y) AS v, (floor(x)::BIGINT + 32768) % 32768 AS a, (floor(x)::BIGINT + 32769) % 32768 AS b, floor(y)::BIGINT AS c FROM p),
+        h AS (SELECT scene, ray, i, u, v, a * 7 % 100 + c * 13 % 90 AS k, b * 7 % 100 + c * 13 % 90 AS l, a * 7 % 100 + (c + 1) * 13 % 90 AS m, b * 7 % 100 + (c + 1) * 13 % 90 AS n FROM q) SELECT scene, ray::BIGINT AS ray, i, round((k * (1 - u) + l * u) * (1 - v) + (m * (1 - u) + n * u) * v, 4) AS h FROM h""",
     "tk05_tile_order": """WITH o AS (SELECT s_suppkey AS scene, (s_suppkey * 13) % 120 - 60 + 0.25::DOUBLE AS lat, (s_suppkey * 47) % 360 - 180 + 0.1::DOUBLE AS lon FROM supplier)
         SELECT scene, 11::BIGINT AS zoom, floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 2048)::BIGINT // 2 AS block_y, floor((lon + 180) / 360 * 2048)::BIGINT // 2 AS block_x FROM o""",
     "src04_cones": _on("+c AS (SELECT 46 + (s_suppkey * 31) % 1000 / 1000.0::DOUBLE AS clat, 8 + (s_suppkey * 57) % 2000 / 1000.0::DOUBLE AS clon, s_suppkey % 30 * 100.0::DOUBLE + 50 AS height, s_suppkey % 9 * 3000.0::DOUBLE + 2000 AS radius FROM supplier), d AS (SELECT id, height, radius, " + _D.format(a="lat", b="clat", c="lon", d="clon") + " AS d FROM peaks, c)", "SELECT id, round(100 + sum(CASE WHEN d < radius THEN height * (1 - d / radius) ELSE 0 END), 4) AS h FROM d GROUP BY id", "peaks"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import raster, vector
-from ..sources import views
+from ..sources import terrain, views
 from ..sources.views import with_views
 from . import raster as cells_of
 from .raster import _FLAT, _PATCH, _TERRAIN
@@ -32,6 +32,14 @@ def _probes(spark, sf_dir):
     return views.table(spark, sf_dir, "events").select((k % 2).cast("long").alias("grid"), k.alias("id"), (views.E0 + k * 17 % 2000 / 10.0 + 0.05).alias("e"), (views.N0 - k * 31 % 2000 / 10.0 - 0.05).alias("n"))
 
 
+def src13_windows(spark, sf_dir):
+    """Windows of 40 m around places, some beyond the ground that there is, from tiles of a square kilometre."""
+    k = F.col("s_suppkey")
+    places = views.table(spark, sf_dir, "supplier").select(k.alias("grid"), (k % views.grids(spark, sf_dir) * 1000 + views.E0 + k * 71 % 230 - 15).alias("east"), (views.N0 - k * 43 % 230 + 15).alias("north"))
+    windows = places.select("grid", *(c.alias(n) for n, c in terrain.window_bounds(F.col("east"), F.col("north"), 20.0, views.CELL).items()))
+    return terrain.load_windows(windows, views.tiles(spark, sf_dir), views.CELL).select(*L("grid", "row", "col"), F.round("z", 6).alias("z"))
+
+
 def vr05_pip(spark, sf_dir):
     return vector.containing(_probes(spark, sf_dir), views.areas(spark, sf_dir)).select(*L("grid", "id", "area"))
 
@@ -160,6 +168,9 @@ SQL = {
     "vr02_lines": with_views(_LINES + f" SELECT {_CELL} FROM trail", "tracks"),
     "vr03_points": with_views(f"+{_POINTS} SELECT {_CELL} FROM tap", "points"),
     "vr04_fill": with_views(_FILLED + " SELECT grid, area, row, col FROM filled", "areas"),
+    "src13_windows": with_views("""+w AS (SELECT s_suppkey AS grid, s_suppkey % (SELECT max(event_id) // 10000 + 1 FROM events) AS g, floor((2722000 + s_suppkey * 71 % 230 - 35) / 2.0) * 2 - 2722000 AS e0, ceil((1205000 - s_suppkey * 43 % 230 + 35) / 2.0) * 2 - 1205000 AS n0 FROM supplier),
+        ok AS (SELECT grid AS g FROM dem GROUP BY grid HAVING count(*) = 10000), c AS (SELECT w.*, r AS row, c AS col, (r - n0 / 2)::BIGINT AS y, (c + e0 / 2)::BIGINT AS x FROM w, range(0, 20) a(r), range(0, 20) b(c))
+        SELECT c.grid, c.row, c.col, round(d.z, 6) AS z FROM c LEFT JOIN (SELECT dem.* FROM dem JOIN ok ON ok.g = dem.grid) d ON d.grid = c.g AND d.row = c.y AND d.col = c.x""", "dem"),
     "vr05_pip": with_views(_PROBED + " SELECT grid, id, area FROM hit", "areas"),
     "vr12_areas_at": with_views(_PROBED + " SELECT grid, id, row_number() OVER (PARTITION BY grid, id ORDER BY rank DESC, area DESC) AS place, area, rank FROM hit", "areas"),
     "vr10_protection": with_views(_FILLED + " SELECT grid, row, col, index FROM prot", "areas"),

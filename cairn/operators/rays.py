@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -94,8 +94,8 @@ def required_tiles(observers: DataFrame, zoom: int, start: float, end: float, ra
     return at.select("scene", F.lit(zoom).alias("zoom"), F.pmod("x", F.lit(n)).alias("x"), F.explode(F.sequence("lo", "hi")).alias("y")).distinct()
 
 
-def visible(samples: DataFrame, observer: float, keys: tuple[str, ...] = RAY) -> DataFrame:
-    """Known samples with t (tangent of the apparent angle), sea and visible: t over all before it on the ray. Sea lies at height 0."""
+def visible(samples: DataFrame, observer: float | Column, keys: tuple[str, ...] = RAY) -> DataFrame:
+    """Known samples with t (tangent of the apparent angle), sea and visible: t over all before it on the ray. Sea lies at height 0. observer: the eye's height, or a column that has it."""
     known = samples.filter("h IS NOT NULL").withColumn("sea", F.col("h") < SEA_MAX).withColumn("h", F.when(F.col("sea"), 0.0).otherwise(F.col("h")))
     known = known.withColumn("t", (F.col("h") - geo.curvature_drop(F.col("dist")) - observer) / F.col("dist"))
     before = F.max("t").over(Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
@@ -152,10 +152,10 @@ def lowest_in_band(crest: DataFrame, probes: DataFrame, keys: tuple[str, ...] =
     return met.groupBy(*keys, "id").agg(F.min(F.when(F.col("dist").between(F.col("lo"), F.col("hi")), F.col("angle"))).alias("low"))
 
 
-def sample_tiles(points: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
-    """Adds elev at global pixels (gx, gy) from square tiles (tx, ty, elev array of size * size), bilinear between pixel centres.
+def sample_tiles(points: DataFrame, tiles: DataFrame, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds elev at global pixels (gx, gy) from square tiles (tx, ty, elev array of size * size), bilinear between pixel centres; keys, such as the zoom, are columns of both.
 
-    The world is as wide as the tiles' own `world` column in tiles; x wraps, y is held inside; null where a tile is missing. Four pixels are four rows that meet tiles by equi-join.
+    The world is as wide as the points' own `world` column in tiles; x wraps, y is held inside; null where a tile is missing. Four pixels are four rows that meet tiles by equi-join.
     """
     world = F.col("world") * size
     fx, fy = F.col("gx") - 0.5, F.col("gy") - 0.5
@@ -163,7 +163,7 @@ def sample_tiles(points: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
     four = p.withColumn("_c", F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in (0, 1) for dx in (0, 1)))))
     four = four.withColumns({"_px": F.pmod(F.col("_x") + F.col("_c.dx"), world), "_py": F.col("_y") + F.col("_c.dy")})
     four = four.withColumns({"tx": F.floor(F.col("_px") / size), "ty": F.floor(F.col("_py") / size), "_at": (F.col("_py") % size * size + F.col("_px") % size).cast("int")})
-    met = four.join(tiles, ["tx", "ty"], "left").withColumn("_v", F.get("elev", F.col("_at")))
+    met = four.join(tiles, [*keys, "tx", "ty"], "left").withColumn("_v", F.get("elev", F.col("_at")))
     weight = F.abs(1 - F.col("_c.dx") - F.col("_tx")) * F.abs(1 - F.col("_c.dy") - F.col("_ty"))
     total = F.when(F.count("_v") == 4, F.sum(F.col("_v") * weight))
     return met.groupBy("_id", *points.columns).agg(total.alias("elev")).drop("_id")

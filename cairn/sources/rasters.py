@@ -1,7 +1,7 @@
 """Raster files as DataFrames: GeoTIFF directories, blocks and cells, and Terrarium PNG tiles.
 
-Files are read by Spark (binaryFile); a directory row per image level gives one row for each block, and blocks, not files, are the unit of decoding, so a large file spreads over tasks
-and a window reads the blocks it touches only.
+GeoTIFFs are read by ranges of bytes: their directories in pages, then a row for each block, and blocks, not files, are the unit of reading and decoding. So a file of any size spreads over tasks,
+and a window reads only the blocks that it touches. Executors reach the files through Arrow's file systems (local, HDFS, S3, GCS).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,38 +22,73 @@ SAMPLES = {(16, 1): "<u2", (16, 2): "<i2", (32, 3): "<f4", (64, 3): "<f8"}
 LEVEL = "level int, width int, height int, block_width int, block_height int, compression int, predictor int, sample string, nodata double, pixel double, west double, north double, offsets array<bigint>, counts array<bigint>"
 
 
-def directories(data: bytes) -> list[dict]:
-    """The image levels of a little-endian TIFF or BigTIFF; masks are passed over, what is not supported is an error."""
-    if data[:2] != b"II":
+PAGE = 1 << 16
+
+
+class Pages:
+    """A file read by ranges; what directories take comes in pages that are read once."""
+
+    def __init__(self, path: str):
+        where, place = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+        self.file, self.pages = where.open_input_file(place), {}
+
+    def read(self, at: int, n: int) -> bytes:
+        return self.file.read_at(n, at)
+
+    def unpack(self, kind: str, at: int) -> tuple:
+        n = struct.calcsize(kind)
+        first, last = at // PAGE, (at + max(n, 1) - 1) // PAGE
+        for k in range(first, last + 1):
+            if k not in self.pages:
+                self.pages[k] = self.read(k * PAGE, PAGE)
+        return struct.unpack_from(kind, b"".join(self.pages[k] for k in range(first, last + 1)), at - first * PAGE)
+
+
+class Whole:
+    """The same of bytes in memory."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def unpack(self, kind: str, at: int) -> tuple:
+        return struct.unpack_from(kind, self.data, at)
+
+
+def directories(data) -> list[dict]:
+    """The image levels of a little-endian TIFF or BigTIFF, given as bytes or Pages; masks are passed over, what is not supported is an error. Overviews have the ground of the first level."""
+    data = Whole(data) if isinstance(data, bytes) else data
+    if data.unpack("<2s", 0)[0] != b"II":
         raise ValueError("not a little-endian TIFF")
-    big = {42: False, 43: True}.get(struct.unpack_from("<H", data, 2)[0])
+    big = {42: False, 43: True}.get(data.unpack("<H", 2)[0])
     if big is None:
         raise ValueError("not a TIFF")
     word, entry = ("<Q", 20) if big else ("<I", 12)
-    at, out, seen = struct.unpack_from(word, data, 8 if big else 4)[0], [], set()
+    at, out, seen = data.unpack(word, 8 if big else 4)[0], [], set()
     while at and at not in seen:
         seen.add(at)
-        n = struct.unpack_from("<Q" if big else "<H", data, at)[0]
+        n = data.unpack("<Q" if big else "<H", at)[0]
         at += 8 if big else 2
         tags = {}
         for k in range(n):
             p = at + k * entry
-            tag, kind = struct.unpack_from("<HH", data, p)
-            count = struct.unpack_from("<Q" if big else "<I", data, p + 4)[0]
+            tag, kind = data.unpack("<HH", p)
+            count = data.unpack("<Q" if big else "<I", p + 4)[0]
             if tag not in TAGS or kind not in FIELD:
                 continue
             place = p + (12 if big else 8)
             if struct.calcsize(f"<{count}{FIELD[kind]}") > (8 if big else 4):
-                place = struct.unpack_from(word, data, place)[0]
-            tags[TAGS[tag]] = struct.unpack_from(f"<{count}{FIELD[kind]}", data, place)
-        at = struct.unpack_from(word, data, at + n * entry)[0]
+                place = data.unpack(word, place)[0]
+            tags[TAGS[tag]] = data.unpack(f"<{count}{FIELD[kind]}", place)
+        at = data.unpack(word, at + n * entry)[0]
         one = lambda name, default=None, t=tags: t.get(name, (default,))[0]
         if one("subfile", 0) & 4:
             continue
         sample = SAMPLES.get((one("bits"), one("format", 1)))
         if sample is None or one("samples", 1) != 1 or one("compression", 1) not in (1, 5, 8, 32946) or one("predictor", 1) not in (1, 3):
             raise ValueError("unsupported samples, compression or predictor")
-        scale, tie = tags.get("scale", (float("nan"),) * 2), tags.get("tiepoint", (float("nan"),) * 6)
+        base = out[0] if out else {"pixel": float("nan"), "west": float("nan"), "north": float("nan"), "width": one("width")}
+        scale = tags.get("scale", (base["pixel"] * base["width"] / one("width"),))
+        tie = tags.get("tiepoint", (0, 0, 0, base["west"], base["north"], 0))
         out.append({
             "level": len(out), "width": one("width"), "height": one("height"), "block_width": one("block_width", one("width")), "block_height": min(one("block_height", one("height")), one("height")) if "block_width" not in tags else one("block_height"),
             "compression": one("compression", 1), "predictor": one("predictor", 1), "sample": sample, "nodata": float(tags["nodata"][0].rstrip(b"\0 ")) if "nodata" in tags else None,
@@ -110,28 +146,35 @@ def decode_block(data: bytes, width: int, height: int, compression: int, predict
 
 
 def tiff_levels(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, level...) of every image level of the GeoTIFF files under a path."""
+    """(path, level...) of every image level of the GeoTIFF files under a path; no more than their directories is read."""
 
     def run(batches):
         for part in batches:
-            rows = [{"path": p, "content": c, **d} for p, c in zip(part["path"], part["content"], strict=True) for d in directories(bytes(c))]
+            rows = [{"path": p, **d} for p in part["path"] for d in directories(Pages(p))]
             if rows:
                 yield pd.DataFrame(rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, content binary, {LEVEL}")
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, f"path string, {LEVEL}")
+
+
+def level_for_step(levels: DataFrame, step: float) -> DataFrame:
+    """Of each file the coarsest level whose pixels are no larger than a step, with a hundredth of slack; the first where none is so fine."""
+    fit = F.max(F.when(F.col("pixel") <= step * 1.01, F.struct("pixel", "level"))).alias("fit")
+    chosen = levels.groupBy("path").agg(fit).select("path", F.coalesce("fit.level", F.lit(0)).alias("level"))
+    return levels.join(chosen, ["path", "level"], "left_semi")
 
 
-def tiff_blocks(levels: DataFrame, window: tuple[int, int, int, int] | None = None, level: int = 0) -> DataFrame:
-    """One row per block of a level, cut from its file: with a window (row, col, height, width) only the blocks that it touches."""
+def tiff_blocks(levels: DataFrame, window: tuple[int, int, int, int] | None = None, level: int | None = 0) -> DataFrame:
+    """One row per block of a level (of all given levels if None), spread over tasks: with a window (row, col, height, width) only the blocks that it touches."""
     across = F.ceil(F.col("width") / F.col("block_width")).cast("int")
-    rows = levels.filter(F.col("level") == level).select("*", F.posexplode(F.arrays_zip("offsets", "counts")).alias("k", "b"))
+    rows = (levels if level is None else levels.filter(F.col("level") == level)).select("*", F.posexplode(F.arrays_zip("offsets", "counts")).alias("k", "b"))
     rows = rows.withColumns({"block_row": F.floor(F.col("k") / across).cast("int"), "block_col": (F.col("k") % across).cast("int")})
     if window:
         r, c, h, w = window
         touches = lambda at, size, lo, n: (F.col(at) * F.col(size) < lo + n) & ((F.col(at) + 1) * F.col(size) > lo)
         rows = rows.filter(touches("block_row", "block_height", r, h) & touches("block_col", "block_width", c, w))
-    data = F.expr("substring(content, CAST(b.offsets AS INT) + 1, CAST(b.counts AS INT))")
-    return rows.select("path", "width", "height", "block_width", "block_height", "compression", "predictor", "sample", "nodata", "pixel", "west", "north", "block_row", "block_col", data.alias("data"))
+    rows = rows.select("path", "width", "height", "block_width", "block_height", "compression", "predictor", "sample", "nodata", "pixel", "west", "north", "block_row", "block_col", F.col("b.offsets").alias("offset"), F.col("b.counts").alias("count"))
+    return rows.repartition("path", "block_row")
 
 
 def tiff_cells(blocks: DataFrame) -> DataFrame:
@@ -139,9 +182,10 @@ def tiff_cells(blocks: DataFrame) -> DataFrame:
 
     def run(batches):
         for part in batches:
+            files = {p: Pages(p) for p in part["path"].unique()}
             for b in part.itertuples():
                 rows = min(b.block_height, b.height - b.block_row * b.block_height)
-                z = decode_block(bytes(b.data), b.block_width, b.block_height, b.compression, b.predictor, b.sample, None if pd.isna(b.nodata) else b.nodata)
+                z = decode_block(files[b.path].read(b.offset, b.count), b.block_width, b.block_height, b.compression, b.predictor, b.sample, None if pd.isna(b.nodata) else b.nodata)
                 z = z[:rows, : min(b.block_width, b.width - b.block_col * b.block_width)]
                 r, c = np.indices(z.shape)
                 yield pd.DataFrame({"path": b.path, "row": (r + b.block_row * b.block_height).ravel().astype(np.int32), "col": (c + b.block_col * b.block_width).ravel().astype(np.int32), "z": z.ravel()})

@@ -30,6 +30,14 @@ def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("grid", "row", "col", "id", F.when(F.col("id") % 997 == 13, None).when(lake, 1480.0).otherwise(slope).alias("z"))
 
 
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(te, tn, west, north, width, height, data): the rasters as tiles of ground, one in each square kilometre."""
+    z = F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "z"))), lambda x: x["z"])
+    by = dem(spark, sf_dir).groupBy("grid").agg(z.alias("data"))
+    whole = by.filter(F.size("data") == WIDTH * HEIGHT)
+    return whole.select((F.col("grid") + int(E0 // 1000)).alias("te"), F.lit(int(N0 // 1000) - 1).cast("long").alias("tn"), (E0 + F.col("grid") * 1000).alias("west"), F.lit(N0).alias("north"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), "data")
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grid, line, seq, e, n): points of way lines, a few in each grid."""
     k = F.col("o_orderkey")
