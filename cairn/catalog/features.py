@@ -125,6 +125,12 @@ def sm06_in_flight(spark, sf_dir):
     return requests.first_requests(table(spark, sf_dir, "events"), "1 hour").select("user_id", "event_type", "event_id")
 
 
+def sm02_coalesced(spark, sf_dir):
+    """Which requests of each user run when one at a time takes two hours and only the newest waits."""
+    out = requests.coalesced(table(spark, sf_dir, "events"), 7200.0)
+    return out.select("user_id", "event_id", F.col("started").isNotNull().alias("runs"))
+
+
 def st01_union(spark, sf_dir):
     """Layers of several services as one, tagged by service."""
     a = table(spark, sf_dir, "supplier").select(F.lit("a").alias("layer"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
@@ -212,4 +218,4 @@ SQL = {
         c AS (SELECT scene, az, count(*) FILTER (az BETWEEN lo AND hi OR az - 360 BETWEEN lo AND hi OR az + 360 BETWEEN lo AND hi) AS cost FROM e, g GROUP BY scene, az) SELECT scene, az, cost FROM c QUALIFY row_number() OVER (PARTITION BY scene ORDER BY cost, least(az, 360 - az), az) = 1""",
     "tk06_limit": "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%a%' ORDER BY length(p_name), p_partkey LIMIT 6",
 }
-QUERIES = {n: globals()[n] for n in (*SQL, "hz05_link", "vr13_stitch", "tk03_labels")}
+QUERIES = {n: globals()[n] for n in (*SQL, "hz05_link", "vr13_stitch", "tk03_labels", "sm02_coalesced")}

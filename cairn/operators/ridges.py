@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from .staging import written
 
 #: Relative distance and angle (degrees) within which crests link; span of a ridge (degrees).
 NEAR, LEVEL, SPAN = 0.06, 0.3, 0.5
+#: More than there are crests on a ray.
+CRESTS = 100_000
 
 
 def links(crest: DataFrame, rays: int) -> DataFrame:
@@ -24,13 +27,16 @@ def links(crest: DataFrame, rays: int) -> DataFrame:
     met = met.withColumn("cost", F.col("rel") / NEAR + F.col("turn") / LEVEL).select("scene", "ray", "ray2", "seq", "seq2", "cost").withColumn("block", F.floor(F.col("ray") / 16))
 
     def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, keep = set(), set(), []
-        for row in part.sort_values(["ray", "cost", "seq2", "seq"], kind="stable").itertuples():
-            if (row.ray, row.seq) not in used_a and (row.ray, row.seq2) not in used_b:
-                used_a.add((row.ray, row.seq))
-                used_b.add((row.ray, row.seq2))
-                keep.append(row.Index)
-        out = part.loc[keep, ["scene", "ray", "seq", "ray2", "seq2"]]
+        part = part.sort_values(["ray", "cost", "seq2", "seq"], kind="stable")
+        from_, to = (part["ray"].to_numpy(np.int64) * CRESTS + part[c].to_numpy(np.int64) for c in ("seq", "seq2"))
+        left, keep = np.arange(len(part)), []
+        while len(left):  # the first link of both its crests is sure; links of crests that have one go
+            a, b = from_[left], to[left]
+            first = np.zeros(len(left), bool)
+            first[np.intersect1d(np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1])] = True
+            keep.append(left[first])
+            left = left[~np.isin(a, a[first]) & ~np.isin(b, b[first])]
+        out = part.iloc[np.concatenate(keep)][["scene", "ray", "seq", "ray2", "seq2"]]
         return out.set_axis(["scene", "ray", "seq", "next_ray", "next_seq"], axis=1)
 
     return met.groupBy("scene", "block").applyInPandas(greedy, "scene long, ray int, seq int, next_ray int, next_seq int")
@@ -39,9 +45,13 @@ def links(crest: DataFrame, rays: int) -> DataFrame:
 def _heads(nodes: DataFrame, prev: DataFrame, rounds: int) -> DataFrame:
     """(scene, id, head, place): the first node of each path and the steps to it, by pointer doubling; prev(scene, id, prev) has one row at most for an id, and no cycles."""
     at = nodes.join(prev, ["scene", "id"], "left").select("scene", "id", F.coalesce("prev", "id").alias("head"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("place"))
+    steps = None
     for _ in range(rounds):
         far = at.select("scene", F.col("id").alias("head"), F.col("head").alias("head2"), F.col("place").alias("place2"))
         at = written(at.join(far, ["scene", "head"]).select("scene", "id", F.col("head2").alias("head"), (F.col("place") + F.col("place2")).alias("place")), "heads")
+        before, steps = steps, at.agg(F.sum("place")).first()[0]
+        if steps == before:
+            break
     return at
 
 
@@ -51,7 +61,7 @@ def ridgelines(crest: DataFrame, rays: int) -> DataFrame:
     Chains run from ray 0 up; a chain that ends on the last ray goes on in the one that it links to on ray 0, unless that is itself. In a circle of several chains the lowest comes first.
     """
     crest = written(crest.select("scene", F.col("ray").cast("int").alias("ray"), F.col("seq").cast("int").alias("seq"), "dist", "angle"), "crests")
-    number = lambda ray, seq: (F.col(ray).cast("long") * 100_000 + F.col(seq)).alias("id")
+    number = lambda ray, seq: (F.col(ray).cast("long") * CRESTS + F.col(seq)).alias("id")
     link = written(links(crest, rays), "links")
     nodes = crest.select("scene", number("ray", "seq"))
     prev = link.filter("next_ray > 0").select("scene", number("next_ray", "next_seq"), number("ray", "seq").alias("prev"))
@@ -66,6 +76,8 @@ def ridgelines(crest: DataFrame, rays: int) -> DataFrame:
     for _ in range(rounds):
         step = low.select("scene", F.col("id").alias("prev"), F.col("prev").alias("prev2"), F.col("low").alias("seen"))
         low = written(low.join(step, ["scene", "prev"], "left").select("scene", "id", F.coalesce("prev2", F.lit(-1)).alias("prev"), F.least("low", F.coalesce("seen", "low")).alias("low")), "lows")
+        if not low.filter("prev >= 0").limit(1).count():  # no circle
+            break
     circle = low.filter("prev >= 0 AND id = low").select("scene", "id")
     over = over.join(circle, ["scene", "id"], "left_anti")
     joined = _heads(size.select("scene", F.col("head").alias("id")), over, rounds)

@@ -115,6 +115,17 @@ def latest_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return rows.withColumn("_o", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_o = 1").drop("_o")
 
 
+def catalogue_pages(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """The pages of a catalogue under a path, a JSON answer each (features, links), as items (seq, id, assets) in the order of pages by their file names, and the paths of pages that are no answer,
+    which are to be read again: nothing of them counts."""
+    item = "STRUCT<id: STRING, assets: MAP<STRING, STRUCT<href: STRING, type: STRING, `eo:gsd`: DOUBLE>>>"
+    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", f"features ARRAY<{item}>, links ARRAY<STRUCT<rel: STRING, href: STRING>>").alias("page"))
+    good = raw.filter("page.features IS NOT NULL").select("path", F.posexplode("page.features").alias("k", "f"))
+    asset = lambda _, a: F.struct(a["href"].alias("href"), a["type"].alias("type"), a["eo:gsd"].alias("gsd"))
+    items = good.select(F.struct("path", "k").alias("seq"), "f.id", F.transform_values("f.assets", asset).alias("assets"))
+    return items, raw.filter("page.features IS NULL").select("path")
+
+
 def latest_assets(items: DataFrame, gsd: float) -> DataFrame:
     """Catalogue items (seq, id, assets map of name to struct<href, type, gsd>) to the newest asset of each tile: tile, year, href; the first item on a tie."""
     found = F.get(F.filter(F.map_values("assets"), lambda a: a["type"].contains("geotiff") & (a["gsd"] == gsd)), F.lit(0))

@@ -7,6 +7,7 @@ and a window reads only the blocks that it touches. Executors reach the files th
 from __future__ import annotations
 
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -243,15 +244,29 @@ def png_pixels(data: bytes) -> np.ndarray:
     return out[1:, 1:]
 
 
-def terrarium_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """(z, x, y, elev array<float>) of Terrarium tiles stored as .../z/x/y.png, each tile once."""
+def terrarium_tiles(spark: SparkSession, path: str, wanted: DataFrame | None = None, retries: int = 2) -> DataFrame:
+    """(z, x, y, elev array<float>) of Terrarium tiles stored as .../z/x/y.png, each tile once; with wanted (z, x, y), only those, and no other is read. A read that fails is tried again, after 500 ms, 1 s and so on."""
 
     def run(batches):
         for part in batches:
-            elev = [(p[..., 0] * 256.0 + p[..., 1] + p[..., 2] / 256.0 - 32768).astype(np.float32).ravel() for p in (png_pixels(bytes(c)).astype(np.float64) for c in part["content"])]
-            yield pd.DataFrame({"path": part["path"], "elev": elev})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path).select("path", "content")
+            elev = []
+            for p in part["path"]:
+                for k in range(retries + 1):
+                    try:
+                        pages = Pages(p)
+                        data = pages.read(0, pages.file.size())
+                        break
+                    except OSError:
+                        if k == retries:
+                            raise
+                        time.sleep(0.5 * 2**k)
+                c = png_pixels(data).astype(np.float64)
+                elev.append((c[..., 0] * 256.0 + c[..., 1] + c[..., 2] / 256.0 - 32768).astype(np.float32).ravel())
+            yield part.assign(elev=elev).drop(columns="path")
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path).select("path")
     key = lambda k: F.regexp_extract("path", r"([0-9]+)/([0-9]+)/([0-9]+)\.png$", k).cast("int")
-    tiles = files.mapInPandas(run, "path string, elev array<float>")
-    return tiles.select(key(1).alias("z"), key(2).alias("x"), key(3).alias("y"), "elev").dropDuplicates(["z", "x", "y"])
+    files = files.select(key(1).alias("z"), key(2).alias("x"), key(3).alias("y"), "path").dropDuplicates(["z", "x", "y"])
+    if wanted is not None:
+        files = files.join(wanted.select("z", "x", "y").distinct(), ["z", "x", "y"], "left_semi")
+    return files.mapInPandas(run, "z int, x int, y int, elev array<float>")

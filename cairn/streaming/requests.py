@@ -5,6 +5,8 @@ Each operator has a batch form over a table and a form over a stream with a wate
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,43 @@ def first_requests(events: DataFrame, span: str) -> DataFrame:
     return events.groupBy("user_id", "event_type", F.window("ts", span)).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")).drop("window")
 
 
+def coalesced(events: DataFrame, seconds: float) -> DataFrame:
+    """(user_id, event_id, started): a queue of one place for each user, whose requests take so many seconds. While one runs, the newest that came waits and all before it are answered with nothing
+    (started null); the waiting one starts when the running one ends. Rows stream through a task in order, so that no user's requests are held."""
+    took = np.timedelta64(int(seconds * 1e6), "us")
+
+    def run(batches):
+        user, free, waiting = None, None, None
+        for batch in batches:
+            rows, users = [], batch.column("user_id").to_pylist()
+            for u, e, at in zip(users, batch.column("event_id").to_pylist(), batch.column("ts").to_numpy(zero_copy_only=False).astype("datetime64[us]"), strict=True):
+                if u != user:
+                    if waiting is not None:
+                        rows.append((user, waiting, free))
+                    user, free, waiting = u, None, None
+                if waiting is not None and at >= free:  # it started when the one before ended
+                    rows.append((user, waiting, free))
+                    free, waiting = free + took, None
+                if free is None or at >= free:
+                    rows.append((user, e, at))
+                    free = at + took
+                else:
+                    if waiting is not None:
+                        rows.append((user, waiting, None))
+                    waiting = e
+            yield _queued(rows)
+        if waiting is not None:
+            yield _queued([(user, waiting, free)])
+
+    own = events.select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts")).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return own.mapInArrow(run, "user_id long, event_id long, started timestamp_ntz")
+
+
+def _queued(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"user_id": pa.int64(), "event_id": pa.int64(), "started": pa.timestamp("us")}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+
 def unstale(replies: DataFrame) -> DataFrame:
     """Replies (user_id, seq, ...) that answer the newest request of their user."""
     return replies.withColumn("_m", F.max("seq").over(Window.partitionBy("user_id"))).filter("seq = _m").drop("_m")
