@@ -16,7 +16,6 @@ from cairn.llm.shared import carried, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text that is mostly in no language: under this evidence, over its letters, for the likeliest language of each word.
 LEAST_LANGUAGE = 0.4
-PII_SCORE = 0.5
 FRACTION = 0.5
 
 
@@ -34,24 +33,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8) stays, the one of smallest doc_id; repeated rows of it count once."""
+    """One document of each group of near-duplicates (five words, similarity 0.8) stays, the one of smallest doc_id; repeated rows of it count once. Rows without doc_id stay, as in all stages."""
     found = neardup.near_duplicates(docs, words=5, percent=80)
     kept = docs.select(*COLUMNS).join(found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind in brackets; n_chars follows."""
+    """Spans of personal data whose score reaches pii.LEAST are replaced by their kind in brackets; n_chars follows. A null text stays null."""
 
     def run(text):
-        return [pa.array([pii.redact(t, pii.find(t), PII_SCORE) if t else t for t in text.to_pylist()], pa.string())]
+        return [pa.array([pii.redact(t, pii.find(t), pii.LEAST) if t else t for t in text.to_pylist()], pa.string())]
 
     out = carried(docs.select(*COLUMNS), run, {"text": "string"})
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to the target shares of sources, languages and topics, those without doc_id too; FRACTION of the tokens are expected to stay."""
+    """Documents are sampled to the target shares of sources, languages and topics, those without doc_id too, by a hash of their text; FRACTION of the tokens are expected to stay. Nulls in source or lang are a name of their own."""
     drawn = mixing.mix(docs, fraction=FRACTION, carry=COLUMNS).filter("sampled")
     return drawn.select(*(F.col(mixing.CARRIED + c).alias(c) for c in COLUMNS))
 
