@@ -147,6 +147,21 @@ def src02_terrarium(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", (k % 256 * 256 + k * 7 % 256 + k * 13 % 256 / 256.0 - 32768).alias("elev"))
 
 
+def js14_urls(spark, sf_dir):
+    """Addresses of feature queries around points; every third has no layer."""
+    k = F.col("c_custkey")
+    west, south = k % 300 * 0.5, k % 90 * 0.25
+    box = text.box_text(west, south, west + 0.5, south + 0.25)
+    url = text.query_url("https://example.org/query", {"bbox": box, "layer": F.when(k % 3 > 0, F.concat(F.lit("a/b&c"), k)), "f": F.lit("json")})
+    return table(spark, sf_dir, "customer").select("c_custkey", url.alias("url"))
+
+
+def snk03_settings(spark, sf_dir):
+    """Sanitised settings as the JSON that is stored."""
+    s = js12_settings(spark, sf_dir)
+    return s.select("event_id", F.to_json(F.struct("slope", "near", "area")).alias("json"))
+
+
 def src23_blocks(spark, sf_dir):
     """Blocks of 1 MiB that a closed byte range touches, and the bytes of each."""
     k, size = F.col("event_id"), 1 << 20
@@ -256,6 +271,7 @@ SQL = {
     "js12_settings": """WITH x AS (SELECT event_id, event_id % 7 AS c, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 99 WHEN 2 THEN NULL ELSE event_id % 20 END AS s, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 250 ELSE event_id % 3000 - 1500 END AS n,
         CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 3 ELSE event_id % 5 END AS a FROM events), y AS (SELECT *, CASE WHEN s IS NULL THEN 5.0::DOUBLE ELSE least(15, greatest(1, s))::DOUBLE END AS slope FROM x)
         SELECT event_id, slope, greatest(2 * slope, slope + 3) AS slope_max, CASE WHEN n IS NULL THEN 300 ELSE least(1000, greatest(-1000, n)) END::DOUBLE AS near, CASE WHEN a IN (1, 2, 4) THEN a ELSE 2 END::DOUBLE AS area FROM y""",
+    "js14_urls": """WITH c AS (SELECT c_custkey, c_custkey % 300 * 0.5::DOUBLE AS w, c_custkey % 90 * 0.25::DOUBLE AS s FROM customer) SELECT c_custkey, 'https://example.org/query?bbox=' || w || '%2C' || s || '%2C' || (w + 0.5::DOUBLE) || '%2C' || (s + 0.25::DOUBLE) || CASE WHEN c_custkey % 3 > 0 THEN '&layer=a%2Fb%26c' || c_custkey ELSE '' END || '&f=json' AS url FROM c""",
     "js15_hash": """WITH a AS (SELECT event_id, xor((event_id::HUGEINT * 2654435761 % 4294967296)::BIGINT, (user_id::HUGEINT * 2246822519 % 4294967296)::BIGINT) AS h FROM events),
         b AS (SELECT event_id, (xor(h, h >> 15)::HUGEINT * 739982445 % 4294967296)::BIGINT AS h FROM a), c AS (SELECT event_id, (xor(h, h >> 12)::HUGEINT * 695872825 % 4294967296)::BIGINT AS h FROM b)
         SELECT event_id, xor(h, h >> 15) AS h, round(xor(h, h >> 15) / 4294967296.0::DOUBLE, 9) AS u FROM c""",
@@ -266,4 +282,5 @@ SQL = {
     "src23_blocks": """WITH x AS (SELECT event_id, event_id * 1000 AS a, event_id * 1000 + event_id % 5 * 900000 AS b FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0), y AS (SELECT *, unnest(range(a // 1048576, b // 1048576 + 1)) AS block FROM x)
         SELECT event_id, block, greatest(a, block * 1048576) - block * 1048576 AS first, least(b, block * 1048576 + 1048575) - block * 1048576 AS last FROM y""",
 }
+SQL["snk03_settings"] = f"""SELECT event_id, '{{"slope":' || slope || ',"near":' || near || ',"area":' || area || '}}' AS json FROM ({SQL["js12_settings"]})"""
 QUERIES = {n: globals()[n] for n in SQL}

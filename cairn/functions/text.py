@@ -129,3 +129,14 @@ def palette_colour(colours: list[tuple[int, int, int]], t: Column) -> Column:
     x = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t)) * (len(colours) - 1)
     i = F.least(F.lit(len(colours) - 2), F.floor(x)).cast("int")
     return F.zip_with(F.get(stops, i), F.get(stops, i + 1), lambda a, b: a + (b - a) * (x - i))
+
+
+def query_url(base: str, parts: dict[str, Column]) -> Column:
+    """An address with its parameters in the order given, each value percent-encoded; a null value has no parameter."""
+    pairs = [F.concat(F.lit(f"{name}="), F.url_encode(value.cast("string"))) for name, value in parts.items()]
+    return F.concat(F.lit(f"{base}?"), F.concat_ws("&", *pairs))
+
+
+def box_text(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """The four sides of a box as services take them."""
+    return F.concat_ws(",", *(c.cast("string") for c in (west, south, east, north)))

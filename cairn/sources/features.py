@@ -64,6 +64,19 @@ def named_peaks(elements: DataFrame) -> DataFrame:
     return elements.filter("type = 'node' AND lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon", name.alias("name"), parse_elevation(F.col("tags")["ele"]).alias("ele")).filter("name <> ''")
 
 
+GEOJSON = "results ARRAY<STRUCT<layerBodId: STRING, id: BIGINT, geometry: STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>, properties: MAP<STRING, STRING>>>"
+ESRI = "features ARRAY<STRUCT<attributes: MAP<STRING, STRING>, geometry: STRUCT<rings: ARRAY<ARRAY<ARRAY<DOUBLE>>>>>>, error STRUCT<message: STRING>"
+
+
+def answers(spark, folders: dict[str, str], schema: str) -> DataFrame:
+    """JSON answers of several services or layers (name to folder, a file each) as one table with the name in `layer`; a file that is no such answer has nulls, and its layer is there all the same."""
+    out = None
+    for layer, folder in folders.items():
+        raw = spark.read.option("wholetext", "true").text(folder).select(F.lit(layer).alias("layer"), F.from_json("value", schema).alias("a")).select("layer", "a.*")
+        out = raw if out is None else out.unionByName(raw)
+    return out
+
+
 def protected_areas(results: DataFrame, layers: DataFrame, month: Column, day: Column) -> DataFrame:
     """results(id, layer, has_geometry, properties map) joined with layers(layer, kind, restricts), which are few: id, layer, kind, name, rule, period, in_force, restricts. Unknown layers and lines fall out."""
     p = F.col("properties")

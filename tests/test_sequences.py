@@ -143,3 +143,12 @@ def test_only_wanted_tiles_are_read(spark, tmp_path):
     wanted = spark.createDataFrame([(5, 3, 1), (5, 3, 1), (5, 3, 9), (4, 3, 1)], "z int, x int, y int")
     got = rasters.terrarium_tiles(spark, str(tmp_path), wanted).collect()
     assert [(r["z"], r["x"], r["y"], r["elev"]) for r in got] == [(5, 3, 1, [1.0])]
+
+
+def test_answers_of_several_layers(spark, tmp_path):
+    for name, text in {"a/1.json": {"results": [{"layerBodId": "l1", "id": 3, "properties": {"name": "X"}}, {"layerBodId": "l1", "id": 4}]}, "b/1.json": {"results": []}, "b/2.json": "busy"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text if isinstance(text, str) else json.dumps(text))
+    out = features.answers(spark, {k: str(tmp_path / k) for k in "ab"}, features.GEOJSON).collect()
+    assert sorted((r["layer"], [x["id"] for x in r["results"] or ()]) for r in out) == [("a", [3, 4]), ("b", []), ("b", [])]
+    assert sum(r["results"] is None for r in out) == 1
