@@ -16,16 +16,16 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import new_path, slices, written
 
 TABLE_WORDS = 1_000_000
-#: Text of a part, about, and documents that are read at a time.
-PART_BYTES, READ_DOCUMENTS = 64 << 20, 4096
+#: Documents of a part, about, and documents that are read at a time.
+PART_DOCUMENTS, READ_DOCUMENTS = 1 << 18, 4096
 #: Marks that stand apart from a letter before them.
 TAIL = ".,!?#%*&$"
 #: Words of letters that stay one letter each in lower case: the library takes each of them as one word.
@@ -140,46 +140,86 @@ def _reader(folder: str, name: str, dtype):
     return lambda a, b: np.frombuffer(file.read_at((b - a) * size, a * size), dtype)
 
 
+class Parts:
+    """The part of each row: doc_ids between two cuts share one; a doc_id of which several cuts came out is hot and has as many parts more, dealt by a hash of the ids; so are nulls, which come first."""
+
+    def __init__(self, cuts: list[float], nulls: int):
+        self.nulls = nulls
+        self.cuts, many = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.more = np.append(np.where(many > 1, many, 0), 0)
+        self.base = nulls + np.concatenate([[0], np.cumsum(1 + self.more)[:-1]])
+
+    def of(self, doc_id: pa.Array, ids: list[bytes]) -> np.ndarray:
+        null = doc_id.is_null().to_numpy(zero_copy_only=False)
+        value = doc_id.fill_null(0).to_numpy()
+        at = np.searchsorted(self.cuts, value)
+        hot = (self.more[at] > 0) & (value == np.append(self.cuts, 0)[at])
+        out = self.base[at]
+        for i in np.flatnonzero(null | hot).tolist():
+            mark = zlib.crc32(ids[i])
+            out[i] = mark % self.nulls if null[i] else out[i] + 1 + mark % self.more[at[i]]
+        return out
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, folder: str | None = None, parts: int | None = None) -> list[tuple[str, str, int, int, str]]:
-    """Writes the ids of all documents in ascending doc_id order (nulls first; rows of one doc_id by a hash of their text) and returns the parts in order: (folder, name, base, documents, dtype).
+    """Writes the ids of all documents in ascending doc_id order (nulls first; rows of one doc_id by a hash of their ids) and returns the parts in order: (folder, name, base, documents, dtype).
 
-    A null or empty text has no ids of its own. The list has an entry for each file, not for each document. Parts are ranges of doc_id, and of the hash where many rows have one, of about PART_BYTES
-    of text, at least one for each shuffle partition. An empty table has no parts.
+    A null or empty text has no ids of its own. The list has an entry for each file, not for each document. There are about `parts` parts, by default one for each PART_DOCUMENTS documents
+    and at least one for each shuffle partition. An empty table has no parts.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if parts is None:
-        size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    documents, known = own.agg(F.count("*"), F.count("doc_id")).first()
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents // PART_DOCUMENTS))
+    cuts = own.select("doc_id").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts)) if known else []
+    dealt = Parts(cuts, -(-(documents - known) * parts // max(1, documents)))
     dtype = np.dtype(word_table(tokenizer).dtype).str
-    order = (F.asc_nulls_first("doc_id"), F.asc("h"))
-    rows = own.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    row = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
     schema = pa.schema([("part", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
-    def write(batches):
-        table, part, file = word_table(tokenizer), TaskContext.get().partitionId(), None
-        end = [] if end_id is None else [end_id]
-        sizes, ids, nulls = [], [], []
+    def encode(batches):
+        table = word_table(tokenizer)
+        end = np.array([] if end_id is None else [end_id], table.dtype)
         for batch in slices(batches):
-            flat, many = table.encode_batch([t or "" for t in batch.column("text").to_pylist()])
-            if end:
-                flat, many = np.insert(flat, np.cumsum(many), end), many + 1
-            file = file or _File(folder, f"part-{part:06d}.bin")
-            file.stream.write(flat.astype(dtype).tobytes())
-            doc = batch.column("doc_id")
-            sizes.append(many)
-            ids.append(doc.fill_null(0).to_numpy())
-            nulls.append(doc.is_null().to_numpy(zero_copy_only=False))
-        if file:
+            flat, sizes = table.encode_batch([t or "" for t in batch.column("text").to_pylist()])
+            at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            ids = [np.append(flat[a:b], end).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(dealt.of(batch.column("doc_id"), ids), pa.int32()), batch.column("doc_id"), pa.array(ids, pa.binary())], schema=row)
+
+    def write(batches):
+        size, now = np.dtype(dtype).itemsize, None
+        file, sizes, ids, nulls = None, [], [], []
+
+        def close() -> pa.RecordBatch:
             at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
-            _put(folder, f"part-{part:06d}.idx", at.tobytes())
-            _put(folder, f"part-{part:06d}.doc", np.concatenate(ids).astype("<i8").tobytes())
-            _put(folder, f"part-{part:06d}.nul", np.concatenate(nulls).astype("u1").tobytes())
+            _put(folder, f"part-{now:06d}.idx", at.tobytes())
+            _put(folder, f"part-{now:06d}.doc", np.concatenate(ids).astype("<i8").tobytes())
+            _put(folder, f"part-{now:06d}.nul", np.concatenate(nulls).astype("u1").tobytes())
             file.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(at) - 1], pa.int64()), pa.array([at[-1]], pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(at) - 1], pa.int64()), pa.array([at[-1]], pa.int64())], schema=schema)
+
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if part[a] != now:
+                    if file:
+                        yield close()
+                    now, sizes, ids, nulls = int(part[a]), [], [], []
+                    file = _File(folder, f"part-{now:06d}.bin")
+                doc, flat = batch.column("doc_id").slice(a, b - a), batch.column("ids").slice(a, b - a)
+                file.stream.write(b"".join(flat.to_pylist()))
+                sizes.append(pc.binary_length(flat).to_numpy() // size)
+                ids.append(doc.fill_null(0).to_numpy())
+                nulls.append(doc.is_null().to_numpy(zero_copy_only=False))
+        if file:
+            yield close()
 
-    totals = written(rows.select("doc_id", "text").mapInArrow(write, "part int, documents long, tokens long"), "parts").orderBy("part").collect()
+    rows = own.mapInArrow(encode, "part int, doc_id long, ids binary").repartition(parts, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
+    totals = written(rows.mapInArrow(write, "part int, documents long, tokens long"), "parts").orderBy("part").collect()
     bases = [0, *accumulate(r["tokens"] for r in totals)]
     return [(folder, f"part-{r['part']:06d}", base, r["documents"], dtype) for r, base in zip(totals, bases, strict=False)]
 
