@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 QUERY_BLOCK, BLOCK = 4096, 2048
 #: Components whose products of int8 numbers sum to less than 2**24, up to which float32 holds whole numbers exactly.
 EXACT = 1024
@@ -122,7 +124,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query.cast("boolean"), F.lit(False)).alias("asked"))
-    own = own.filter("vec_id IS NOT NULL").dropDuplicates(["vec_id"])
+    own = written(own.filter("vec_id IS NOT NULL").dropDuplicates(["vec_id"]), "vectors")  # a plain table, so that Spark can split the join of a vector that is near many queries
     asked = own.filter("asked").select("vec_id", "embedding")
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
     lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
