@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import labels, ridges
-from ..sources import features, views
+from ..sources import features
 from ..sources.views import table
 from ..streaming import requests
 from . import rays
