@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -143,9 +143,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                     kept = first_copies(ids, v, k)
                     yield _packed(0, ids[kept], v[kept])
 
+    # Of equal vectors the k + 1 of smallest ids can be among a query's k nearest; Spark keeps as many of each task before the shuffle, so that a vector of very many rows is no task's and no query's.
+    copy = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    few = own.select("vec_id", "embedding").withColumn("copy", copy).filter(F.col("copy") <= k + 1).drop("copy")
     queries = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).repartition(groups, "q").mapInArrow(pack_queries, BLOCKS_DDL)
     queries = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    blocks = own.select("vec_id", "embedding").mapInArrow(pack, BLOCKS_DDL).select("width", *(F.col(c).alias("c_" + c) for c in ("ids", "rows", "scales", "errors")), F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q"))
+    blocks = few.mapInArrow(pack, BLOCKS_DDL).select("width", *(F.col(c).alias("c_" + c) for c in ("ids", "rows", "scales", "errors")), F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q"))
     tiles = blocks.join(queries.hint("shuffle_hash"), ["q", "lane", "width"])
 
     def multiply(batches):
