@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bayes_quality, bpe, langid, mixing, neardup, pii, quality_rules, site_tree, token_files
+from . import ann, bayes_quality, bpe, langid, mixing, neardup, pii, quality_rules, runs, secrets, site_tree, token_files
 
 #: Statements for a SQL engine; the other operators have no SQL form and are tested against brute force.
 SQL: dict[str, str] = {
@@ -20,6 +23,7 @@ SQL: dict[str, str] = {
     "op6_nearest_vectors": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
     p AS (SELECT q.vec_id AS query_id, c.vec_id, least(1.0::DOUBLE, greatest(-1.0::DOUBLE, list_dot_product(q.e, c.e) / (q.n * c.n))) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id WHERE q.n > 0 AND c.n > 0),
     r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p) SELECT * FROM r WHERE rank <= 5""",
+    "op12_secrets": secrets.sql(),
 }
 
 
@@ -87,4 +91,33 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_main_text, op3_personal_data, op4_near_duplicates, op5_quality_rules, op6_nearest_vectors, op7_token_files, op8_quality_classifier, op9_mixing, op10_bpe_round_trip)}
+def planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The order of words in which one document in ten repeats itself from some word on."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate([np.arange(a), a + np.arange(n - a) % p])
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(table(spark, sf_dir, "documents"), order=planted)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.floor(1000 * F.col("r.length") / -F.col("r.period")).cast("long")
+    return out.select("doc_id", "n_runs", (-F.col("r.start")).alias("start"), F.col("r.length").alias("length"), (-F.col("r.period")).alias("period"), exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    linked = F.size(F.filter("spans", lambda s: s["linked"])).cast("long").alias("n_linked")
+    return found.select("doc_id", *(count(k) for k in secrets.ORDER), linked, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_main_text, op3_personal_data, op4_near_duplicates, op5_quality_rules, op6_nearest_vectors, op7_token_files, op8_quality_classifier, op9_mixing, op10_bpe_round_trip, op11_runs, op12_secrets)}
