@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bayes_quality, bpe, langid, mixing, neardup, pii, quality_rules, runs, secrets, site_tree, token_files
+from . import alignment, ann, bayes_quality, bpe, langid, mixing, neardup, pii, quality_rules, runs, secrets, site_tree, token_files
 
 #: Statements for a SQL engine; the other operators have no SQL form and are tested against brute force.
 SQL: dict[str, str] = {
@@ -120,4 +120,9 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in secrets.ORDER), linked, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_main_text, op3_personal_data, op4_near_duplicates, op5_quality_rules, op6_nearest_vectors, op7_token_files, op8_quality_classifier, op9_mixing, op10_bpe_round_trip, op11_runs, op12_secrets)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return alignment.scores(found).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_main_text, op3_personal_data, op4_near_duplicates, op5_quality_rules, op6_nearest_vectors, op7_token_files, op8_quality_classifier, op9_mixing, op10_bpe_round_trip, op11_runs, op12_secrets, op13_alignment)}

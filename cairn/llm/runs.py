@@ -6,7 +6,7 @@ distance merge into a run, which is then drawn out word by word to both sides. A
 nothing is missed. Squares whose period is a multiple of a known run's lie within that run (Fine and Wilf) and are dropped before they are counted, so periods are smallest ones.
 
 All texts of an Arrow batch are appended as one stream with a mark of its own between texts, which no suffix can cross, and the comparisons of all words of a level are one array operation: time is
-words x log(words of the longest text). Suffixes are compared by 64-bit names made of two names of half the length; what is reported is confirmed word by word.
+words x log(words of the longest text). Suffixes are compared by 64-bit names made of two names of half the length; every hit is confirmed word by word.
 """
 
 from __future__ import annotations
@@ -120,6 +120,11 @@ def squares(stream, place, catcher, shift, block, times, known):
     start, period = catcher * block, block + shift
     new = ~known.holds(place[start], place[start] + period + block)
     start, period = start[new], period[new]
+    inside = start + period + block <= len(stream)
+    start, period = start[inside], period[inside]
+    at = ranges(start, np.full(len(start), block))  # names may be equal by chance
+    same = (stream[at] == stream[at + np.repeat(period, block)]).reshape(-1, block).all(1)
+    start, period = start[same], period[same]
     if not len(start):
         return None
     order = np.lexsort((start, period))
@@ -134,11 +139,6 @@ def squares(stream, place, catcher, shift, block, times, known):
     start, many = start - left, many + left + right
     long = many >= (times - 1) * period
     start, period, many = start[long], period[long], many[long]
-    at = ranges(start, many)
-    wrong = np.flatnonzero(stream[at] != stream[at + np.repeat(period, many)])
-    if len(wrong):  # names that are equal by chance
-        bad = np.unique(np.searchsorted(np.cumsum(many), wrong, "right"))
-        start, period, many = (np.delete(x, bad) for x in (start, period, many))
     return (place[start], place[start] + many + period, period) if len(start) else None
 
 

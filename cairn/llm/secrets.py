@@ -112,7 +112,7 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
     secret = F.col("kind").isin(*(k for k, r in ROLE.items() if r == "secret"))
     rows = rows.select("row", "doc_id", "kind", "start", "end", "rank", F.when(secret, near("id", "endpoint")).otherwise(near("secret")).alias("linked"))
-    kept = (F.col("rank") > 0) & (~F.col("kind").isin(*WEAK) | F.col("linked"))
+    kept = F.col("kind").isin(*ORDER) & (~F.col("kind").isin(*WEAK) | F.col("linked"))
     span = F.when(kept, F.struct("start", "rank", "kind", "end", "linked"))
     out = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(span)).alias("spans"))
     return out.select("doc_id", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["linked"].alias("linked"))).alias("spans"))
