@@ -32,12 +32,16 @@ def _probes(spark, sf_dir):
     return views.table(spark, sf_dir, "events").select((k % 2).cast("long").alias("grid"), k.alias("id"), (views.E0 + k * 17 % 2000 / 10.0 + 0.05).alias("e"), (views.N0 - k * 31 % 2000 / 10.0 - 0.05).alias("n"))
 
 
-def src13_windows(spark, sf_dir):
-    """Windows of 40 m around places, some beyond the ground that there is, from tiles of a square kilometre."""
+def place_windows(spark, sf_dir):
+    """Windows of 40 m around places, some beyond the ground that there is."""
     k = F.col("s_suppkey")
     places = views.table(spark, sf_dir, "supplier").select(k.alias("grid"), (k % views.grids(spark, sf_dir) * 1000 + views.E0 + k * 71 % 230 - 15).alias("east"), (views.N0 - k * 43 % 230 + 15).alias("north"))
-    windows = places.select("grid", *(c.alias(n) for n, c in terrain.window_bounds(F.col("east"), F.col("north"), 20.0, views.CELL).items()))
-    return terrain.load_windows(windows, views.tiles(spark, sf_dir), views.CELL).select(*L("grid", "row", "col"), F.round("z", 6).alias("z"))
+    return places.select("grid", *(c.alias(n) for n, c in terrain.window_bounds(F.col("east"), F.col("north"), 20.0, views.CELL).items()))
+
+
+def src13_windows(spark, sf_dir):
+    """Heights of windows from tiles of a square kilometre."""
+    return terrain.load_windows(place_windows(spark, sf_dir), views.tiles(spark, sf_dir), views.CELL).select(*L("grid", "row", "col"), F.round("z", 6).alias("z"))
 
 
 def vr05_pip(spark, sf_dir):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.vector import Geometry, resample
@@ -47,13 +49,40 @@ def load_windows(windows: DataFrame, tiles: DataFrame, cell: float) -> DataFrame
     return cells.join(found, ["grid", "row", "col"], "left")
 
 
-def tiles_of_files(spark, path: str, step: float) -> DataFrame:
-    """tiles for `load_windows` from the GeoTIFFs under a path, of each the level that fits a step; a tile's key is the ground of its middle."""
+def tiles_of_files(spark, path: str, step: float, windows: DataFrame | None = None, cell: float | None = None) -> DataFrame:
+    """tiles for `load_windows` from the GeoTIFFs under a path, of each the level that fits a step. A row is what a block of a file has of one square kilometre, so files may be of any size; with windows (as load_windows takes them, of
+    cells of size `cell`), only blocks that one of them touches are read.
+
+    A block's pixels are told apart by the ground of their middles, so every pixel is in one row.
+    """
     levels = rasters.level_for_step(rasters.tiff_levels(spark, path), step)
-    cells = rasters.tiff_cells(rasters.tiff_blocks(levels, level=None))
-    data = cells.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "z"))), lambda x: x["z"]).alias("data"))
-    key = lambda c, size, sign: F.floor((F.col(c) + sign * F.col(size) * F.col("pixel") / 2) / TILE_M)
-    return levels.select("path", "west", "north", "width", "height", key("west", "width", 1).alias("te"), key("north", "height", -1).alias("tn")).join(data, "path").drop("path")
+    blocks = rasters.tiff_blocks(levels, level=None)
+    edge = lambda zero, at, size, sign: F.col(zero) + sign * F.col(at) * F.col(size) * F.col("pixel")
+    rows = F.least(F.col("block_height"), F.col("height") - F.col("block_row") * F.col("block_height"))
+    cols = F.least(F.col("block_width"), F.col("width") - F.col("block_col") * F.col("block_width"))
+    blocks = blocks.withColumns({"w": edge("west", "block_col", "block_width", 1), "n": edge("north", "block_row", "block_height", -1)})
+    if windows is not None:
+        touched = tiles_for_window(F.col("w"), F.col("n"), cols * F.col("pixel"), rows * F.col("pixel"))
+        keyed = blocks.withColumn("t", F.explode(touched)).withColumns({"te": F.col("t.te"), "tn": F.col("t.tn")})
+        own = windows.select("e0", "n0", (F.col("width") * cell).alias("wide"), (F.col("height") * cell).alias("high"))
+        own = own.withColumn("t", F.explode(tiles_for_window(F.col("e0"), F.col("n0"), F.col("wide"), F.col("high")))).select("t.te", "t.tn", "e0", "n0", "wide", "high")
+        met = keyed.join(own, ["te", "tn"]).filter((F.col("w") < F.col("e0") + F.col("wide")) & (F.col("w") + cols * F.col("pixel") > F.col("e0")) & (F.col("n") > F.col("n0") - F.col("high")) & (F.col("n") - rows * F.col("pixel") < F.col("n0")))
+        blocks = blocks.join(met.select("path", "block_row", "block_col").distinct(), ["path", "block_row", "block_col"], "left_semi")
+
+    def run(batches):
+        for part in batches:
+            files = {p: rasters.Pages(p) for p in part["path"].unique()}
+            for b in part.itertuples():
+                z = rasters.decode_block(files[b.path].read(b.offset, b.count), b.block_width, b.block_height, b.compression, b.predictor, b.sample, None if pd.isna(b.nodata) else b.nodata)
+                z = z[: min(b.block_height, b.height - b.block_row * b.block_height), : min(b.block_width, b.width - b.block_col * b.block_width)]
+                te = np.floor((b.w + (np.arange(z.shape[1]) + 0.5) * b.pixel) / TILE_M).astype(np.int64)
+                tn = np.floor((b.n - (np.arange(z.shape[0]) + 0.5) * b.pixel) / TILE_M).astype(np.int64)
+                for i in np.unique(tn):
+                    for j in np.unique(te):
+                        r, c = np.flatnonzero(tn == i), np.flatnonzero(te == j)
+                        yield pd.DataFrame({"te": [j], "tn": [i], "west": [b.w + c[0] * b.pixel], "north": [b.n - r[0] * b.pixel], "width": [len(c)], "height": [len(r)], "data": [z[r[0] : r[-1] + 1, c[0] : c[-1] + 1].ravel()]})
+
+    return blocks.mapInPandas(run, "te long, tn long, west double, north double, width int, height int, data array<float>")
 
 
 class TerrainSource(Protocol):
@@ -86,6 +115,26 @@ class TiledSource:
         return _grouped(parts.withColumnRenamed("z", "value"), factor)
 
 
+@dataclass
+class FileSource:
+    """GeoTIFFs under two paths, whose pixels at the level that fits are the window's cells (ground) and parts of cells (above): only blocks that a window touches are read."""
+
+    spark: SparkSession
+    ground: str
+    above: str
+
+    def windows(self, windows: DataFrame, cell: float) -> DataFrame:
+        """(grid, row, col, z) of many windows (grid, e0, n0, width, height) at once."""
+        return load_windows(windows, tiles_of_files(self.spark, self.ground, cell, windows, cell), cell)
+
+    def terrain(self, grid: int, geometry: Geometry) -> DataFrame:
+        return self.windows(_window(self.spark, grid, geometry, 1), geometry.cell)
+
+    def surface(self, grid: int, geometry: Geometry, factor: int) -> DataFrame:
+        window, cell = _window(self.spark, grid, geometry, factor), geometry.cell / factor
+        return _grouped(load_windows(window, tiles_of_files(self.spark, self.above, cell, window, cell), cell).withColumnRenamed("z", "value"), factor)
+
+
 @dataclass
 class RasterSource:
     """One raster of any pixel size for ground and one for what stands on it, as (row, col, v) from a corner: ground is taken between pixel centres, the rest from the nearest pixel."""

@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from cairn.catalog import features, raster, rays, scalar, vector, view
+from cairn.catalog import features, files, raster, rays, scalar, vector, view
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ALL = {n: (f, m.SQL.get(n)) for m in (raster, vector, rays, scalar, features, view) for n, f in m.QUERIES.items()}
+ALL = {n: (f, m.SQL.get(n)) for m in (raster, vector, rays, scalar, features, view, files) for n, f in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
