@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import peaks, rays
+from ..operators.staging import written
 from ..plans import panorama
 from ..sources import views
 from ..sources.views import table, with_views
@@ -93,8 +94,8 @@ def pk01_sightings(spark, sf_dir):
 
 
 def _visible(spark, sf_dir):
-    """Every scene's own peaks: those whose id has the scene as its remainder."""
-    samples = _seen(spark, sf_dir)
+    """Every scene's own peaks: those whose id has the scene as its remainder. What the observer sees is written once, for crests and skyline."""
+    samples = written(_seen(spark, sf_dir).select("scene", "ray", "i", "dist", "h", "t", "visible"), "seen")
     crest, sky = rays.crests(samples), rays.horizon(samples)
     scenes = (table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0] or 0) // 30000 + 1
     seen = _sightings(spark, sf_dir).withColumn("scene", F.col("id") % scenes)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .ranges import least_in_range
 from .rays import running_angle
 
 #: Own summit's radius (m), where the terrain before a peak ends, tolerance (degrees); prominence window (degrees), similar distance, full prominence, weight of height.
@@ -36,19 +37,17 @@ def visible_peaks(seen: DataFrame, crest: DataFrame, observer: float, rays: int)
 def prominence(visible: DataFrame, crest: DataFrame, skyline: DataFrame, rays: int) -> DataFrame:
     """Adds prominence: the angle over the higher of the two sides' lowest crests at a similar distance, or over the skyline's lowest point where neither side has one.
 
-    Each peak visits the rays of its window by one equi-join with the crests and the skyline (scene is part of every key), and what it met is one aggregate.
+    Each peak asks every ray of its window for the lowest crest in its range of distances, which is two rows of a table of minima, and the skyline for its angle there.
     """
     steps = int(WINDOW * rays / 360 + 0.5)
     own = visible.columns
-    at = visible.withColumn("_o", F.explode(F.sequence(F.lit(-steps), F.lit(steps))))
-    at = at.withColumn("_ray", F.pmod(F.floor(F.col("az") * rays / 360.0 + 0.5) + F.col("_o"), F.lit(rays)).cast("int")).withColumn("_scene", F.col("scene"))
-    line = crest.select(F.col("scene").alias("_scene"), F.col("ray").alias("_ray"), F.col("dist").alias("_dist"), F.col("angle").alias("_low"))
-    sky = skyline.select(F.col("scene").alias("_scene"), F.col("ray").alias("_ray"), F.lit(None).cast("double").alias("_dist"), F.col("angle").alias("_low"))
-    met = at.join(line.unionByName(sky), ["_scene", "_ray"], "left")
-    like = F.col("_dist").between(F.col("dist") * (1 - SIMILAR), F.col("dist") * (1 + SIMILAR))
-    side = lambda test: F.min(F.when(test & like, F.col("_low")))
-    out = met.groupBy(*own).agg(side(F.col("_o") < 0).alias("_a"), side(F.col("_o") > 0).alias("_b"), F.min(F.when(F.col("_dist").isNull(), F.col("_low"))).alias("_sky"))
-    return out.select(*own, F.greatest(F.lit(0.0), F.col("angle") - F.coalesce(F.greatest("_a", "_b"), "_sky", F.lit(0.0))).alias("prominence"))
+    at = visible.select(F.monotonically_increasing_id().alias("_peak"), F.struct(*own).alias("_own"), "scene", "az", (F.col("dist") * (1 - SIMILAR)).alias("lo"), (F.col("dist") * (1 + SIMILAR)).alias("hi"))
+    at = at.withColumn("_o", F.explode(F.sequence(F.lit(-steps), F.lit(steps)))).withColumn("ray", F.pmod(F.floor(F.col("az") * rays / 360.0 + 0.5) + F.col("_o"), F.lit(rays)).cast("int")).drop("az")
+    sky = skyline.groupBy("scene", "ray").agg(F.min("angle").alias("_sky"))
+    met = least_in_range(crest, at.filter("_o <> 0"), ("scene", "ray"), name="_low").unionByName(at.filter("_o = 0"), allowMissingColumns=True).join(sky, ["scene", "ray"], "left")
+    side = lambda test: F.min(F.when(test, F.col("_low")))
+    out = met.groupBy("_peak").agg(F.first("_own").alias("_own"), side(F.col("_o") < 0).alias("_a"), side(F.col("_o") > 0).alias("_b"), F.min("_sky").alias("_sky"))
+    return out.select("_own.*", F.greatest(F.lit(0.0), F.col("_own.angle") - F.coalesce(F.greatest("_a", "_b"), "_sky", F.lit(0.0))).alias("prominence"))
 
 
 def rank(peaks: DataFrame) -> DataFrame:

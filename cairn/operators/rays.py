@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .ranges import least_in_range
 
 #: Zoom by distance, sea under this height, least dip behind a crest (degrees).
 BANDS = ((20_000.0, 12), (60_000.0, 11), (150_000.0, 10), (math.inf, 9))
@@ -147,9 +148,8 @@ def running_angle(crest: DataFrame, probes: DataFrame, keys: tuple[str, ...] = R
 
 
 def lowest_in_band(crest: DataFrame, probes: DataFrame, keys: tuple[str, ...] = RAY) -> DataFrame:
-    """Range join: (keys, id, low), the lowest crest angle of the ray within [lo, hi] of each probe; null if there is none."""
-    met = probes.join(crest.select(*keys, "dist", "angle"), list(keys), "left")
-    return met.groupBy(*keys, "id").agg(F.min(F.when(F.col("dist").between(F.col("lo"), F.col("hi")), F.col("angle"))).alias("low"))
+    """Range join: (keys, id, low), the lowest crest angle of the ray within [lo, hi] of each probe; null if there is none. A probe meets two rows of a table of minima, whatever its range."""
+    return least_in_range(crest, probes.select(*keys, "id", "lo", "hi"), keys).select(*keys, "id", "low")
 
 
 def sample_tiles(points: DataFrame, tiles: DataFrame, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
