@@ -80,18 +80,42 @@ def protection_index(edges: DataFrame, geo: Geometry) -> DataFrame:
     return fill_polygons(edges, geo).join(order, ["grid", "area"]).groupBy("grid", "row", "col").agg(F.max("index").alias("index"))
 
 
+def edge_cells(edges: DataFrame, bucket: float) -> DataFrame:
+    """(grid, area, be, bn): the cells of ground that a polygon's edges touch, row by row, with a hair of slack."""
+    low, high = F.least("n1", "n2"), F.greatest("n1", "n2")
+    slack = bucket * 1e-6
+    rows = edges.select("grid", "area", "e1", "n1", "e2", "n2", F.explode(F.sequence(F.floor((low - slack) / bucket), F.floor((high + slack) / bucket))).alias("bn"))
+    at = lambda n: F.when(F.col("n1") == F.col("n2"), None).otherwise(F.col("e1") + (F.least(high, F.greatest(low, n)) - F.col("n1")) / (F.col("n2") - F.col("n1")) * (F.col("e2") - F.col("e1")))
+    one, two = F.coalesce(at(F.col("bn") * bucket - slack), "e1"), F.coalesce(at((F.col("bn") + 1) * bucket + slack), "e2")
+    cells = rows.select("grid", "area", "bn", F.explode(F.sequence(F.floor((F.least(one, two) - slack) / bucket), F.floor((F.greatest(one, two) + slack) / bucket))).alias("be"))
+    return cells.distinct()
+
+
 def containing(points: DataFrame, edges: DataFrame, bucket: float = 32.0) -> DataFrame:
     """(grid, id, area, rank) of each polygon that contains a point (grid, id, e, n), by an even number of edges to pass strictly upwards or not.
 
-    Points and polygons meet by the buckets of their ground, an equi-join.
+    Points and polygons meet by cells of ground. A cell that no edge touches lies inside or outside as a whole: its middle is asked once and its points meet no edges. Points of other cells meet the polygon's edges by slabs of northing, as high as
+    the polygon's mean edge, so that an edge is in about two slabs and a point meets about as many edges as a line through the polygon crosses.
     """
-    span = edges.groupBy("grid", "area", "rank").agg(*(F.floor(f(F.least(f"{c}1", f"{c}2") if f is F.min else F.greatest(f"{c}1", f"{c}2")) / bucket).alias(f"{c}{k}") for c in "en" for k, f in (("_lo", F.min), ("_hi", F.max))))
-    cover = span.select("grid", "area", "rank", F.explode(F.sequence("e_lo", "e_hi")).alias("be"), "n_lo", "n_hi").select("grid", "area", "rank", "be", F.explode(F.sequence("n_lo", "n_hi")).alias("bn"))
-    near = points.select("grid", "id", "e", "n", F.floor(F.col("e") / bucket).alias("be"), F.floor(F.col("n") / bucket).alias("bn")).join(cover, ["grid", "be", "bn"])
-    met = near.join(edges.select("grid", "area", "e1", "n1", "e2", "n2"), ["grid", "area"])
+    height = F.abs(F.col("n2") - F.col("n1"))
+    spans = (F.floor(f(F.least(f"{c}1", f"{c}2") if f is F.min else F.greatest(f"{c}1", f"{c}2")) / bucket).alias(f"{c}{k}") for c in "en" for k, f in (("_lo", F.min), ("_hi", F.max)))
+    areas = edges.groupBy("grid", "area", "rank").agg(*spans, F.avg(height).alias("_h"))
+    areas = areas.withColumn("_h", F.when(F.col("_h") > 0, F.col("_h")).otherwise(bucket))
+    cover = areas.select("grid", "area", "rank", "_h", F.explode(F.sequence("e_lo", "e_hi")).alias("be"), "n_lo", "n_hi").select("grid", "area", "rank", "_h", "be", F.explode(F.sequence("n_lo", "n_hi")).alias("bn"))
+    cover = cover.join(edge_cells(edges, bucket).withColumn("_edge", F.lit(True)), ["grid", "area", "be", "bn"], "left")
+    at = points.select(F.monotonically_increasing_id().alias("_row"), "grid", "id", "e", "n", F.floor(F.col("e") / bucket).alias("be"), F.floor(F.col("n") / bucket).alias("bn"))
+    middle = lambda c: (F.col(c) + 0.5) * bucket
+    whole = cover.filter("_edge IS NULL").select("grid", "area", "rank", "_h", "be", "bn", middle("be").alias("e"), middle("bn").alias("n"))
+    near = at.join(cover.filter("_edge").drop("_edge"), ["grid", "be", "bn"])
+    asked = near.drop("be", "bn").withColumns({"be": F.lit(None).cast("long"), "bn": F.lit(None).cast("long")}).unionByName(whole, allowMissingColumns=True)
+    slab = lambda n: F.floor(n / F.col("_h"))
+    cut = edges.join(areas.select("grid", "area", "_h"), ["grid", "area"]).filter(height > 0)
+    cut = cut.select("grid", "area", F.explode(F.sequence(slab(F.least("n1", "n2")), slab(F.greatest("n1", "n2")))).alias("_slab"), "e1", "n1", "e2", "n2")
+    met = asked.withColumn("_slab", slab(F.col("n"))).join(cut, ["grid", "area", "_slab"])
     passes = ((F.col("n1") > F.col("n")) != (F.col("n2") > F.col("n"))) & (F.col("e") < (F.col("e2") - F.col("e1")) * (F.col("n") - F.col("n1")) / (F.col("n2") - F.col("n1")) + F.col("e1"))
-    odd = met.groupBy("grid", "id", "area", "rank").agg(F.count_if(passes).alias("k"))
-    return odd.filter("k % 2 = 1").select("grid", "id", "area", "rank")
+    odd = met.groupBy("_row", "grid", "id", "area", "rank", "be", "bn").agg(F.count_if(passes).alias("k")).filter("k % 2 = 1")
+    inside = odd.filter("bn IS NOT NULL").select("grid", "be", "bn", "area", "rank")
+    return odd.filter("bn IS NULL").select("grid", "id", "area", "rank").unionByName(at.join(inside, ["grid", "be", "bn"]).select("grid", "id", "area", "rank"))
 
 
 def areas_at(points: DataFrame, edges: DataFrame) -> DataFrame:
