@@ -5,14 +5,14 @@ Windows are partitioned by (*grid, row) or (*grid, col), so that work spreads ov
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.factors import CLEARANCE_M, FLOORS, ON_TRAIL, fade, nearness, preference, remoteness, trail_quiet
+from .staging import written
 
 #: Fixed values of suitability: comfortable and worst slope (degrees), roughness (m) and vegetation height (m).
 SLOPE, ROUGH, CANOPY = (5.0, 10.0), (0.08, 0.3), (0.5, 3.0)
@@ -132,20 +132,36 @@ def block_best(cells: DataFrame, score: str, block: int, grid: Sequence[str] = (
 def pick_spots(cells: DataFrame, score: str = "score", cell: float = 2.0, count: int = 3, separation: float = 300.0, least: float = 0.5, grid: Sequence[str] = ()) -> DataFrame:
     """The best spots that keep their distance from better ones: rank, row, col, score for each grid.
 
-    Candidates are one cell a block of 10 m, picked before the shuffle; the greedy choice among a grid's candidates, a twenty-fifth of its cells at most, is one small task.
+    Candidates are one cell a block of 10 m. The greedy choice goes in rounds: a candidate that no better one is near is chosen, and those near it leave. It is the best of its square, whose diagonal is the separation, and meets the candidates of
+    the 25 squares around by equi-join. Candidates worse than `count` chosen ones of their grid leave too, so a few rounds do, whatever the grid's size; no task holds a grid.
     """
-    block = max(1, int(10 / cell + 0.5))
-    left = block_best(cells, score, block, grid).filter(F.col(score) >= least)
-    keys = list(grid)
-
-    def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        part, out = part.sort_values([score, "block_row", "block_col"], ascending=[False, True, True]), []
-        while len(part) and len(out) < count:
-            best = part.iloc[0]
-            out.append((*(best[k] for k in keys), len(out) + 1, best["row"], best["col"], best[score]))
-            part = part[np.hypot((part["row"] - best["row"]) * cell, (part["col"] - best["col"]) * cell) >= separation]
-        return pd.DataFrame(out, columns=[*keys, "rank", "row", "col", score])
-
-    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
-    ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "rank int", "row int", "col int", f"`{score}` double"])
-    return left.groupBy(*keys).applyInPandas(greedy, ddl)
+    block, keys = max(1, int(10 / cell + 0.5)), [*grid, "_all"]
+    side = max(separation, 1e-6) / math.sqrt(2) / cell
+    square = [*keys, "_y", "_x"]
+    place = [F.floor(F.col("row") / side).alias("_y"), F.floor(F.col("col") / side).alias("_x")]
+    order = F.struct(F.col(score).alias("s"), (-F.col("block_row")).alias("r"), (-F.col("block_col")).alias("c"))
+    best = block_best(cells, score, block, grid).filter(F.col(score) >= least).withColumn("_all", F.lit(0))
+    left = written(best.select(*keys, "row", "col", order.alias("_o"), *place), "spots")
+    near = F.hypot((F.col("row") - F.col("_r")) * cell, (F.col("col") - F.col("_c")) * cell) < separation
+    nearby = lambda c: F.explode(F.sequence(F.col(c) - 2, F.col(c) + 2))
+
+    def meet(spots: DataFrame, how: str) -> DataFrame:
+        """Candidates with the spots of the 25 squares around."""
+        own = spots.select(*(F.col(k).alias(f"_of_{k}") for k in square), F.col("_o").alias("_t"), F.col("row").alias("_r"), F.col("col").alias("_c"))
+        around = own.withColumn("_of__y", nearby("_of__y")).withColumn("_of__x", nearby("_of__x"))
+        same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) if k in grid else F.col(k) == F.col(f"_of_{k}") for k in square]
+        return left.join(around, [*same, *([near | (F.col("_o") == F.col("_t"))] if how == "left_anti" else [])], how)
+
+    found = None
+    while True:
+        tops = left.groupBy(*square).agg(F.max(F.struct("_o", "row", "col")).alias("_b")).select(*square, "_b.*")
+        beaten = F.max(near & (F.col("_o") > F.col("_t"))).alias("_beaten")
+        free = meet(tops, "inner").groupBy(*keys, "_t", "_r", "_c").agg(beaten).filter("NOT _beaten")
+        new = written(free.select(*keys, F.col("_t").alias("_o"), F.col("_r").alias("row"), F.col("_c").alias("col")).select("*", *place), "new")
+        found = new if found is None else found.unionByName(new)
+        chosen = found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_o").desc()))).filter(F.col("rank") <= count)
+        last = chosen.filter(F.col("rank") == count).select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_o").alias("_last"))
+        rest = meet(new, "left_anti").join(last, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left")
+        left = written(rest.filter("_last IS NULL OR _o > _last").select(*left.columns), "spots")
+        if left.isEmpty():
+            return chosen.select(*grid, "rank", "row", "col", F.col("_o.s").cast("double").alias(score))
