@@ -45,8 +45,14 @@ def norms(v: np.ndarray) -> np.ndarray:
     return np.sqrt(dots(v, v))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two, so that the largest component is from a half to 1: squares neither vanish nor overflow, and no digit of a cosine changes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
+
+
 def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 rows, the scale of each, and the length of each row's rounding error, of the normalised vectors."""
+    v = scaled(v)
     u = v / norms(v)[:, None]
     scale = np.abs(u).max(1) / 127
     q = np.rint(u / scale[:, None]).astype(np.int8)
@@ -73,6 +79,7 @@ def first_copies(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = scaled(a), scaled(b)
     return np.clip(dots(a, b) / (norms(a) * norms(b)), -1.0, 1.0)
 
 
@@ -119,12 +126,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """vectors(vec_id, embedding, ...) to each query's k nearest by cosine: query_id, rank, vec_id, score; all candidates if they are fewer.
 
     Queries are the rows where is_query holds; all rows but the query's own id are candidates. Vectors that are null, empty, zero or have a null, infinite or NaN component, and
-    rows with a null id, take no part; vectors of different lengths do not meet. Repeated rows count once. Ties go to the smaller id. Other columns are not read. An empty table gives no rows.
+    rows with a null id, take no part; vectors of different lengths do not meet. Rows of one id count once, by the least of their vectors and of is_query. Ties go to the smaller id. Other columns are not read. An empty table gives no rows.
     Each candidate block meets each query block once, by an equi-join on the query block's number: blocks are rows, so no pair of vectors is a row.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query.cast("boolean"), F.lit(False)).alias("asked"))
-    own = written(own.filter("vec_id IS NOT NULL").dropDuplicates(["vec_id"]), "vectors")  # a plain table, so that Spark can split the join of a vector that is near many queries
+    least = F.min(F.when(F.col("embedding").isNotNull(), F.struct("embedding", "asked"))).alias("v")
+    own = written(own.filter("vec_id IS NOT NULL").groupBy("vec_id").agg(least).select("vec_id", "v.embedding", F.coalesce("v.asked", F.lit(False)).alias("asked")), "vectors")  # a plain table, so that Spark can split the join of a vector that is near many queries
     asked = own.filter("asked").select("vec_id", "embedding")
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
     lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -45,3 +45,15 @@ def test_operators_over_all_nulls(spark):
     out = mixing.mix(docs).collect()
     assert len(out) == 3 and all(r["topic"] == -1 and r["sampled"] is False and not math.isnan(r["probability"]) for r in out)
     assert [tuple(r) for r in neardup.near_duplicates(docs, 3, 85).collect()] == [(None, 0, None, True)] * 3
+
+
+def test_texts_of_one_doc_id_all_stay(spark, sf):
+    """Of a kept doc_id every different text stays, and each once."""
+    import corpus_pipeline as p
+
+    texts = [(1, "one two three four five six seven"), (1, "other words of the same number here now"), (1, "one two three four five six seven"), (1, None), (2, "one two three four five six seven"), (None, "no number"), (None, "no number")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    for n in (1, 3):
+        got = sorted(((r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs.repartition(n), sf).collect()), key=str)
+        assert [x for x in got if x[0] is None] == [(None, "no number")] * 2
+        assert {x for x in got if x[0] == 1} == {x for x in texts if x[0] == 1} and sum(x[0] == 1 for x in got) == 3
