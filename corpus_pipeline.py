@@ -33,9 +33,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8) stays, the one of smallest doc_id; repeated rows of it count once. Rows without doc_id stay, as in all stages."""
+    """One document of each group of near-duplicates (five words, similarity 0.8) stays, the one of smallest doc_id; repeated rows of it count once, and different texts under its doc_id all stay. Rows without doc_id stay, as in all stages."""
     found = neardup.near_duplicates(docs, words=5, percent=80)
-    kept = docs.select(*COLUMNS).join(found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.select(*COLUMNS).join(found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
+    kept = kept.withColumn("_text", F.sha2("text", 256)).dropDuplicates(["doc_id", "_text"]).drop("_text")
     return kept.unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL")).select(*COLUMNS)
 
 
