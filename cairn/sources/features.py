@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.text import in_force, known_text, parse_elevation, zoom_for_span
+from ..operators.staging import written
 
 POINT = "struct<lat: double, lon: double>"
 OSM_SCHEMA = f"type string, id bigint, lat double, lon double, tags map<string,string>, geometry array<{POINT}>, members array<struct<role: string, geometry: array<{POINT}>>>"
@@ -139,6 +140,32 @@ def catalogue_pages(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return items, raw.filter("page.features IS NULL").select("path")
 
 
+def catalogue_chain(spark, path: str, first: str) -> tuple[DataFrame, DataFrame]:
+    """As catalogue_pages, of the answers that a first page leads to by its links of rel "next", in that order; a page's name is its file's, a link's the last part of its address. What lies under the path besides does not count.
+    Also gives the names of pages of the chain that are no answer or are not there. A chain that leads back ends there.
+
+    Pages reached are doubled from round to round: with every page's successor 2^k steps on, those at 0 to 2^k - 1 give those at 2^k to 2^(k+1) - 1.
+    """
+    items, _ = catalogue_pages(spark, path)
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    raw = spark.read.option("wholetext", "true").text(path).select(last(F.col("_metadata.file_path")).alias("name"), F.from_json("value", "features ARRAY<STRING>, links ARRAY<STRUCT<rel: STRING, href: STRING>>").alias("page"))
+    following = F.get(F.filter("page.links", lambda x: x["rel"] == "next"), F.lit(0))["href"]
+    pages = written(raw.select("name", F.col("page.features").isNotNull().alias("good"), last(following).alias("next")), "pages")
+    jump = pages.filter("next IS NOT NULL").select("name", "next")
+    reached, step, count = spark.createDataFrame([(first, 0)], "name string, position long"), 1, 1
+    while True:
+        ahead = reached.join(jump, "name").select(F.col("next").alias("name"), (F.col("position") + step).alias("position"))
+        reached = written(reached.unionByName(ahead).groupBy("name").agg(F.min("position").alias("position")), "reached")
+        now = reached.count()
+        if now == count:
+            break
+        count, step = now, 2 * step
+        jump = written(jump.alias("a").join(jump.alias("b"), F.col("a.next") == F.col("b.name")).select("a.name", "b.next"), "jumps")
+    chain = reached.join(pages, "name", "left")
+    found = items.withColumn("name", last(F.col("seq.path"))).join(reached, "name").select(F.struct("position", F.col("seq.k").alias("k")).alias("seq"), "id", "assets")
+    return found, chain.filter(~F.coalesce("good", F.lit(False))).select("name")
+
+
 def latest_assets(items: DataFrame, gsd: float) -> DataFrame:
     """Catalogue items (seq, id, assets map of name to struct<href, type, gsd>) to the newest asset of each tile: tile, year, href; the first item on a tie."""
     found = F.get(F.filter(F.map_values("assets"), lambda a: a["type"].contains("geotiff") & (a["gsd"] == gsd)), F.lit(0))

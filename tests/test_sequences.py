@@ -132,6 +132,27 @@ def test_catalogue_pages(spark, tmp_path):
     assert {r["tile"]: r["year"] for r in features.latest_assets(items, 2.0).collect()} == {"2700-1200": 2021, "2701-1200": 2020}
 
 
+def test_catalogue_pages_by_their_links(spark, tmp_path):
+    def page(name, ids, following):
+        links = [{"rel": "self", "href": "https://x.org/c/none.json"}] + [{"rel": "next", "href": f"https://x.org/c/{f}"} for f in following]
+        (tmp_path / name).write_text(json.dumps({"features": [{"id": i, "assets": {}} for i in ids], "links": links}))
+
+    order = [f"p{(7 * k) % 11}.json" for k in range(11)]
+    for k, name in enumerate(order):
+        page(name, [f"a{k}", f"b{k}"], order[k + 1 : k + 2])
+    page("other.json", ["z"], ["p0.json"])
+    items, failed = features.catalogue_chain(spark, str(tmp_path), order[0])
+    assert [r["id"] for r in items.orderBy("seq").collect()] == [x + str(k) for k in range(11) for x in "ab"] and failed.count() == 0
+    assert [r["id"] for r in features.catalogue_chain(spark, str(tmp_path), order[9])[0].orderBy("seq").collect()] == ["a9", "b9", "a10", "b10"]
+    (tmp_path / order[6]).write_text("<html>busy</html>")
+    page(order[4], ["a4"], ["gone.json"])
+    page(order[10], ["c"], [order[9]])  # leads back
+    assert [r["name"] for r in features.catalogue_chain(spark, str(tmp_path), order[5])[1].collect()] == [order[6]]
+    items, failed = features.catalogue_chain(spark, str(tmp_path), order[3])
+    assert [r["id"] for r in items.orderBy("seq").collect()] == ["a3", "b3", "a4"] and [r["name"] for r in failed.collect()] == ["gone.json"]
+    assert [r["id"] for r in features.catalogue_chain(spark, str(tmp_path), order[9])[0].orderBy("seq").collect()] == ["a9", "b9", "c"]
+
+
 def test_only_wanted_tiles_are_read(spark, tmp_path):
     def png(v):
         chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
