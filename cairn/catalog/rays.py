@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import peaks, rays
+from ..operators.sequences import running_sums, selected
 from ..operators.staging import written
 from ..plans import panorama
 from ..sources import views
@@ -52,8 +53,7 @@ def wn05_next_lower(spark, sf_dir):
 def wn07_offsets(spark, sf_dir):
     """Where each ray's crests begin and end in one list of all of a scene."""
     by = _crests(spark, sf_dir).groupBy("scene", "ray").agg(F.count("*").alias("n"))
-    end = F.sum("n").over(Window.partitionBy("scene").orderBy("ray"))
-    return by.withColumn("end", end).select(*_key(), (F.col("end") - F.col("n")).alias("begin"), "end")
+    return running_sums(by, ["scene"], ["ray"], end=F.col("n")).select(*_key(), (F.col("end") - F.col("n")).alias("begin"), "end")
 
 
 def _observers(spark, sf_dir):
@@ -179,17 +179,16 @@ def tk05_tile_order(spark, sf_dir):
 
 def ag05_median(spark, sf_dir):
     """Upper median of the crest distances of each group of four rays, with its range."""
-    by = _crests(spark, sf_dir).groupBy("scene", F.floor(F.col("ray") / 4).alias("ridge")).agg(F.array_sort(F.collect_list("dist")).alias("d"), F.min("dist").alias("least"), F.max("dist").alias("most"))
-    return by.select("scene", "ridge", F.get("d", F.floor(F.size("d") / 2).cast("int")).alias("median"), "least", "most")
+    points = _crests(spark, sf_dir).withColumn("ridge", F.floor(F.col("ray") / 4))
+    return selected(points, ["scene", "ridge"], "dist", median=0.5, least=0.0, most=1.0).drop("n")
 
 
 def ag06_exaggeration(spark, sf_dir):
     """Vertical exaggeration from the 5 and 95 % places of each scene's sorted horizon."""
-    by = rays.horizon(_seen(spark, sf_dir)).groupBy("scene").agg(F.array_sort(F.collect_list(F.round("angle", 6))).alias("h"))
-    at = lambda share: F.get("h", F.floor(F.size("h") * share).cast("int"))
-    relief = F.greatest(F.lit(0.5), at(0.95) - at(0.05))
+    by = selected(rays.horizon(_seen(spark, sf_dir)).withColumn("angle", F.round("angle", 6)), ["scene"], "angle", high=0.95, low=0.05)
+    relief = F.greatest(F.lit(0.5), F.col("high") - F.col("low"))
     e = F.least(F.lit(3.0), F.greatest(F.lit(1.0), text.half_up(0.22 * 900 / (relief * 10) * 4) / 4))
-    return by.select("scene", F.when(F.size("h") < 2, 1.0).otherwise(e).alias("exaggeration"))
+    return by.select("scene", F.when(F.col("n") < 2, 1.0).otherwise(e).alias("exaggeration"))
 
 
 def rn06_envelope(spark, sf_dir, k: int = 5):

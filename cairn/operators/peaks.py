@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from .ranges import least_in_range
 from .rays import running_angle
+from .sequences import places
 
 #: Own summit's radius (m), where the terrain before a peak ends, tolerance (degrees); prominence window (degrees), similar distance, full prominence, weight of height.
 OWN_M, BEFORE, TOLERANCE = 300.0, 0.98, 0.05
@@ -51,11 +52,11 @@ def prominence(visible: DataFrame, crest: DataFrame, skyline: DataFrame, rays: i
 
 
 def rank(peaks: DataFrame) -> DataFrame:
-    """Adds score and place within each scene: half height, relative to the scene's highest, half prominence; the nearer first on a tie."""
+    """Adds score and place within each scene: half height, relative to the scene's highest, half prominence; the nearer first on a tie. A scene may have any number of peaks."""
     top = peaks.groupBy("scene").agg(F.greatest(F.lit(1.0), F.max("elev")).alias("top"))
     score = HEIGHT_WEIGHT * F.greatest(F.lit(0.0), F.col("elev") / F.col("top")) + (1 - HEIGHT_WEIGHT) * F.least(F.lit(1.0), F.col("prominence") / FULL)
     out = peaks.join(top, "scene").withColumn("score", score).drop("top")
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("scene").orderBy(F.col("score").desc(), "dist", "id")))
+    return places(out, ["scene"], [F.col("score").desc(), "dist", "id"])
 
 
 def nearest(peaks: DataFrame, probes: DataFrame, most: float) -> DataFrame:

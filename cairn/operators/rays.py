@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .ranges import least_in_range
+from .sequences import places, selected
 
 #: Zoom by distance, sea under this height, least dip behind a crest (degrees).
 BANDS = ((20_000.0, 12), (60_000.0, 11), (150_000.0, 10), (math.inf, 9))
@@ -64,9 +65,8 @@ def by_ray(points: DataFrame, keys: tuple[str, ...] = RAY) -> DataFrame:
 def scene_index(points: DataFrame, skyline: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ridge points (scene, ridge, ray, dist, angle) to what drawing needs: (scene, ridge, dist, place), each ridge's upper median distance and its place from far to near; the points with below,
     the next lower angle on their ray (-90 under the lowest); and (scene, ray, lowest), the lowest crest of each ray of the skyline (scene, ray, angle), or the skyline where it has none."""
-    sorted_ = F.array_sort(F.collect_list("dist"))
-    ridges = points.groupBy("scene", "ridge").agg(sorted_.alias("_d")).select("scene", "ridge", F.get("_d", F.floor(F.size("_d") / 2).cast("int")).alias("dist"))
-    order = ridges.withColumn("place", F.row_number().over(Window.partitionBy("scene").orderBy(F.col("dist").desc(), "ridge")))
+    ridges = selected(points, ["scene", "ridge"], "dist", dist=0.5).drop("n")
+    order = places(ridges, ["scene"], [F.col("dist").desc(), "ridge"])
     below = F.coalesce(F.lead("angle").over(Window.partitionBy(*RAY).orderBy(F.col("angle").desc(), "dist")), F.lit(-90.0))
     least = points.groupBy(*RAY).agg(F.min("angle").alias("_a"))
     lowest = skyline.select(*RAY, "angle").join(least, list(RAY), "left").select(*RAY, F.coalesce("_a", "angle").alias("lowest"))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import places
+
 
 @dataclass(frozen=True)
 class Geometry:
@@ -70,8 +72,8 @@ def fill_polygons(edges: DataFrame, geo: Geometry, keys: tuple[str, ...] = ("gri
 
 
 def paint_order(areas: DataFrame) -> DataFrame:
-    """(grid, area, rank) with index, the 1-based order of painting: stricter ranks later."""
-    return areas.withColumn("index", F.row_number().over(Window.partitionBy("grid").orderBy("rank", "area")))
+    """(grid, area, rank) with index, the 1-based order of painting: stricter ranks later. A grid may have any number of areas."""
+    return places(areas, ["grid"], ["rank", "area"], "index")
 
 
 def protection_index(edges: DataFrame, geo: Geometry) -> DataFrame:
