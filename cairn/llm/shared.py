@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns the memory that this Python worker has freed to the system. Workers are reused, and without this a stage's freed memory counts beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut by bytes of one string column, so that memory follows neither the row count nor the longest batch."""
     for batch in batches:
@@ -53,14 +62,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 
 def carried(docs: DataFrame, run, names: dict[str, str]) -> DataFrame:
-    """All columns of docs with what run(text column) returns for each batch beside them, as the columns `names` (to type); a column of that name gives way."""
+    """All columns of docs with what run(text column) returns for each batch beside them, as the columns `names` (to type); a column of that name gives way. After each of Spark's batches freed memory goes back to the system."""
     kept = [f for f in docs.schema.fields if f.name not in names or f.name == "text"]
     out = [f for f in kept if f.name not in names]
 
     def each(batches):
-        for batch in slices(batches):
-            new = run(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in out), *new], names=[*(f.name for f in out), *names])
+        for whole in batches:
+            for batch in slices(iter([whole])):
+                new = run(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in out), *new], names=[*(f.name for f in out), *names])
+                del batch, new
+            del whole
+            give_back()
 
     ddl = StructType([*out, *(StructField(n, StructType.fromDDL(f"x {t}")["x"].dataType) for n, t in names.items())])
     return docs.select(*(f.name for f in kept)).mapInArrow(each, ddl)
