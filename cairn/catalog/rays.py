@@ -219,9 +219,11 @@ def rs09_sample(spark, sf_dir):
 
 
 def rs10_snap(spark, sf_dir):
-    px = views.dem(spark, sf_dir).select((F.col("grid") * 1000 + F.col("col")).alias("px"), F.col("row").alias("py"), F.round("z", 3).alias("elev"))
-    p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % views.grids(spark, sf_dir) * 1000 + F.col("c_custkey") * 17 % 1000 / 10.0).alias("gx"), (F.col("c_custkey") * 29 % 1000 / 10.0).alias("gy"))
-    return rays.highest_near(p, px, 6.0).select("id", *(F.col(c).cast("long").alias(c) for c in ("px", "py")), "elev")
+    k = F.col("c_custkey")
+    px = views.dem(spark, sf_dir).select("grid", F.col("col").alias("px"), F.col("row").alias("py"), F.round("z", 3).alias("elev"))
+    p = table(spark, sf_dir, "customer").select((k % views.grids(spark, sf_dir)).alias("grid"), k.alias("id"), (k * 17 % 1000 / 10.0).alias("gx"), (k * 29 % 1000 / 10.0).alias("gy"))
+    found = rays.highest_near(p, px, 6.0, keys=("grid",))
+    return found.select("id", (F.col("grid") * 1000 + F.col("px")).cast("long").alias("px"), F.col("py").cast("long").alias("py"), "elev")
 
 
 def src04_cones(spark, sf_dir):

@@ -169,15 +169,18 @@ def sample_tiles(points: DataFrame, tiles: DataFrame, size: int, keys: tuple[str
     return met.groupBy("_id", *points.columns).agg(total.alias("elev")).drop("_id")
 
 
-def highest_near(points: DataFrame, pixels: DataFrame, radius: float, bucket: int = 16) -> DataFrame:
-    """(id, px, py, elev): the highest pixel (px, py, elev) whose centre lies within radius of a point (id, gx, gy), the first row by row on a tie. Points visit the buckets around them."""
+def highest_near(points: DataFrame, pixels: DataFrame, radius: float, bucket: int = 16, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, id, px, py, elev): the highest pixel (keys, px, py, elev) whose centre lies within radius of a point (keys, id, gx, gy), the first row by row on a tie. Points visit the buckets around them.
+
+    Several rasters have keys and places of their own each: offsets added to places would lose digits, which decide on the circle's edge.
+    """
     r = radius
     reach = lambda v: F.sequence(F.floor((v - r) / bucket), F.floor((v + r) / bucket))
-    p = points.select("id", "gx", "gy", F.explode(reach(F.col("gx"))).alias("bx")).select("id", "gx", "gy", "bx", F.explode(reach(F.col("gy"))).alias("by"))
-    met = p.join(pixels.withColumns({"bx": F.floor(F.col("px") / bucket), "by": F.floor(F.col("py") / bucket)}), ["bx", "by"])
+    p = points.select(*keys, "id", "gx", "gy", F.explode(reach(F.col("gx"))).alias("bx")).select(*keys, "id", "gx", "gy", "bx", F.explode(reach(F.col("gy"))).alias("by"))
+    met = p.join(pixels.withColumns({"bx": F.floor(F.col("px") / bucket), "by": F.floor(F.col("py") / bucket)}), [*keys, "bx", "by"])
     near = met.filter(F.pow(F.col("px") + 0.5 - F.col("gx"), 2) + F.pow(F.col("py") + 0.5 - F.col("gy"), 2) <= r * r).filter("elev IS NOT NULL")
     best = F.max(F.struct("elev", (-F.col("py")).alias("y"), (-F.col("px")).alias("x"))).alias("b")
-    return near.groupBy("id").agg(best).select("id", (-F.col("b.x")).alias("px"), (-F.col("b.y")).alias("py"), F.col("b.elev").alias("elev"))
+    return near.groupBy(*keys, "id").agg(best).select(*keys, "id", (-F.col("b.x")).alias("px"), (-F.col("b.y")).alias("py"), F.col("b.elev").alias("elev"))
 
 
 def cone_heights(points: DataFrame, cones: DataFrame, base: float = 0.0) -> DataFrame:
