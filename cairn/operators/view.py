@@ -31,7 +31,8 @@ def visible_tiles(n: Column, left: Column, top: Column, px: Column, width: Colum
     """array<struct<kx, ky>> of the tiles of level n that a view covers, within the content between two angles."""
     own = n * TILE / 360.0
     rows = F.ceil((upper - lower) * own / TILE)
-    ky = F.sequence(F.greatest(F.lit(0), F.floor((upper - top) * own / TILE)), F.least(rows - 1, F.floor((upper - top + height / px) * own / TILE)))
+    first, last = F.greatest(F.lit(0), F.floor((upper - top) * own / TILE)), F.least(rows - 1, F.floor((upper - top + height / px) * own / TILE))
+    ky = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))  # a sequence would run backwards for a view beyond the content
     kx = F.sequence(F.floor(left * n / 360.0), F.floor((left + width / px) * n / 360.0))
     return F.flatten(F.transform(ky, lambda y: F.transform(kx, lambda x: F.struct(x.alias("kx"), y.alias("ky")))))
 

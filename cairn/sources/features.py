@@ -178,7 +178,8 @@ def tiles_in_box(x0: Column, y0: Column, x1: Column, y1: Column, zoom: int, size
     """array<struct<x, y>> of the tiles that a pixel box touches: x wraps, y is cut at the poles."""
     n = 2**zoom
     xs = F.sequence(F.floor(x0 / size), F.floor(x1 / size))
-    ys = F.sequence(F.greatest(F.lit(0), F.floor(y0 / size)), F.least(F.lit(n - 1), F.floor(y1 / size)))
+    top, bottom = F.greatest(F.lit(0), F.floor(y0 / size)), F.least(F.lit(n - 1), F.floor(y1 / size))
+    ys = F.when(top <= bottom, F.sequence(top, bottom)).otherwise(F.array().cast("array<bigint>"))  # a sequence would run backwards for a box beyond a pole
     return F.array_distinct(F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(F.pmod(x, F.lit(n)).alias("x"), y.alias("y"))))))
 
 

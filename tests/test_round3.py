@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from cairn.operators import rays
+from cairn.operators import rays, view
+from cairn.sources import features
 
 
 def test_highest_near_decides_the_edge_in_each_rasters_own_places(spark):
@@ -19,3 +20,12 @@ def test_highest_near_decides_the_edge_in_each_rasters_own_places(spark):
         return -c, -r, z
 
     assert {(r["grid"], r["id"]): (r["px"], r["py"], r["elev"]) for r in found.collect()} == {(g, i): best(g, x, y) for g, i, x, y in points}
+
+
+def test_boxes_beyond_a_pole_have_no_tiles(spark):
+    rows = [(0, 2100.0), (1, -700.0), (2, 2000.0), (3, -100.0)]
+    tiles = features.tiles_in_box(F.lit(10.0), F.col("y"), F.lit(10.0) + 20, F.col("y") + 300, 3)
+    got = {r["i"]: [tuple(t) for t in r["t"]] for r in spark.createDataFrame(rows, "i int, y double").select("i", tiles.alias("t")).collect()}
+    assert got == {0: [], 1: [], 2: [(0, 7)], 3: [(0, 0)]}
+    beyond = view.visible_tiles(F.lit(4), F.lit(0.0), F.col("y"), F.lit(1.0), F.lit(10.0), F.lit(10.0), F.lit(15.0), F.lit(-20.0))
+    assert [len(r["t"]) for r in spark.createDataFrame([(-900.0,), (900.0,)], "y double").select(beyond.alias("t")).collect()] == [0, 0]
