@@ -168,7 +168,7 @@ def hz03_heights(spark, sf_dir):
     around = F.explode(F.sequence(F.floor(x) - 2, F.floor(x) + 2)), F.explode(F.sequence(F.floor(y) - 2, F.floor(y) + 2))
     keys = obs.select("lat", "lon", around[0].alias("tx")).select(F.pmod("tx", F.lit(n)).alias("tx"), around[1].alias("ty")).distinct()
     pixel = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: ((F.col("tx") * size + k % size) * 7 % 100 + (F.col("ty") * size + F.floor(k / size)) * 13 % 90) * 1.0)
-    tiles = keys.select(F.lit(zoom).alias("zoom"), "tx", "ty", pixel.alias("elev"))
+    tiles = written(keys.select(F.lit(zoom).alias("zoom"), "tx", "ty", pixel.alias("elev")), "tiles")  # so that their size is known, not guessed from the suppliers'
     return panorama.heights_along_rays(obs, samples, tiles, count, size).select(*_key(), F.col("i").cast("long").alias("i"), F.round("h", 4).alias("h"))
 
 

@@ -57,7 +57,8 @@ class Panorama:
 
 def heights_along_rays(observers: DataFrame, samples: DataFrame, tiles: DataFrame, count: int, size: int = 256) -> DataFrame:
     """(scene, ray, i, dist, h): samples (scene, i, dist, zoom) on every ray of observers (scene, lat, lon), looked up in tiles (zoom, tx, ty, elev), which meet them by an equi-join; null where one is missing."""
-    at = samples.select("scene", "i", "dist", "zoom").join(observers.select("scene", "lat", "lon"), "scene").withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    # Spark takes exploded samples for as few rows as their observers and would send them to every executor by way of the driver.
+    at = samples.select("scene", "i", "dist", "zoom").hint("merge").join(observers.select("scene", "lat", "lon"), "scene").withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     n = F.pow(F.lit(2.0), F.col("zoom"))
     x, y = geo.ray_pixel(F.col("lat"), F.col("lon"), F.radians(F.col("ray") * (360.0 / count)), F.col("dist") / geo.EARTH_RADIUS_M, n * size)
     points = at.select("scene", "ray", "i", "dist", "zoom", x.alias("gx"), y.alias("gy"), n.cast("long").alias("world"))

@@ -3,8 +3,10 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from cairn.catalog import rays as catalog_rays
 from cairn.operators import peaks, rays, view
 from cairn.sources import features
 
@@ -48,3 +50,24 @@ def test_prominence_keeps_every_peak_once_in_any_order_of_rows(spark):
     sky = crest.groupBy("scene", "ray").agg(F.max("angle").alias("angle"))
     found = [{r["id"]: r["prominence"] for r in peaks.prominence(df, crest, sky, 360).collect()} for df in (seen, seen.mapInPandas(shuffled, kind))]
     assert len(found[0]) == len(named) and found[0] == found[1]
+
+
+def broadcast_of_exploded(df):
+    """Lines of the plan that explode rows within a broadcast."""
+    found, depth = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        place = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and place <= depth:
+            depth = None
+        if depth is None and "BroadcastExchange" in line:
+            depth = place
+        if depth is not None and "Generate" in line:
+            found.append(line)
+    return found
+
+
+@pytest.mark.parametrize("name", ["hz03_heights"])
+def test_exploded_rows_are_not_broadcast(spark, sf, name):
+    """Spark guesses their number from the rows before."""
+    query = next(m.QUERIES[name] for m in (catalog_rays,) if name in m.QUERIES)
+    assert broadcast_of_exploded(query(spark, sf)) == []
