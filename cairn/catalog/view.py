@@ -56,7 +56,7 @@ def sf07_progress(spark, sf_dir):
 def rs04_lakes(spark, sf_dir):
     """Flat ground and lakes, grown by the shore; a lake counts over unknown ground too."""
     lake = vector.fill_polygons(views.areas(spark, sf_dir), GEO).select("grid", "row", "col").distinct().withColumn("lake", F.lit(1))
-    flat = raster.flat_surface(views.dem(spark, sf_dir), views.WIDTH, views.HEIGHT, grid=GRID).join(lake, ["grid", "row", "col"], "left")
+    flat = raster.flat_surface(views.dem(spark, sf_dir), views.WIDTH, views.HEIGHT, grid=GRID).join(lake.hint("merge"), ["grid", "row", "col"], "left")  # Spark guesses the size of filled cells from the suppliers'
     out = raster.dilate(flat.withColumn("water", F.when(F.col("lake") == 1, 1).otherwise(F.col("flat"))), "water", grid=GRID)
     return out.select(*(F.col(c).cast("long").alias(c) for c in ("grid", "row", "col", "water")))
 
