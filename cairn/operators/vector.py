@@ -78,8 +78,9 @@ def paint_order(areas: DataFrame) -> DataFrame:
 
 def protection_index(edges: DataFrame, geo: Geometry) -> DataFrame:
     """(grid, row, col, index): of each covered cell the area painted last."""
-    order = paint_order(edges.select("grid", "area", "rank").distinct())
-    return fill_polygons(edges, geo).join(order, ["grid", "area"]).groupBy("grid", "row", "col").agg(F.max("index").alias("index"))
+    order = paint_order(edges.select("grid", "area", "rank").distinct()).select("grid", "area", "index")
+    placed = edges.join(order.hint("merge"), ["grid", "area"])  # before they are filled: edges are fewer than cells
+    return fill_polygons(placed, geo, ("grid", "area", "index")).groupBy("grid", "row", "col").agg(F.max("index").alias("index"))
 
 
 def edge_cells(edges: DataFrame, bucket: float) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.catalog import rays as catalog_rays
+from cairn.catalog import vector as catalog_vector
 from cairn.catalog import view as catalog_view
 from cairn.operators import peaks, rays, view
 from cairn.sources import features
@@ -67,8 +68,8 @@ def broadcast_of_exploded(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["hz03_heights", "rs04_lakes"])
+@pytest.mark.parametrize("name", ["hz03_heights", "rs04_lakes", "vr10_protection"])
 def test_exploded_rows_are_not_broadcast(spark, sf, name):
     """Spark guesses their number from the rows before."""
-    query = next(m.QUERIES[name] for m in (catalog_rays, catalog_view) if name in m.QUERIES)
+    query = next(m.QUERIES[name] for m in (catalog_rays, catalog_vector, catalog_view) if name in m.QUERIES)
     assert broadcast_of_exploded(query(spark, sf)) == []
