@@ -60,8 +60,8 @@ def sc05_layer(spark, sf_dir):
     """0 not protected, 1 flagged, 2 in force, for every cell."""
     edges = views.areas(spark, sf_dir)
     order = vector.paint_order(edges.select("grid", "area", "rank").distinct()).select("grid", "index", "rank")
-    index = vector.protection_index(edges, GEO).join(order, ["grid", "index"])
-    out = views.dem(spark, sf_dir).select("grid", "row", "col").join(index, ["grid", "row", "col"], "left")
+    index = vector.protection_index(edges, GEO).join(order.hint("merge"), ["grid", "index"])
+    out = views.dem(spark, sf_dir).select("grid", "row", "col").join(index.hint("merge"), ["grid", "row", "col"], "left")  # Spark guesses the size of filled cells from the suppliers'
     layer = F.when(F.col("rank").isNull(), 0).when(F.col("rank") == 2, 2).otherwise(1)
     return out.select(*L("grid", "row", "col"), layer.cast("long").alias("layer"))
 

@@ -68,7 +68,7 @@ def broadcast_of_exploded(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["hz03_heights", "rs04_lakes", "vr10_protection"])
+@pytest.mark.parametrize("name", ["hz03_heights", "rs04_lakes", "sc05_layer", "vr10_protection"])
 def test_exploded_rows_are_not_broadcast(spark, sf, name):
     """Spark guesses their number from the rows before."""
     query = next(m.QUERIES[name] for m in (catalog_rays, catalog_vector, catalog_view) if name in m.QUERIES)
