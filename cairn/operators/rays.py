@@ -184,10 +184,14 @@ def highest_near(points: DataFrame, pixels: DataFrame, radius: float, bucket: in
 
 
 def cone_heights(points: DataFrame, cones: DataFrame, base: float = 0.0) -> DataFrame:
-    """Adds h at points (id, lat, lon): base plus the heights of cones (clat, clon, height, radius) over them; a cone visits the cells of ground that it covers, where points meet it by equi-join."""
-    c = cones.withColumn("_at", F.explode(geo.ground_cells(F.col("clat"), F.col("clon"), F.col("radius"), CONE_CELL)))
-    d = geo.distance(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
-    met = points.withColumn("_at", geo.ground_cell(F.col("lat"), F.col("lon"), CONE_CELL)).join(c, "_at", "left").withColumn("d", d)
-    part = F.when(F.col("d") < F.col("radius"), F.col("height") * (1 - F.col("d") / F.col("radius"))).otherwise(0.0)
-    return met.groupBy("id", "lat", "lon").agg((F.lit(base) + F.sum(F.coalesce(part, F.lit(0.0)))).alias("h"))
+    """Adds h at points (id, lat, lon): base plus the heights of cones (clat, clon, height, radius) over them; a cone visits the cells of ground that it covers, where places meet it by equi-join.
 
+    Points of one place have one height, and equal cones count as one with their number, so copies of either cost a row each and never meet one by one.
+    """
+    same = cones.groupBy("clat", "clon", "height", "radius").agg(F.count("*").alias("_many"))
+    c = same.withColumn("_at", F.explode(geo.ground_cells(F.col("clat"), F.col("clon"), F.col("radius"), CONE_CELL)))
+    d = geo.distance(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
+    places_ = points.select("lat", "lon").distinct().withColumn("_at", geo.ground_cell(F.col("lat"), F.col("lon"), CONE_CELL))
+    met = places_.join(c.hint("merge"), "_at").withColumn("d", d).filter(F.col("d") < F.col("radius"))
+    high = met.groupBy("lat", "lon").agg(F.sum(F.col("_many") * (F.col("height") * (1 - F.col("d") / F.col("radius")))).alias("_h"))
+    return points.select("id", "lat", "lon").join(high.hint("merge"), ["lat", "lon"], "left").select("id", "lat", "lon", (F.lit(base) + F.coalesce("_h", F.lit(0.0))).alias("h"))

@@ -5,6 +5,8 @@ import random
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from test_geometry import haversine
+from test_ranges import rows_of_plan
 
 from cairn.catalog import rays as catalog_rays
 from cairn.catalog import vector as catalog_vector
@@ -73,3 +75,13 @@ def test_exploded_rows_are_not_broadcast(spark, sf, name):
     """Spark guesses their number from the rows before."""
     query = next(m.QUERIES[name] for m in (catalog_rays, catalog_vector, catalog_view) if name in m.QUERIES)
     assert broadcast_of_exploded(query(spark, sf)) == []
+
+
+def test_copies_of_places_and_cones_do_not_meet_one_by_one(spark):
+    points = spark.range(2000).select("id", (46 + F.col("id") % 4 / 100).alias("lat"), (F.col("id") % 3 + 8.0).alias("lon"))
+    cones = spark.range(2000).select((46 + F.col("id") % 5 / 100).alias("clat"), F.lit(8.0).alias("clon"), F.lit(50.0).alias("height"), F.lit(3000.0).alias("radius"))
+    out = rays.cone_heights(points, cones, 100.0)
+    assert rows_of_plan(out) < 50_000
+    at = lambda la, lo: 100 + sum(400 * 50 * (1 - d / 3000) for k in range(5) if (d := haversine(la, lo, 46 + k / 100, 8.0)) < 3000)
+    got = {r["id"]: r["h"] for r in out.collect()}
+    assert len(got) == 2000 and all(abs(h - at(46 + i % 4 / 100, i % 3 + 8.0)) < 1e-6 for i, h in got.items())
