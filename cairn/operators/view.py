@@ -42,15 +42,22 @@ def footer_font(width: Column) -> Column:
 
 
 def export_plan(field: Column, span: Column, exaggeration: Column, wanted: Column, steps: int = 200) -> Column:
-    """struct<px, width, height, footer>: the wanted resolution, lowered by a twentieth at a time until the image is small enough."""
+    """struct<px, width, height, footer>: the wanted resolution, lowered by a twentieth at a time until the image is small enough. No image is larger than that of the step before, so the step is found by halving."""
+    shares = F.array(*(F.pow(F.lit(0.95), F.lit(k)) for k in range(steps + 1)))
 
-    def plan(k: Column) -> Column:
-        px = wanted * F.pow(F.lit(0.95), k)
+    def plan(k: Column) -> dict[str, Column]:
+        px = wanted * F.get(shares, k)
         width, height = F.greatest(F.lit(1), half_up(field * px)), F.greatest(F.lit(1), half_up(span * px * exaggeration))
-        return F.struct(px.alias("px"), width.alias("width"), height.alias("height"), half_up(footer_font(width) * 4.2).alias("footer"))
+        return {"px": px, "width": width, "height": height, "footer": half_up(footer_font(width) * 4.2)}
 
-    tried = F.transform(F.sequence(F.lit(0), F.lit(steps)), plan)
-    return F.get(F.filter(tried, lambda p: p["width"] * (p["height"] + p["footer"]) <= MOST_PIXELS), F.lit(0))
+    def large(k: Column) -> Column:
+        p = plan(k)
+        return p["width"] * (p["height"] + p["footer"]) > MOST_PIXELS
+
+    halves = F.array(*(F.lit(1 << b) for b in reversed(range((steps + 1).bit_length()))))
+    last_large = F.aggregate(halves, F.lit(-1), lambda k, s: F.when((k + s <= steps) & large(F.least(k + s, F.lit(steps))), k + s).otherwise(k))
+    chosen = F.transform(F.array(last_large), lambda k: F.when(k < steps, F.struct(*(c.alias(n) for n, c in plan(k + 1).items()))))
+    return F.get(chosen, F.lit(0))
 
 
 def rays_per_vertex(rays: int, px_per_ray: Column, least: float) -> Column:

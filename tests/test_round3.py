@@ -1,5 +1,6 @@
 """Faults that showed only on large tables or odd input, in small: each against a plain version."""
 
+import math
 import random
 
 import pandas as pd
@@ -104,3 +105,23 @@ def test_hits_do_not_compare_copies(spark):
     assert rows_of_plan(out) < 50_000
     first = {c: min((i * 7 % 1500, i) for i in range(2000) if i % 5 == c and i % 3 == 1)[1] for c in range(4)}
     assert {r["probe"]: r["id"] for r in out.collect()} == {i: first[i % 4] for i in range(1500)}
+
+
+def test_export_plans_try_few_steps_and_find_the_first_that_fits(spark):
+    rng = random.Random(18)
+    rows = [(i, rng.uniform(1, 400), rng.uniform(1, 40), rng.uniform(0.5, 3), 10 ** rng.uniform(0, 7)) for i in range(400)]
+    p = view.export_plan(F.col("f"), F.col("s"), F.col("x"), F.col("w"))
+    df = spark.createDataFrame(rows, "i int, f double, s double, x double, w double").select("i", p.alias("p"))
+    assert "sequence(0, 200" not in p._jc.toString() and "sequence(0, 200" not in df._jdf.queryExecution().toString().lower()
+
+    def first(f, s, x, w):
+        for k in range(201):
+            px = w * math.pow(0.95, k)
+            width, height = max(1, math.floor(f * px + 0.5)), max(1, math.floor(s * px * x + 0.5))
+            footer = math.floor(min(48, max(14, math.floor(width / 90 + 0.5))) * 4.2 + 0.5)
+            if width * (height + footer) <= 16_000_000:
+                return width, height, footer
+        return None
+
+    got = {r["i"]: r["p"] and (r["p"]["width"], r["p"]["height"], r["p"]["footer"]) for r in df.collect()}
+    assert got == {i: first(*x) for i, *x in rows}
