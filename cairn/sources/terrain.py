@@ -10,11 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import written
 from ..operators.vector import Geometry, resample
 from . import rasters
 
 #: Side of a tile (m), most pixels of one answer of a raster service.
 TILE_M, MOST_PIXELS = 1000, 1000
+#: Cells of windows that one task puts together.
+CELLS_A_TASK = 250_000
 
 
 def window_bounds(east: Column, north: Column, half: float, cell: float) -> dict[str, Column]:
@@ -33,7 +36,7 @@ def tiles_for_window(e0: Column, n0: Column, wide: Column, high: Column) -> Colu
 def load_windows(windows: DataFrame, tiles: DataFrame, cell: float) -> DataFrame:
     """windows(grid, e0, n0, width, height) and tiles(te, tn, west, north, width, height, data: array row by row) of one pixel size to (grid, row, col, z) of every cell; null where no tile is.
 
-    Tiles meet the windows that touch them by an equi-join on their key, and only what both share is unpacked.
+    Tiles meet the windows that touch them by an equi-join on their key, and only what both share is unpacked. Tasks are as many as the windows' cells ask for, since Spark knows neither their number nor that of what they find.
     """
     own = windows.select("grid", "e0", "n0", F.col("width").alias("w"), F.col("height").alias("h"))
     keys = own.withColumn("t", F.explode(tiles_for_window(F.col("e0"), F.col("n0"), F.col("w") * cell, F.col("h") * cell))).select("grid", "e0", "n0", "w", "h", "t.te", "t.tn")
@@ -44,9 +47,10 @@ def load_windows(windows: DataFrame, tiles: DataFrame, cell: float) -> DataFrame
     span = lambda at, size, most: F.sequence(F.greatest(F.lit(0), F.col(at)), F.least(F.col(most), F.col(at) + F.col(size)) - 1)
     met = met.filter("_c < w AND _c + width > 0 AND _r < h AND _r + height > 0").withColumn("row", F.explode(span("_r", "height", "h"))).withColumn("col", F.explode(span("_c", "width", "w")))
     value = F.get("data", (F.col("row") - F.col("_r")) * F.col("width") + F.col("col") - F.col("_c"))
-    found = met.select("grid", "row", "col", F.nanvl(value.cast("double"), F.lit(None).cast("double")).alias("z")).groupBy("grid", "row", "col").agg(F.max("z").alias("z"))
+    tasks = 1 + (windows.agg(F.sum(F.col("width").cast("long") * F.col("height"))).first()[0] or 0) // CELLS_A_TASK
+    found = met.select("grid", "row", "col", F.nanvl(value.cast("double"), F.lit(None).cast("double")).alias("z")).repartition(tasks, "grid", "row", "col").groupBy("grid", "row", "col").agg(F.max("z").alias("z"))
     cells = own.select("grid", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("row"), "w").select("grid", "row", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("col"))
-    return cells.join(found, ["grid", "row", "col"], "left")
+    return cells.repartition(tasks, "grid", "row", "col").join(found, ["grid", "row", "col"], "left")
 
 
 def tiles_of_files(spark, path: str, step: float, windows: DataFrame | None = None, cell: float | None = None) -> DataFrame:
@@ -55,7 +59,7 @@ def tiles_of_files(spark, path: str, step: float, windows: DataFrame | None = No
 
     A block's pixels are told apart by the ground of their middles, so every pixel is in one row.
     """
-    levels = rasters.level_for_step(rasters.tiff_levels(spark, path), step)
+    levels = written(rasters.level_for_step(rasters.tiff_levels(spark, path), step), "levels")
     blocks = rasters.tiff_blocks(levels, level=None)
     edge = lambda zero, at, size, sign: F.col(zero) + sign * F.col(at) * F.col(size) * F.col("pixel")
     rows = F.least(F.col("block_height"), F.col("height") - F.col("block_row") * F.col("block_height"))
@@ -68,6 +72,7 @@ def tiles_of_files(spark, path: str, step: float, windows: DataFrame | None = No
         own = own.withColumn("t", F.explode(tiles_for_window(F.col("e0"), F.col("n0"), F.col("wide"), F.col("high")))).select("t.te", "t.tn", "e0", "n0", "wide", "high")
         met = keyed.join(own, ["te", "tn"]).filter((F.col("w") < F.col("e0") + F.col("wide")) & (F.col("w") + cols * F.col("pixel") > F.col("e0")) & (F.col("n") > F.col("n0") - F.col("high")) & (F.col("n") - rows * F.col("pixel") < F.col("n0")))
         blocks = blocks.join(met.select("path", "block_row", "block_col").distinct(), ["path", "block_row", "block_col"], "left_semi")
+        blocks = rasters.spread(blocks, levels.agg(F.sum(F.size("offsets"))).first()[0] or 0)
 
     def run(batches):
         for part in batches:
