@@ -5,7 +5,7 @@ its language and its topic. In each round every source's factor is solved exactl
 are drawn with the probability of their cell. A target that is over the tokens that there are is lowered to them, and the rest of its margin takes the difference.
 
 Sources may be many and stay in a table, one row each with its cells; the factors of languages and topics are kept by the driver. Topics are clusters of hashed, weighted words around centres
-fitted on a bounded sample, taken after each language's mean is removed, so that they do not just follow the language.
+fitted on all texts, taken after each language's mean is removed, so that they do not just follow the language.
 """
 
 from __future__ import annotations
@@ -14,14 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import slices, written
+from .shared import BATCH_BYTES, slices, written
 from .words import Words
 
 TOPICS, BINS, TOPIC_LETTERS = 8, 4096, 5
+#: Rounds of fitting; texts that centres may start from; parts that values are rounded to, so that sums are exact.
+ROUNDS, STARTS, SCALE = 15, 64, 1 << 20
 #: Languages with a margin of their own, those with most tokens; all others share one.
 MOST_LANGUAGES, OTHERS = 1 << 16, "\0others"
 CARRIED = "_doc_"
@@ -51,71 +54,210 @@ class Topics:
         return out, w.counts
 
 
-def bins(w: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bin, value) of each text's longer words: 1 + log of the count by the bin's weight, of unit length."""
+def counted(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bin, count) of each text's longer words."""
     long = (w.ends - w.starts) >= TOPIC_LETTERS
     text = np.repeat(np.arange(len(w.counts)), w.counts)[long]
     key, count = np.unique(text * BINS + (w.hashes()[long] % np.uint64(BINS)).astype(np.int64), return_counts=True)
-    row, b = key // BINS, key % BINS
+    return key // BINS, key % BINS, count
+
+
+def weighed(row: np.ndarray, b: np.ndarray, count: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Values of the bins of n texts: 1 + log of the count by the bin's weight, of unit length."""
     value = (1 + np.log(count)) * weights[b]
-    norm = np.sqrt(np.bincount(row, value * value, len(w.counts)))
-    return row, b, value / np.maximum(norm[row], 1e-12)
+    norm = np.sqrt(np.bincount(row, value * value, n))
+    return value / np.maximum(norm[row], 1e-12)
+
+
+def bins(w: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bin, value) of each text's longer words."""
+    row, b, count = counted(w)
+    return row, b, weighed(row, b, count, weights, len(w.counts))
+
+
+def unit(c: np.ndarray) -> np.ndarray:
+    return c / np.maximum(1e-12, np.sqrt((c * c).sum(-1, keepdims=True)))
+
 
+def spread_out(vectors: np.ndarray, topics: int) -> np.ndarray:
+    """The first vector, and again and again the one whose nearest chosen one is farthest."""
+    chosen = [0]
+    while len(chosen) < min(topics, len(vectors)):
+        near = (vectors @ vectors[chosen].T).max(1)
+        near[chosen] = np.inf
+        chosen.append(int(near.argmin()))
+    return vectors[chosen]
 
-def cluster(texts: list[str], langs: list[str], topics: int = TOPICS, rounds: int = 15, seed: int = 3) -> Topics:
-    """Spherical k-means of the texts' bins without their language's mean."""
-    flat = np.ones(BINS)
+
+def cluster(texts: list[str], langs: list[str], topics: int = TOPICS, rounds: int = ROUNDS) -> Topics:
+    """What fit_topics finds, of a few texts in memory: k-means by direction of the texts' bins without their language's mean."""
     w = Words(pa.array(texts, pa.string()), lower=True)
-    row, b, _ = bins(w, flat)
-    n = len(np.unique(row))
+    row, b, count = counted(w)
+    kept, row = np.unique(row, return_inverse=True)
+    n = len(kept)
     if not n:
-        return Topics(flat, np.zeros((0, BINS)), {})
+        return Topics(np.ones(BINS), np.zeros((0, BINS)), {})
     weights = np.log((1 + n) / (1 + np.bincount(b, minlength=BINS)))
-    row, b, value = bins(w, weights)
-    kept, row = np.unique(row, return_inverse=True)
+    whole = np.zeros((n, BINS))
+    whole[row, b] = np.rint(weighed(row, b, count, weights, n) * SCALE) / SCALE
     langs = [langs[i] for i in kept.tolist()]
     names = sorted(set(langs))
     lang = np.array([names.index(x) for x in langs])
-    mean = np.stack([np.bincount(b[lang[row] == j], value[lang[row] == j], BINS) / (lang == j).sum() for j in range(len(names))])
-    square = np.bincount(row, value * value, n) - 2 * np.bincount(row, value * mean[lang[row], b], n) + (mean * mean).sum(1)[lang]
-    size = np.maximum(np.sqrt(np.maximum(square, 0)), 1e-6)  # of a text without its language's mean
-    share = np.zeros((len(names), n))
-    share[lang, np.arange(n)] = 1 / size
-
-    def centre(of: np.ndarray) -> np.ndarray:
-        inside = of[row]
-        c = np.bincount(b[inside], value[inside] / size[row[inside]], BINS) - share[:, of].sum(1) @ mean
-        return c / max(1e-12, np.sqrt(c @ c))
-
-    rng = np.random.default_rng(seed)
-    k = min(topics, n)
-    centres = np.stack([centre(np.arange(n) == i) for i in rng.choice(n, k, replace=False)])
+    mean = np.stack([whole[lang == j].mean(0) for j in range(len(names))])
+    own = whole - mean[lang]
+    at = {xxhash.xxh64_intdigest(texts[i].encode(), 42) ^ (1 << 63): k for k, i in enumerate(kept.tolist())}
+    centres = spread_out(unit(own[[at[x] for x in sorted(at)[:STARTS]]]), topics)
     for _ in range(rounds):
-        near = np.stack([np.bincount(row, value * c[b], n) for c in centres], 1) - (mean @ centres.T)[lang]
-        best = near.argmax(1)
-        for j in range(k):
-            if (best == j).any():
-                centres[j] = centre(best == j)
+        best = (own @ centres.T).argmax(1)
+        centres = np.stack([unit(own[best == j].sum(0)) if (best == j).any() else c for j, c in enumerate(centres)])
     return Topics(weights, centres, {x: centres @ mean[j] for j, x in enumerate(names)} | {None: centres @ mean.mean(0)})
 
 
-def fit_topics(docs: DataFrame, most: int = 2000, words: int = 300) -> Topics:
-    """Topics fitted on a bounded sample: about `most` texts by a hash of the text, and of each a passage of at most `words` words from a place that the hash chooses."""
+def packed(values: np.ndarray, row: np.ndarray, dtype: type) -> pa.Array:
+    """Values in order of their row as one binary for each row that has some."""
+    begin = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)) * np.dtype(dtype).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(values.astype(dtype))])
+
+
+def unpacked(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows, and the row of each."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(dtype), np.repeat(np.arange(len(column)), np.diff(at) // np.dtype(dtype).itemsize)
+
+
+def table_of(columns: dict[str, np.ndarray | list], ddl: str) -> pa.RecordBatch:
+    kind = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[x.split()[0]], kind[x.split()[1]]) for x in ddl.split(", ")], names=[x.split()[0] for x in ddl.split(", ")])
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS) -> Topics:
+    """Topics fitted on all texts, each with all its words: k-means by direction of the texts' bins without their language's mean.
+
+    The bins of every text are counted once and written; weights, means of languages and each round's centres are sums over that table. The sums are of whole numbers (values by SCALE), so they do not depend on the order of rows. Centres start from texts
+    far from one another among the STARTS distinct ones of smallest hash; the rounds move them. Languages beyond the MOST_LANGUAGES with most texts share one mean.
+    """
     own = docs.filter("text IS NOT NULL").select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-    at = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    chosen = own.withColumn("at", at).filter(F.col("at") < int(min(1.0, most / max(1, own.count())) * (1 << 30)))
+    large = [r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    if len(large) == MOST_LANGUAGES:
+        own = own.join(F.broadcast(docs.sparkSession.createDataFrame([(x, True) for x in large], "lang string, _own boolean")), "lang", "left").withColumn("lang", F.when(F.col("_own"), F.col("lang")).otherwise(OTHERS))
 
-    def cut(batches):
+    def count(batches):
+        for batch in slices(batches):
+            row, b, many = counted(Words(batch.column("text"), lower=True))
+            if len(row):
+                kept = pa.array(np.unique(row))
+                yield pa.RecordBatch.from_arrays([batch.column("lang").take(kept), batch.column("at").take(kept), packed(b, row, np.uint16), packed(many, row, np.uint32)], names=["lang", "at", "bins", "counts"])
+
+    rows = written(own.select("lang", "text", F.xxhash64("text").alias("at")).mapInArrow(count, "lang string, at long, bins binary, counts binary"), "bins")
+
+    def found(batches):
+        out = np.zeros(BINS + 1)
+        for batch in slices(batches, "bins"):
+            b, _ = unpacked(batch.column("bins"), np.uint16)
+            out += np.append(np.bincount(b, minlength=BINS), batch.num_rows)
+        place = np.flatnonzero(out)
+        yield table_of({"bin": place, "s": out[place]}, "bin int, s double")
+
+    texts_with = np.zeros(BINS + 1)
+    for r in rows.select("bins").mapInArrow(found, "bin int, s double").groupBy("bin").agg(F.sum("s").alias("s")).collect():
+        texts_with[r["bin"]] = r["s"]
+    n = texts_with[BINS]
+    if not n:
+        return Topics(np.ones(BINS), np.zeros((0, BINS)), {})
+    weights = np.log((1 + n) / (1 + texts_with[:BINS]))
+
+    def vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, bin, value by SCALE, a whole number)"""
+        b, row = unpacked(batch.column("bins"), np.uint16)
+        many, _ = unpacked(batch.column("counts"), np.uint32)
+        return row, b.astype(np.int64), np.rint(weighed(row, b, many, weights, batch.num_rows) * SCALE)
+
+    def by_language(batches):
+        for batch in slices(batches, "bins", BATCH_BYTES // 4):
+            row, b, value = vectors(batch)
+            lang = batch.column("lang").dictionary_encode()
+            code, names = lang.indices.to_numpy(), lang.dictionary.to_pylist()
+            key, at = np.unique(np.concatenate([code[row] * np.int64(BINS + 1) + b, code * np.int64(BINS + 1) + BINS]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([value, np.ones(len(code))]))
+            yield table_of({"lang": [names[i] for i in (key // (BINS + 1)).tolist()], "bin": key % (BINS + 1), "s": total}, "lang string, bin int, s double")
+
+    sums = rows.select("lang", "bins", "counts").mapInArrow(by_language, "lang string, bin int, s double").groupBy("lang", "bin").agg(F.sum("s").alias("s"))
+    means = sums.groupBy("lang").agg(F.max(F.when(F.col("bin") == BINS, F.col("s"))).alias("n"), F.collect_list(F.when(F.col("bin") < BINS, F.struct("bin", "s"))).alias("sums"))
+    means = written(means.select("lang", "n", F.col("sums.bin").alias("bins"), F.col("sums.s").alias("sums")), "means")
+
+    def mean_rows(batches):
         for batch in batches:
-            out = []
-            for text, place in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                parts = text.split()
-                a = place % max(1, len(parts) - words + 1)
-                out.append(" ".join(p[:200] for p in parts[a : a + words]))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.string()), batch.column("at")], names=["lang", "text", "at"])
-
-    got = sorted(map(tuple, chosen.mapInArrow(cut, "lang string, text string, at long").limit(2 * most).collect()))
-    return cluster([x[1] for x in got], [x[0] for x in got])
+            for lang, m, b, s in zip(*(batch.column(c) for c in ("lang", "n", "bins", "sums")), strict=True):
+                yield lang.as_py(), np.array(b.values, np.int64), np.array(s.values, np.float64) / (m.as_py() * SCALE)
+
+    def lost_to(centres: np.ndarray) -> dict[str, np.ndarray]:
+        """Of each language the centres' products with its mean."""
+
+        def run(batches):
+            got = [(lang, (centres[:, b] @ mean).tobytes()) for lang, b, mean in mean_rows(batches)]
+            yield table_of({"lang": [x for x, _ in got], "lost": [x for _, x in got]}, "lang string, lost binary")
+
+        return {r["lang"]: np.frombuffer(r["lost"]) for r in means.mapInArrow(run, "lang string, lost binary").collect()}
+
+    def means_by(many: dict[str, np.ndarray], k: int) -> np.ndarray:
+        """The sum of the languages' means, each as often as it has texts in each topic."""
+
+        def run(batches):
+            out = np.zeros((k, BINS))
+            for lang, b, mean in mean_rows(batches):
+                if lang in many:
+                    out[:, b] += many[lang][:, None] * mean
+            yield table_of({"s": [out.tobytes()]}, "s binary")
+
+        return sum(np.frombuffer(r["s"]).reshape(k, BINS) for r in means.mapInArrow(run, "s binary").collect())
+
+    first = [r["at"] for r in rows.select("at").distinct().orderBy("at").limit(STARTS).collect()]
+    starts = sorted(rows.filter(F.col("at").isin(first)).dropDuplicates(["at"]).collect(), key=lambda r: r["at"])
+    ones = {r["lang"]: np.array([float(r["lang"] == x["lang"]) for x in starts]) for r in starts}
+    row, b, value = vectors(pa.RecordBatch.from_arrays([pa.array([bytes(r[c]) for r in starts], pa.binary()) for c in ("bins", "counts")], names=["bins", "counts"]))
+    whole = np.zeros((len(starts), BINS))
+    whole[row, b] = value / SCALE
+    centres = spread_out(unit(whole - means_by(ones, len(starts))), topics)
+    k = len(centres)
+    columns = [f"s{j}" for j in range(k)]
+    ddl = ", ".join(["lang string", "bin int", *(f"{c} double" for c in columns)])
+    lost = lost_to(centres)
+
+    def assigned(centres: np.ndarray, lost: dict[str, np.ndarray]):
+        def run(batches):
+            total, many = np.zeros((k, BINS)), {}
+            turned = np.ascontiguousarray(centres.T)
+            for batch in slices(batches, "bins", BATCH_BYTES // 4):
+                row, b, value = vectors(batch)
+                begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                langs = batch.column("lang").to_pylist()
+                best = (np.add.reduceat(turned[b] * value[:, None], begin) / SCALE - np.stack([lost[x] for x in langs])).argmax(1)
+                total += np.bincount(best[row] * BINS + b, value, k * BINS).reshape(k, BINS)
+                for lang, j in zip(langs, best.tolist(), strict=True):
+                    many.setdefault(lang, np.zeros(k))[j] += 1
+            place = np.flatnonzero(total.any(0))
+            both = np.concatenate([total[:, place].T, *(x[None] for x in many.values())])
+            yield table_of({"lang": [None] * len(place) + list(many), "bin": [*place.tolist(), *[BINS] * len(many)], **{c: both[:, j] for j, c in enumerate(columns)}}, ddl)
+
+        return run
+
+    for _ in range(rounds):
+        seen = rows.select("lang", "bins", "counts").mapInArrow(assigned(centres, lost), ddl).groupBy("lang", "bin").agg(*(F.sum(c).alias(c) for c in columns)).collect()
+        total, many = np.zeros((k, BINS)), {}
+        for lang, place, *x in seen:
+            if place < BINS:
+                total[:, place] = x
+            else:
+                many[lang] = np.array(x)
+        new = unit(total / SCALE - means_by(many, k))
+        new = np.where(sum(many.values())[:, None] > 0, new, centres)  # a centre without texts stays
+        still = np.array_equal(new, centres)
+        centres, lost = new, lost_to(new)
+        if still:
+            break
+    return Topics(weights, centres, lost | {None: lost.get(OTHERS, sum(lost.values()) / len(lost))})
 
 
 def text_facts(docs: DataFrame, model: Topics, carry: tuple[str, ...] = ()) -> DataFrame:
