@@ -47,7 +47,8 @@ def byte_characters() -> dict[int, str]:
 class ByteBPE:
     """encode and decode as the vocabulary file's own tokenizer does, without special tokens added, truncation or padding."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = TABLE_WORDS):
+        self.most_words = most_words
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         of = {c: b for b, c in byte_characters().items()}
@@ -203,7 +204,7 @@ class ByteBPE:
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
         words = [self.pieces(t) for t in texts]
-        if len(self.table) > TABLE_WORDS:
+        if len(self.table) > self.most_words:
             self.forget()
         if not self.table:
             ids = list(self.special.items())
@@ -224,8 +225,8 @@ class ByteBPE:
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> ByteBPE:
-    return ByteBPE(path)
+def tokenizer(path: str, most_words: int = TABLE_WORDS) -> ByteBPE:
+    return ByteBPE(path, most_words)
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:

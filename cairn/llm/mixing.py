@@ -417,7 +417,8 @@ def mix(docs: DataFrame, fraction: float = 0.5, power: float = 0.7, languages: d
     facts = written(text_facts(docs, fit_topics(docs), carry), "facts")
     found = rake(facts.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")), fraction, power, languages, topics, sources)
     spark = docs.sparkSession
-    of_lang = spark.createDataFrame(list(found.languages.items()), "lang string, of_lang double")  # at most MOST_LANGUAGES + 1 rows
+    # At most MOST_LANGUAGES + 1 rows. Rows of an Arrow table need no Python worker; a list would start a second set of them in every executor.
+    of_lang = spark.createDataFrame(pa.table({"lang": pa.array(found.languages, pa.string()), "of_lang": pa.array(found.languages.values(), pa.float64())}), "lang string, of_lang double")
     others, none = F.lit(found.languages.get(OTHERS, 0.0)), F.lit(0.0)
     of_topic = F.coalesce(*(F.when(F.col("topic") == k, F.lit(v)) for k, v in found.topics.items()), none)
     out = facts.join(found.sources.select("source", "factor"), "source", "left").join(F.broadcast(of_lang), "lang", "left")
